@@ -19,19 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that lost executors cost no recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, set as the checkpoint folder.
 
-    The folder is the session's spark.checkpoint.dir. Where that is unset (tests on one machine) a
-    temporary folder takes its place; on a cluster that would be wrong, so there it is an error.
+    Where it is unset (tests on one machine) a temporary folder takes its place; on a cluster that
+    would be wrong, so there it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusflow-"))
+    return sc.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder, so that lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

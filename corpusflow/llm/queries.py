@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_text, read_turns
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, held_out, table
 from .exact_dedup import exact_duplicates
+from .html_text import extract_main_text
+from .langid import identify_language
+from .media import read_media, store_media
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import KINDS, find_personal_data
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,15 +104,62 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=4, percent=80)
 
 
+def _learnable(docs: DataFrame) -> DataFrame:
+    """What models may learn from: id and text of the documents that are not held out."""
+    return docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labelled = labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    scored = score_toxicity(docs, labelled, _learnable(docs))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = read_media(store_media(table(spark, sf_dir, "documents")))
+    feature = F.concat(F.lit("peaks:"), F.size("fingerprint"), F.lit(":"), F.lower(F.hex(F.xxhash64("fingerprint"))))
+    return read.withColumn("feature", feature).drop("fingerprint")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    base = F.filter("spans", lambda s: s["rule"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(k) for k in KINDS],
+        F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", name), ",").alias("spans"),
+    )
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
+    found = identify_language(docs, labelled, _learnable(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_html_text": op3_html_text,
+    "op4_media": op4_media,
     "op5_mixing": op5_mixing,
     "op6_chat_format": op6_chat_format,
     "op7_near_dedup": op7_near_dedup,
+    "op8_pii": op8_pii,
+    "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL}
