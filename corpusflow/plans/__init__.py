@@ -1 +1 @@
-
+"""Plans: whole jobs composed of operators."""
