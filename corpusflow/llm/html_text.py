@@ -208,6 +208,21 @@ def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns | {"text": pa.array(texts, pa.string()), "html": pa.array(is_open, pa.string())})
 
 
+def _own_tokens(tokens: list[str], covered: set[int], at: int, depth: int) -> list[str]:
+    """A block without covered runs of full depth; a shorter run goes only if it is the whole block."""
+    own: list[str] = []
+    i = 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and at + j in covered:
+            j += 1
+        if j - i < depth and j - i < len(tokens):
+            j = max(j, i + 1)
+            own += tokens[i:j]
+        i = j
+    return own
+
+
 def _uncovered(depth: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,11 +231,11 @@ def _uncovered(depth: int):
                 covered = {p + i for p in places or () for i in range(depth)}
                 kept, at = [], 0
                 for text, region in blocks_of(html):
-                    tokens = text.split()
-                    own = [t for i, t in enumerate(tokens, at) if i not in covered]
-                    at += len(tokens)
-                    if region == OTHER and own:
-                        kept.append(" ".join(own))
+                    if region <= OTHER:
+                        tokens = text.split()
+                        if region == OTHER and (own := _own_tokens(tokens, covered, at, depth)):
+                            kept.append(" ".join(own))
+                        at += len(tokens)
                 texts.append("\n".join(kept))
             yield pa.record_batch({"id": batch.column("id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
