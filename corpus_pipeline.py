@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import held_out, shared_folder, table
+from corpusflow.llm.common import free, held_out, shared_folder, table
 from corpusflow.llm.exact_dedup import drop_exact_duplicates
 from corpusflow.llm.langid import UNDETERMINED, identify_rows
 from corpusflow.llm.mixing import mixed_documents
@@ -26,8 +26,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be told: null texts and texts without a letter."""
     learn = docs.where(~held_out(F.col("doc_id")))
     labelled = learn.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    found = identify_rows(docs, labelled, learn.select(F.col("doc_id").alias("id"), "text"))
-    return found.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    pred, score = free(docs, "lang_pred", "score")
+    found = identify_rows(docs, labelled, learn.select(F.col("doc_id").alias("id"), "text"), "text", pred, score)
+    return found.where(F.col(pred) != UNDETERMINED).drop(pred, score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

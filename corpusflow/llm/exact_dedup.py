@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lookup, pin
+from .common import LOWER, UPPER, free, lookup, pin
 
 ENTRY = "slot int, leaf int, digest binary, check long, id long, uid long, n long"
 
@@ -119,14 +119,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that agree in id and text are one document: one of them stays.
     """
-    own, of = "_kept_id", "_kept_text"
+    own, of, text, nth = free(docs, "kept_id", "kept_text", "own_text", "nth")
     found = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(of))
     lowered = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    same = Window.partitionBy(own, of).orderBy(of)
-    return (
-        docs.withColumn("_text", lowered)
-        .join(found, F.col(id_col).eqNullSafe(F.col(own)) & (F.col("_text") == F.col(of)))
-        .withColumn("_nth", F.row_number().over(same))
-        .where("_nth = 1")
-        .select(*[docs[c] for c in docs.columns])
-    )
+    joined = docs.withColumn(text, lowered).join(found, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(text) == F.col(of)))
+    first = F.row_number().over(Window.partitionBy(own, of).orderBy(of))
+    return joined.withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

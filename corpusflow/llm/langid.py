@@ -145,18 +145,17 @@ def identify_language(
     from 0.5 (a tie, which goes to the first name) to 1 (also with one language only). Repeated
     rows get equal results; an empty table gives an empty one; no other columns are read.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    if fit_on is None:
-        fit_on = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return identify_rows(rows, labelled, fit_on, "_text").select(id_col, "lang_pred", "score")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = identify_rows(rows, labelled, rows if fit_on is None else fit_on)
+    return found.select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
-def identify_rows(docs: DataFrame, labelled: DataFrame, fit_on: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with all their columns, and lang_pred and score as above.
-
-    Columns of these two names are replaced.
-    """
-    docs = docs.drop("lang_pred", "score")
+def identify_rows(
+    docs: DataFrame, labelled: DataFrame, fit_on: DataFrame, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score"
+) -> DataFrame:
+    """The rows of `docs` with all their columns, and the two results under names that it lacks."""
+    if {pred_col.lower(), score_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError("the names of the results are taken")
     langs, letters, tables = fit(labelled, fit_on)
     model = docs.sparkSession.sparkContext.broadcast(tables)  # at most 2 * ALL_CHARS states
 
@@ -188,8 +187,8 @@ def identify_rows(docs: DataFrame, labelled: DataFrame, fit_on: DataFrame, text_
                 names, scores = settle(coded, alphabet)
                 part = batch.slice(at, end - at)
                 columns = {n: part.column(n) for n in part.schema.names}
-                yield pa.record_batch(columns | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+                yield pa.record_batch(columns | {pred_col: pa.array(names, pa.string()), score_col: pa.array(scores, pa.float64())})
                 at = end
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(predict, schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pin, words
+from .common import free, pin, words
 
 WEIGHTS = (5, 2, 1)
 #: Rows that a bucket of a running total has on average.
@@ -135,21 +135,25 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The documents that the mix takes, all columns kept, each as often as it is taken."""
-    id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    plan = mix(docs, **options).where("copies > 0").select(
-        F.col(id_col).alias("_m_id"), F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n")).alias("_m_source"), F.col("size").alias("_m_size"), "copies"
+    m_id, m_source, m_size, m_copies, m_rows, k_source, k_size, own, copy = free(
+        docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_rows", "own_source", "own_size", "own_copies", "copy"
     )
-    plan = plan.groupBy("_m_id", "_m_source", "_m_size").agg(F.sum("copies").alias("_m_copies"), F.count(F.lit(1)).alias("_m_rows"))
-    mark = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    keyed = docs.withColumn("_k_source", mark).withColumn("_k_size", words(F.col(text_col)))
-    joined = keyed.join(plan, F.col(id_col).eqNullSafe(F.col("_m_id")) & (F.col("_k_source") == F.col("_m_source")) & (F.col("_k_size") == F.col("_m_size")))
-    alike = Window.partitionBy("_m_id", "_m_source", "_m_size").orderBy(text_col)
-    own = F.floor(F.col("_m_copies") / F.col("_m_rows")) + (F.row_number().over(alike) <= F.col("_m_copies") % F.col("_m_rows")).cast("long")
+    mark = F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n"))
+    mixed = mix(docs, id_col, text_col, source_col, **options)
+    plan = mixed.groupBy(F.col(id_col).alias(m_id), mark.alias(m_source), F.col("size").alias(m_size)).agg(
+        F.sum("copies").alias(m_copies), F.count(F.lit(1)).alias(m_rows)
+    )
+    plan = plan.where(F.col(m_copies) > 0)
+    keyed = docs.withColumn(k_source, mark).withColumn(k_size, words(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(m_id)) & (F.col(k_source) == F.col(m_source)) & (F.col(k_size) == F.col(m_size))
+    nth = F.row_number().over(Window.partitionBy(m_id, m_source, m_size).orderBy(text_col))
+    share = F.floor(F.col(m_copies) / F.col(m_rows)) + (nth <= F.col(m_copies) % F.col(m_rows)).cast("long")
     return (
-        joined.withColumn("_own", own.cast("int"))
-        .where("_own > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own"))))
-        .select(*[docs[c] for c in docs.columns])
+        keyed.join(plan, same)
+        .withColumn(own, share.cast("int"))
+        .where(F.col(own) > 0)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(own))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
