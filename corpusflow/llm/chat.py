@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, PART, END = "<|turn|>", "<|part|>", "<|end|>\n"
-#: What follows the first character of a control string.
-CONTROL = r"\||/?s>|/?INST\]|/?SYS>>|</?SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>|begin_of_text|end_of_text"
+#: What follows the first character of a control string; none holds such a character
+#: itself, so escapes never overlap.
+CONTROL = r"\||/?s>|/?INST\]|/?SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>|begin_of_text|end_of_text"
 ESCAPE = rf"([<\[])(\\*)(?={CONTROL})"
 UNESCAPE = rf"([<\[])\\(\\*)(?={CONTROL})"
 

@@ -88,7 +88,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 m AS (SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
-        length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>|</?SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>|begin_of_text|end_of_text)')) AS n
+        length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>>|bos>|eos>|pad>|unk>|start_of_turn>|end_of_turn>|begin_of_text|end_of_text)')) AS n
       FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
