@@ -107,17 +107,18 @@ def search(vectors: DataFrame, query: str, query_vector: list[float], as_of: Col
 def batch_search(vectors: DataFrame, queries: DataFrame, as_of: Column, top_k: int = 5, most_queries: int = 10_000) -> DataFrame:
     """Top_k results of each row of `queries` (query_id, query, query_vector, category or null).
 
-    Vectors stay where they are: the queries, at most `most_queries` of a block, go to every task,
-    each task keeps its own nearest candidates of a query (partial top n), and only those are
-    shuffled. More queries than that are worked off in blocks by the caller.
+    Vectors stay where they are: the queries, at most `most_queries`, go to every task, each task
+    keeps its own nearest candidates of a query (partial top n), and only those are shuffled. More
+    queries than that are an error; call it block by block.
     """
     n = candidate_count(top_k)
-    few = queries.limit(most_queries)
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"a block has at most {most_queries} queries")
+    few = queries
     hit = F.col("q.category").isNull() | (F.col("q.category") == F.col("v.category"))
     pairs = vectors.alias("v").join(F.broadcast(few).alias("q"), hit).select(
         "q.query_id", "q.query", F.col("q.category").alias("asked"), "v.chunk_id", "v.doc_id", "v.text", "v.title", "v.source_url", "v.published_at",
         distance(F.col("v.embedding").cast("array<double>"), F.col("q.query_vector")).alias("distance"),
-        F.spark_partition_id().alias("_task"),
     )
     near = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = pairs.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= n)  # WindowGroupLimit cuts before the shuffle
