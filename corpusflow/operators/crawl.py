@@ -60,13 +60,27 @@ def crawl(pages: DataFrame, sources: DataFrame, most_levels: int = 10) -> DataFr
     of OPTIONAL (null allows all). Within a level pages come in order of the parent's ordinal,
     priority and URL, so the page limit (0: none) cuts a total order. A page that is not in `pages`
     counts as visited. `documents` are its links to attachments.
+
+    With a date `cutoff` in `sources`, and `dates` (array<date>) and `last_page` in `pages`, boards
+    stop paging where all dates are old: a board list without recent dates is not followed, other
+    lists are reached through its next page only.
     """
+    if "cutoff" not in sources.columns:
+        sources = sources.withColumn("cutoff", F.lit(None).cast("date"))
+    if "max_pagination_pages" not in sources.columns:
+        sources = sources.withColumn("max_pagination_pages", F.lit(0))
+    for c, kind in (("dates", "array<date>"), ("last_page", "int")):
+        if c not in pages.columns:
+            pages = pages.withColumn(c, F.lit(None).cast(kind))
     for c in OPTIONAL:
         if c not in sources.columns:
             sources = sources.withColumn(c, F.lit(None).cast("array<string>"))
     settings = F.broadcast(sources.drop("seed_urls"))
-    web = pages.select(normalize_url(F.col("url")).alias("url"), F.col("url").alias("_as"), F.coalesce("links", F.array().cast("array<string>")).alias("links"))
-    web = web.groupBy("url").agg(F.min_by("links", "_as").alias("links")).select("url", links_of(F.col("url"), F.col("links")).alias("links"), F.lit(True).alias("fetched"))
+    page = F.struct(F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("dates", F.array().cast("array<date>")).alias("dates"), "last_page")
+    web = pages.select(normalize_url(F.col("url")).alias("url"), F.col("url").alias("_as"), page.alias("page"))
+    web = web.groupBy("url").agg(F.min_by("page", "_as").alias("page")).select(
+        "url", links_of(F.col("url"), F.col("page.links")).alias("links"), F.col("page.links").alias("hrefs"), "page.dates", "page.last_page", F.lit(True).alias("fetched")
+    )
     web = pin(web)  # links are resolved once, not once a level
     seeds = sources.select("name", F.posexplode("seed_urls").alias("_pos", "_seed")).select("name", normalize_url(F.col("_seed")).alias("url"), F.col("_pos").cast("long").alias("order"))
     frontier = seeds.groupBy("name", "url").agg(F.min("order").alias("order"))
@@ -80,8 +94,12 @@ def crawl(pages: DataFrame, sources: DataFrame, most_levels: int = 10) -> DataFr
         level = level.withColumn("ordinal", F.coalesce("_before", F.lit(0)) + F.col("_nth")).join(settings, "name")
         level = level.where(((F.col("max_pages") <= 0) | (F.col("ordinal") <= F.col("max_pages"))) & (depth <= F.col("max_depth")))
         fetched = level.join(web, "url", "left").withColumn("fetched", F.coalesce("fetched", F.lit(False)))
+        url, cutoff, newest = F.col("url"), F.col("cutoff"), F.array_max("dates")
+        goes_on = follow(url, F.coalesce("hrefs", F.array().cast("array<string>")), F.coalesce("dates", F.array().cast("array<date>")), cutoff)
+        own = F.filter(F.coalesce("links", F.array().cast("array<string>")), lambda u: cutoff.isNull() | ~is_board_list(url) | ~is_board_list(u))
+        more = F.when(goes_on, F.concat(own, F.coalesce(pagination(url, F.col("last_page"), F.col("max_pagination_pages"), newest, cutoff), F.array().cast("array<string>"))))
         linked = F.filter(
-            F.coalesce("links", F.array().cast("array<string>")),
+            F.array_distinct(F.coalesce(more, F.array().cast("array<string>"))),
             lambda u: is_allowed(u, F.col("allowed_domains"), F.col("follow_patterns"), F.col("include_patterns"), F.col("exclude_patterns"), F.col("allowed_path_prefixes")),
         )
         collect = is_collectable(F.col("url"), F.lit(depth == 0), F.col("collect_seed_pages"), F.col("collect_patterns"), F.col("include_patterns"))

@@ -59,6 +59,31 @@ def best_match(questions: DataFrame, directory: DataFrame, text_col: str = "text
     return best.select("query_id", "b.score", "b.row.*")
 
 
+def with_fallback(questions: DataFrame, best: DataFrame, directory: DataFrame, names: list[str]) -> DataFrame:
+    """Each question with its best match, else the first of some directory entries whose name holds one of `names`, in that order."""
+    rank = F.lit(None).cast("int")
+    for i, n in reversed(list(enumerate(names))):
+        rank = F.when(F.col("name").contains(n), i).otherwise(rank)
+    columns = [c for c in best.columns if c not in ("query_id", "score")]
+    default = directory.select(*columns, rank.alias("_rank")).where("_rank is not null").orderBy("_rank", "id").limit(1)
+    missing = questions.select("query_id").join(best.select("query_id"), "query_id", "left_anti")
+    filled = missing.join(F.broadcast(default.drop("_rank"))).withColumn("score", F.lit(0))
+    return best.unionByName(filled.select(*best.columns))
+
+
+def in_box(latitude: Column, longitude: Column, south: float, west: float, north: float, east: float) -> Column:
+    return latitude.between(south, north) & longitude.between(west, east)
+
+
+def clamp(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def coordinate(value: Column) -> Column:
+    """Six decimals."""
+    return F.format_string("%.6f", value)
+
+
 def tel_uri(phone: Column) -> Column:
     return F.concat(F.lit("tel:"), F.regexp_replace(phone, "[^0-9]", ""))
 

@@ -252,3 +252,45 @@ def test_stream(spark, tmp_path):
         last = i
     got = {r["doc_id"]: r["status"] for r in spark.read.parquet(str(tmp_path / f"out/v={last}")).collect()}
     assert got == {"a": "updated", "b": "active"}
+
+
+def test_crawl_stops_at_old_boards(spark):
+    import datetime as dt
+
+    board = "https://a.example/selectBbsNttList.do?key=1"
+    view = "https://a.example/selectBbsNttView.do?nttNo="
+    rows = [
+        (board, [f"{view}1", "/selectBbsNttList.do?key=2"], [dt.date(2024, 5, 1)], 9),
+        (f"{board}&pageIndex=2", [f"{view}2"], [dt.date(2020, 5, 1)], 9),
+        (f"{view}1", [], [], None),
+    ]
+    pages = spark.createDataFrame(rows, "url string, links array<string>, dates array<date>, last_page int")
+    source = spark.createDataFrame(
+        [("s", [board], 0, 5, True, dt.date(2024, 1, 1))], "name string, seed_urls array<string>, max_pages int, max_depth int, collect_seed_pages boolean, cutoff date"
+    )
+    got = [r["url"] for r in crawl.crawl(pages, source).orderBy("ordinal").collect()]
+    assert got == [board, f"{view}1", f"{board}&pageIndex=2"]
+
+
+def test_fallback_and_boxes(spark):
+    d = spark.createDataFrame([(1, "Central Library", "x"), (2, "Main Office", "y")], "id long, name string, description string")
+    q = spark.createDataFrame([(1, "office"), (2, "nothing")], "query_id int, text string")
+    got = {r["query_id"]: r["name"] for r in lookup.with_fallback(q, lookup.best_match(q, d), d, ["Library", "Office"]).collect()}
+    assert got == {1: "Main Office", 2: "Central Library"}
+    row = spark.range(1).select(lookup.in_box(F.lit(1.0), F.lit(2.0), 0, 0, 1, 1), lookup.clamp(F.lit(5), 0, 3), lookup.coordinate(F.lit(1.5))).first()
+    assert tuple(row) == (False, 3, "1.500000")
+
+
+def test_storage(spark, tmp_path):
+    from corpusflow.plans.storage import current, prune, store_result
+
+    sources = spark.createDataFrame([("s", None)], "source_name string, category string")
+    folder = str(tmp_path / "store")
+    first = docs(spark, {"content": "one two " * 300, "title": "A"}, {"content": "three", "title": "B"}).withColumn("attachment_urls", F.array(F.lit("https://a.example/f.PDF")))
+    store_result(ingest.ingest(first, sources), sources, folder, "r1", F.lit("2024-01-01").cast("timestamp"))
+    second = docs(spark, {"content": "one two", "title": "A"}).withColumn("attachment_urls", F.array().cast("array<string>"))
+    store_result(ingest.ingest(second, sources), sources, folder, "r2", F.lit("2024-01-02").cast("timestamp"))
+    rows = {r["doc_id"]: r for r in current(spark, folder, "documents").collect()}
+    assert rows["d0"]["status"] == "updated" and rows["d1"]["status"] == "active" and rows["d0"]["doc_type"] == "html"
+    assert current(spark, folder, "chunks").count() == 4 and prune(folder, spark)[1].count() == 2
+    assert current(spark, folder, "attachments").first()["file_type"] == "pdf" and spark.read.parquet(f"{folder}/runs").count() == 2
