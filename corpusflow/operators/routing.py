@@ -156,13 +156,13 @@ def answer_batch(
     Replies that a language model or the weather service would write are left to the caller: the
     row then carries the context, null where there is none.
     """
-    from .lookup import best_match
+    from .lookup import CONTACT_STOPWORDS, PLACE_STOPWORDS, best_match
 
     routed = route_questions(questions, "text", rules)
     branches = []
-    for intent, table, value in (("phone", contacts, "phone"), ("map", places, "location")):
+    for intent, table, value, stop in (("phone", contacts, "phone", CONTACT_STOPWORDS), ("map", places, "location", PLACE_STOPWORDS)):
         asked = routed.where((F.col("route") == "relational_db") & (F.col("db_intent") == intent))
-        found = best_match(asked, table, "text").select("query_id", "name", value)
+        found = best_match(asked, table, "text", stop).select("query_id", "name", value)
         branches.append(asked.join(found, "query_id", "left").select("query_id", "route", F.concat_ws(": ", "name", value).alias("reply"), F.lit(None).cast("string").alias("context")))
     asked = routed.where(F.col("route") == "rag")
     context = context_blocks(search_results.join(asked.select("query_id"), "query_id", "left_semi"))

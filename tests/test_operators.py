@@ -118,7 +118,7 @@ def test_answers(spark):
     questions = spark.createDataFrame([(1, "중앙도서관 전화번호"), (2, "안녕"), (3, "졸업요건")], "query_id int, text string")
     results = spark.createDataFrame([(3, 1, "A", "u", 0.5, "t"), (3, 2, "B", "u", 0.4, "t2")], "query_id int, rank int, title string, source_url string, score double, text string")
     got = {r["query_id"]: r for r in routing.answer_batch(questions, contacts, places, results).collect()}
-    assert got[2]["reply"] is None and got[3]["context"].startswith("[1] A\nsource_url: u") and got[1]["route"] == "relational_db"
+    assert got[2]["reply"] is None and got[3]["context"].startswith("[1] A\nsource_url: u") and got[1]["reply"] == "중앙도서관: 031-1"
     best = lookup.best_match(spark.createDataFrame([(1, "중앙도서관 전화번호 알려줘")], "query_id int, text string"), contacts, "text", lookup.CONTACT_STOPWORDS).first()
     assert best["phone"] == "031-1" and best["score"] == 105
 
