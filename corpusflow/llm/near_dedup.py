@@ -6,11 +6,14 @@ the shingles, the second is applied after a circular shift, by k for coordinate
     h_k(document) = min over its shingles x of second((first(x) + k) mod 2^32).
 
 Documents with one set of shingles are one class, and only a class's representative goes on. A band
-of `rows` coordinates is a bucket; in each bucket members are compared with a few centres, never
-with each other: a centre that has been compared with all of its bucket leaves it, and a bucket is
-done as soon as the links found so far join all that is left of it. Links are confirmed on the full
-sets of shingles. So a group of any size costs one comparison a member, and a bucket of strangers
-is worked through without a cap.
+of `rows` coordinates is a bucket. In a first round each bucket compares its members with its first
+one, which settles groups of copies of any size at one comparison a member; a second round compares
+what is left with one member of each bucket's largest component. A third compares members of
+components that are still apart, block by block, by longer sketches of the same permutations and
+then by sets of 32-bit hashes, closest first; as one link joins two components, a block hands on
+one for each pair of them. Links of all rounds are confirmed on the full sets of shingles. A
+bucket's largest component is never compared with itself, blocks are of bounded size, and no
+bucket is cut off.
 """
 
 from __future__ import annotations
@@ -20,15 +23,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, pin
+from .common import free, lookup, pin
 from .components import connected_components
 
 BANDS, ROWS = 28, 4
-#: Centres of a bucket in one round of comparisons.
-CENTRES = 4
+#: Coordinates of the last round's sketches, a byte each, and how far below the wanted share of
+#: equal ones a pair is ruled out: 0.15 is over 4.7 standard deviations at a similarity of 0.8.
+SKETCH, SLACK = 160, 0.15
+#: Rows of one side of a block.
+BLOCK = 1024
 #: Identifiers up to this many (16 MB) are broadcast to pick out texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: A centre's text is sent to tasks of so many of its partners.
@@ -132,6 +138,145 @@ def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str, n_wor
     return found.mapInArrow(own, "id long, text string").groupBy("id").agg(F.first("text").alias("text"))
 
 
+def _sketcher(n_words: int):
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, n_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            short = [np.unique((s ^ (s >> np.uint64(32))).astype(np.uint32)).tobytes() for s in sets]
+            made = [signature(s, SKETCH).astype(np.uint8).tobytes() for s in sets]
+            yield pa.record_batch({"rep": batch.column("id"), "sketch": pa.array(made, pa.binary()), "short": pa.array(short, pa.binary())})
+
+    return sketch
+
+
+def _shared(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with several others."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    starts = np.cumsum([0, *[len(o) for o in others[:-1]]])
+    return np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
+
+
+def _block_links(percent: int):
+    """Rows come sorted by block; a block gives a link for each two components that its sides join."""
+    share = percent / 100 - SLACK
+    least = int(SKETCH * (share + (1 - share) / 256))
+
+    def links(rep, n, c, side, sketches, short) -> list[tuple[int, int]]:  # noqa: ANN001
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        found, joined = [], {int(x): int(x) for x in c}
+        lost = n - np.array([len(s) for s in short])  # shingles that fall together in 32 bits
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                x = joined[x]
+            return x
+
+        for i in left:
+            others = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if right is left:
+                others = others[others > i]
+            equal = (sketches[others] == sketches[i]).sum(axis=1)
+            others = others[np.argsort(-equal, kind="stable")][: int((equal >= least).sum())]
+            while len(others):
+                others = others[[root(int(c[o])) != root(int(c[i])) for o in others]]
+                part, others = others[:16], others[16:]
+                if not len(part):
+                    break
+                both = _shared(short[i], [short[o] for o in part]) + lost[i] + lost[part]
+                for o in part[100 * both >= percent * (n[i] + n[part] - both)]:
+                    a, b = root(int(c[i])), root(int(c[o]))
+                    if a != b:
+                        joined[a] = b
+                        found.append((int(rep[i]), int(rep[o])))
+        return found
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def edges(table: pa.Table) -> np.ndarray:
+            keys = np.stack([table.column(k).to_numpy() for k in ("bucket", "i", "j")], axis=1)
+            return np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+
+        def settle(table: pa.Table) -> pa.RecordBatch:
+            rep, n, c, side = (table.column(k).to_numpy() for k in ("rep", "n", "c", "side"))
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+            cuts = [0, *edges(table).tolist(), len(table)]
+            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in links(rep[a:b], n[a:b], c[a:b], side[a:b], sketches[a:b], short[a:b])}
+            once = sorted({(min(p), max(p)) for p in found})
+            return pa.record_batch({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array([b for _, b in once], pa.int64())})
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            ends = edges(held)
+            if len(ends):  # the last block may go on in the next batch
+                yield settle(held.slice(0, int(ends[-1])))
+                held = held.slice(int(ends[-1]))
+        if held is not None and len(held):
+            yield settle(held)
+
+    return compare
+
+
+def _open_buckets(member: DataFrame, component: DataFrame) -> DataFrame:
+    """Members, with component c, of buckets that hold several components."""
+    here = pin(
+        member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    )
+    apart = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    return pin(here.join(apart, "bucket"))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar. A text with many partners is sent to several tasks."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
+    salted = pairs.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")))
+    left = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(parts, "a")
+    left = left.withColumn("salt", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
+    right = texts.withColumnsRenamed({"id": "b", "text": "text_b"})
+    both = salted.drop("parts").join(right, "b").join(left, ["a", "salt"])
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, percent), "a long, b long")
+
+
+def _main_components(rows: DataFrame) -> DataFrame:
+    """Per bucket: main, its largest component, many and few, the rows of that and the others, and kinds."""
+    counts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
+    return counts.groupBy("bucket").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("many"), (F.sum("m") - F.max("m")).alias("few"), F.count(F.lit(1)).alias("kinds")
+    )
+
+
+def _near(percent: int) -> Column:
+    """Whether a member and a centre are of comparable size and different components."""
+    return (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("c") != F.col("c_a"))
+
+
+def _block_rows(rows: DataFrame) -> DataFrame:
+    """Members of open buckets, dealt to blocks (bucket, i, j) of two sides.
+
+    The largest component of a bucket, in blocks j, meets the rest, in blocks i; the rest, unless it
+    is one component, also meets itself, in blocks i <= -1 - j.
+    """
+    cut = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1))
+    dealt = rows.join(_main_components(rows), "bucket").select(
+        "bucket", "rep", "n", "c", "kinds", (F.col("c") == F.col("main")).alias("is_main"), cut("many").alias("nj"), cut("few").alias("ni")
+    )
+    dealt = dealt.withColumn("h", F.xxhash64("rep"))
+    i, j = F.pmod("h", F.col("ni")), F.pmod("h", F.col("nj"))
+    upto = lambda n: F.explode(F.expr(f"sequence(0L, {n} - 1L)"))
+    base = ["bucket", "rep", "n", "c"]
+    of_main = dealt.where("is_main").select(*base, j.alias("j"), upto("ni").alias("i"), F.lit(1).alias("side"))
+    of_rest = dealt.where("not is_main").select(*base, i.alias("i"), upto("nj").alias("j"), F.lit(0).alias("side"))
+    rest = dealt.where("not is_main and kinds > 2").select(*base, i.alias("own"), upto("ni").alias("other"))
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    among = rest.select(*base, F.least("own", "other").alias("i"), (-1 - F.greatest("own", "other")).alias("j"), side.alias("side"))
+    columns = [*base, "i", "j", "side"]
+    return of_main.select(columns).union(of_rest.select(columns)).union(among.select(columns))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -147,10 +292,10 @@ def near_duplicates(
     fewer words the whole sequence is one shingle. Documents are linked if their sets share at least
     `percent` % of their union. component_id is the smallest id reachable over links, the document's
     own included; the row with that id is kept. A null or blank text has no shingles and links with
-    nothing. Rows with a null id are never kept and have their class's component. Rows of one id are
-    one document: they get the smallest component of any of them. Two linked
-    documents miss all 28 bands of 4 with a probability under 5e-7. Only the two named columns are
-    read, so names of other columns cannot clash. An empty table gives an empty result.
+    nothing. Rows with a null id are never kept and have their class's component. Ids name texts: of
+    rows with one id and different texts the links of one text count, and all may be kept. Two
+    linked documents miss all 28 bands of 4 with a probability under 5e-7. Only the two named
+    columns are read, so names of other columns cannot clash. An empty table gives an empty result.
     """
     signed = pin(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
@@ -173,32 +318,32 @@ def near_duplicates(
     shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     member = pin(member.join(shared, "bucket").distinct())
     component = connected_components(links)
-    texts: DataFrame | None = None
-    while True:
-        here = pin(
-            member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        )
-        open_ = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        here = pin(here.join(open_, "bucket"))
-        if here.isEmpty():
-            break
-        centre = here.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("part")).agg(F.min_by(F.struct("rep", "n", "c"), "rep").alias("m"))
-        centre = pin(centre.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a")))
-        near = (100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")) & (F.col("c") != F.col("c_a")) & (F.col("a") != F.col("rep"))
-        pairs = pin(here.join(centre, "bucket").where(near).select("a", F.col("rep").alias("b")).distinct())
-        if texts is None:
-            ids = here.select("rep").distinct().join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest")
-            texts = pin(_texts(docs, pin(ids), id_col, text_col, n_words))
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
-        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts"))
-        salted = salted.join(parts, "a").withColumn("salt", F.pmod("salt", F.col("parts")))
-        left = texts.withColumnsRenamed({"id": "a", "text": "text_a"}).join(parts, "a").withColumn("salt", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
-        right = texts.withColumnsRenamed({"id": "b", "text": "text_b"})
-        both = salted.drop("parts").join(right, "b").join(left, ["a", "salt"])
-        found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_words, percent), "a long, b long")
-        links = pin(links.union(found))
+    here = _open_buckets(member, component)
+    if not here.isEmpty():
+        ids = here.select("rep").distinct().join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest")
+        texts = pin(_texts(docs, pin(ids), id_col, text_col, n_words))
+        centre = here.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "c"), "rep").alias("m"))
+        centre = centre.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"))
+        pairs = pin(here.join(centre, "bucket").where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
+        links = pin(links.union(_confirmed(pairs, texts, n_words, percent)))
+        component = connected_components(links)
+        here = _open_buckets(member, component)
+    if not here.isEmpty():
+        main = here.join(_main_components(here).select("bucket", "main"), "bucket").where("c = main")
+        centre = main.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "c"), F.xxhash64("bucket", "rep")).alias("m"))
+        centre = centre.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"))
+        pairs = pin(here.join(centre, "bucket").where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
+        links = pin(links.union(_confirmed(pairs, texts, n_words, percent)))
+        component = connected_components(links)
+        here = _open_buckets(member, component)
+    if not here.isEmpty():
+        reps = here.select(F.col("rep").alias("id")).distinct()
+        sketches = pin(texts.join(reps, "id", "left_semi").mapInArrow(_sketcher(n_words), "rep long, sketch binary, short binary"))
+        blocks = _block_rows(here).join(sketches, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        columns = ["bucket", "i", "j", "side", "rep", "n", "c", "sketch", "short"]
+        found = pin(blocks.select(columns).mapInArrow(_block_links(percent), "a long, b long").distinct())
+        links = pin(links.union(_confirmed(found, texts, n_words, percent)))
         component = connected_components(links)
-        member = pin(here.join(centre.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("rep", "n", "bucket"))
     final = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "copies", F.coalesce("component", "rep").alias("component_id")
     )
@@ -213,6 +358,10 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that `near_duplicates` keeps, with all their columns."""
-    kept = near_duplicates(docs, id_col, text_col, n_words, percent).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    """The rows of `docs` that `near_duplicates` keeps, with all their columns.
+
+    Rows without an id cannot be told apart by it; they all stay.
+    """
+    (own,) = free(docs, "kept_id")
+    kept = near_duplicates(docs, id_col, text_col, n_words, percent).where("kept").select(F.col(id_col).alias(own)).distinct()
+    return docs.join(kept, F.col(id_col) == F.col(own), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
