@@ -425,6 +425,21 @@ def attachment_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.attachment_titles(files, docs).select("doc_id", "title")
 
 
+@query(
+    """WITH d AS (SELECT page_id, 'Title ' || (page_id % 3) AS title, 'https://f.example/' || (page_id % 20) || '.pdf' AS url FROM pages)
+    SELECT a.page_id AS doc_id, coalesce(p.title, 'none') AS title FROM pages a LEFT JOIN (SELECT url, min_by(title, page_id) AS title FROM d GROUP BY 1) p
+    ON p.url = 'https://f.example/' || (a.page_id % 25) || '.pdf'"""
+)
+def attachment_titles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page is a parent."""
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages")
+    file = lambda k: F.concat(F.lit("https://f.example/"), n % k, F.lit(".pdf"))
+    docs = p.select(n.alias("seq"), F.concat(F.lit("Title "), n % 3).alias("title"), F.array(file(20)).alias("attachment_urls"))
+    files = p.select(n.alias("doc_id"), F.concat(file(25), F.lit("#inner.txt")).alias("source_url"), F.lit("none").alias("title"))
+    return crawl.attachment_titles(files, docs).select("doc_id", "title")
+
+
 # ---------------------------------------------------------------- dates and parsers
 
 DATED = """d AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '작성일 : 2024-03-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 09:05' WHEN 1 THEN 'x 등록일 2023.' || (doc_id % 12 + 1) || '.7 y'
@@ -686,6 +701,25 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.context_blocks(rows)
 
 
+@query(
+    """WITH r AS (SELECT p_partkey // 10 AS query_id, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS rank, p_name AS title, 'u' || (p_partkey % 3) AS url, p_type AS text,
+      round(p_retailprice / 1000, 6) AS score FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS k FROM r)
+    SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || 'source_url: ' || url || chr(10) || 'score: ' || printf('%.6f', score) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
+      string_agg('- ' || title || ': ' || url, chr(10) ORDER BY rank) FILTER (k = 1) AS sources FROM f GROUP BY 1"""
+)
+def context_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts, in groups of ten neighbouring keys."""
+    from pyspark.sql import Window
+
+    k = F.col("p_partkey")
+    group = F.floor(k / 10).cast("long")
+    rows = table(spark, sf_dir, "part").select(
+        group.alias("query_id"), F.row_number().over(Window.partitionBy(group).orderBy(k)).alias("rank"), F.col("p_name").alias("title"),
+        F.concat(F.lit("u"), k % 3).alias("source_url"), F.col("p_type").alias("text"), F.round(F.col("p_retailprice") / 1000, 6).alias("score"),
+    )
+    return routing.context_blocks(rows)
+
+
 FORECAST = (
     '{"daily": {"time": ["2025-01-01", "2025-01-02", "2025-01-03", "2025-01-04"], "weather_code": [0, 61, 7], "temperature_2m_max": [1.5, 2.5, 3.5, 4.5],'
     ' "temperature_2m_min": [-1.0, 0.0, 1.0, 2.0], "precipitation_probability_max": [10, 20, 30, 40], "precipitation_sum": [0.0, 1.2], "wind_speed_10m_max": [5.0, 6.0, 7.0, 8.0]}}'

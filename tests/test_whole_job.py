@@ -17,3 +17,18 @@ def test_full_report_counts_versions_and_cleans(spark, tmp_path):
     got = {r["source_name"]: tuple(r)[1:] for r in queries.QUERIES["ingest_full_report"](spark, folder).collect()}
     assert got == {"a": (4, 2, 1, 1, 2, 2, "ok"), "b": (2, 2, 0, 0, 3, 3, "ok"), "silent": (0, 0, 0, 0, 0, 0, "no_content_discovered")}
     assert tuple(queries.QUERIES["run_full_totals"](spark, folder).first()) == (3, 6, 4, 1, 1, 5, 5)
+
+
+def test_context_blocks_all_takes_every_part(spark):
+    import re
+
+    folder = "/root/testdata/sf0.01"  # 2,000 parts, of which context_blocks takes 500
+    got = queries.QUERIES["context_blocks_all"](spark, folder).collect()
+    sizes = [len(re.findall(r"^source_url: ", r["context"], re.M)) for r in got]
+    assert sum(sizes) == spark.read.parquet(f"{folder}/part.parquet").count() and max(sizes) <= 10
+
+
+def test_attachment_titles_all_takes_every_parent(spark, tmp_path):
+    spark.createDataFrame([(1, "u", ""), (21, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["doc_id"]: r["title"] for r in queries.QUERIES["attachment_titles_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "Title 1", 21: "none"}  # file 1 is linked by both, first by page 1; file 21 by none
