@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..sources.shared import pin
 
 # What a question about a place, or a phone number, says besides the name.
 PLACE_STOPWORDS = (
@@ -16,7 +19,7 @@ CONTACT_STOPWORDS = (
     "전화번호", "연락처", "전화", "번호", "알려줘", "알려", "찾아줘", "찾아", "좀", "주세요", "주세", "해줘", "뭐야", "뭐지", "있어", "있니", "문의",
     "가르쳐", "가르쳐줘", "알고싶", "알고싶어",
 )
-#: Rows up to which a directory is broadcast.
+#: Rows up to which a directory is broadcast as one block.
 DIRECTORY_ROWS = 100_000
 
 
@@ -43,20 +46,30 @@ def match_score(key: Column, name: Column, description: Column) -> Column:
     return F.when(F.length(key) < 2, 0).otherwise(F.greatest(inside, F.coalesce(near, F.lit(0))))
 
 
-def best_match(questions: DataFrame, directory: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
+def best_match(
+    questions: DataFrame, directory: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = (), most_rows: int = DIRECTORY_ROWS
+) -> DataFrame:
     """Per question with any match the best row of the directory (id, name, description, ...), lowest id on ties.
 
-    The directory, up to DIRECTORY_ROWS rows, goes to every task; the best row is taken by max_by,
-    so a task hands on one row per question.
+    The directory goes to every task; the best row is taken by max_by, so a task hands on one row
+    per question. A directory of more than `most_rows` rows goes in blocks by hash of id, whose best
+    rows are materialised and compared in the same way.
     """
-    if directory.limit(DIRECTORY_ROWS + 1).count() > DIRECTORY_ROWS:
-        raise ValueError(f"a directory has at most {DIRECTORY_ROWS} rows")
-    asked = questions.withColumn("_key", keyword(F.col(text_col), stopwords))
+    asked = questions.withColumn("_key", keyword(F.col(text_col), stopwords)).select("query_id", "_key").where(F.length("_key") >= 2)
+    blocks = max(1, -(-directory.count() // most_rows))
+    if blocks == 1:
+        return _best_of(asked, directory).select("query_id", "b.score", "b.row.*")
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    found = reduce(DataFrame.unionByName, [pin(_best_of(asked, directory.where(block == i))) for i in range(blocks)])
+    best = found.groupBy("query_id").agg(F.max_by("b", F.struct("b.score", -F.col("b.row.id"))).alias("b"))
+    return best.select("query_id", "b.score", "b.row.*")
+
+
+def _best_of(asked: DataFrame, directory: DataFrame) -> DataFrame:
     score = match_score(F.col("_key"), F.col("name"), F.col("description"))
-    pairs = asked.select("query_id", "_key").where(F.length("_key") >= 2).join(F.broadcast(directory), score > 0)
+    pairs = asked.join(F.broadcast(directory), score > 0)
     row = F.struct(*directory.columns)
-    best = pairs.groupBy("query_id").agg(F.max_by(F.struct(score.alias("score"), row.alias("row")), F.struct(score, -F.col("id"))).alias("b"))
-    return best.select("query_id", "b.score", "b.row.*")
+    return pairs.groupBy("query_id").agg(F.max_by(F.struct(score.alias("score"), row.alias("row")), F.struct(score, -F.col("id"))).alias("b"))
 
 
 def with_fallback(questions: DataFrame, best: DataFrame, directory: DataFrame, names: list[str]) -> DataFrame:

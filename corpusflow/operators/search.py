@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, tokens
+from ..sources.shared import pin
 
 MULTIPLIER, MOST_CANDIDATES = 4, 50
 # Weights of similarity, freshness and title match by category.
@@ -107,14 +110,20 @@ def search(vectors: DataFrame, query: str, query_vector: list[float], as_of: Col
 def batch_search(vectors: DataFrame, queries: DataFrame, as_of: Column, top_k: int = 5, most_queries: int = 10_000) -> DataFrame:
     """Top_k results of each row of `queries` (query_id, query, query_vector, category or null).
 
-    Vectors stay where they are: the queries, at most `most_queries`, go to every task, each task
-    keeps its own nearest candidates of a query (partial top n), and only those are shuffled. More
-    queries than that are an error; call it block by block.
+    Vectors stay where they are: the queries go to every task, each task keeps its own nearest
+    candidates of a query (partial top n), and only those are shuffled. More than `most_queries`
+    queries go in blocks by hash of query_id, each of which reads the vectors anew; a block's results
+    are materialised, so that the driver holds one block of queries at a time.
     """
+    blocks = max(1, -(-queries.count() // most_queries))
+    if blocks == 1:
+        return _search_block(vectors, queries, as_of, top_k)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [pin(_search_block(vectors, queries.where(block == i), as_of, top_k)) for i in range(blocks)])
+
+
+def _search_block(vectors: DataFrame, few: DataFrame, as_of: Column, top_k: int) -> DataFrame:
     n = candidate_count(top_k)
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"a block has at most {most_queries} queries")
-    few = queries
     hit = F.col("q.category").isNull() | (F.col("q.category") == F.col("v.category"))
     pairs = vectors.alias("v").join(F.broadcast(few).alias("q"), hit).select(
         "q.query_id", "q.query", F.col("q.category").alias("asked"), "v.chunk_id", "v.doc_id", "v.text", "v.title", "v.source_url", "v.published_at",

@@ -1,8 +1,9 @@
 """Queries and operators over the whole of their input, against brute force on small fixtures."""
 
-import pytest
+from pyspark.sql import functions as F
 
 from corpusflow import queries
+from corpusflow.operators import lookup, search
 
 
 def test_full_report_counts_versions_and_cleans(spark, tmp_path):
@@ -32,3 +33,22 @@ def test_attachment_titles_all_takes_every_parent(spark, tmp_path):
     spark.createDataFrame([(1, "u", ""), (21, "v", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["doc_id"]: r["title"] for r in queries.QUERIES["attachment_titles_all"](spark, str(tmp_path)).collect()}
     assert got == {1: "Title 1", 21: "none"}  # file 1 is linked by both, first by page 1; file 21 by none
+
+
+def test_batch_search_takes_more_queries_than_a_block(spark):
+    vectors = queries.vectors(spark, "/root/testdata/sf0.001").limit(60).localCheckpoint()
+    asked = vectors.where("chunk_id % 2 = 0").select(
+        F.col("chunk_id").alias("query_id"), F.lit("title alpha2").alias("query"), F.col("embedding").cast("array<double>").alias("query_vector"), F.lit(None).cast("string").alias("category")
+    )
+    rows = lambda most: sorted(map(tuple, search.batch_search(vectors, asked, queries.as_of(), 3, most).collect()))
+    want = rows(10_000)
+    assert len(want) == 3 * asked.count() and rows(7) == want
+
+
+def test_best_match_takes_a_directory_of_several_blocks(spark):
+    rows = [(i, f"office {i % 9}", "room" if i % 2 else "hall") for i in range(40)]
+    directory = spark.createDataFrame(rows, "id long, name string, description string")
+    asked = spark.createDataFrame([(1, "office7"), (2, "hall"), (3, "office"), (4, "none at all")], "query_id int, text string")
+    found = lambda most: sorted(map(tuple, lookup.best_match(asked, directory, most_rows=most).collect()))
+    want = found(100_000)
+    assert [(q, i) for q, _, i, _, _ in want] == [(1, 7), (2, 0), (3, 0)] and found(6) == want
