@@ -6,7 +6,8 @@ next phrase. Text of the language falls into few long phrases, other text into m
 phrases per character is the cross-parsing entropy, and the language with the least wins.
 
 Automata are small tables of transitions, so many stretches of text are parsed in lockstep with
-numpy. Texts are parsed whole, in stretches of `STRETCH` characters that phrases do not cross.
+numpy: a dense table for the most common letters of all languages, a sorted list for all other
+letters. Texts are parsed whole, in stretches of `STRETCH` characters that phrases do not cross.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ from pyspark.sql import types as T
 from .sampling import bounded_sample
 
 STRETCH = 256
-#: Characters that an automaton tells apart; rarer ones count as one.
+#: Letters with a column in the dense tables; transitions by other letters are looked up by key.
 ALPHABET = 62
 #: Bounds of what is fitted on: documents of a language, characters of each, characters of a
 #: language, and characters over all languages together.
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 2000, 40_000, 1_600_000
 UNDETERMINED = "und"
+#: Above all codes.
+SPAN = 1 << 21
 
 
-def suffix_automaton(codes: Iterable[int], width: int) -> np.ndarray:
-    """Transition table [state, code] of all substrings of `codes`; -1 where there is none."""
+def transitions(codes: Iterable[int]) -> list[dict[int, int]]:
+    """Suffix automaton of `codes`: the next state by code, of each state."""
     nexts: list[dict[int, int]] = [{}]
     links, lengths, last = [-1], [0], 0
     for c in codes:
@@ -58,44 +61,79 @@ def suffix_automaton(codes: Iterable[int], width: int) -> np.ndarray:
                     nexts[p][c] = copy
                     p = links[p]
         last = new
+    return nexts
+
+
+def suffix_automaton(codes: Iterable[int], width: int) -> np.ndarray:
+    """Transition table [state, code] of all substrings of `codes`; -1 where there is none."""
+    return split_automaton(codes, width)[0]
+
+
+def split_automaton(codes: Iterable[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table of the codes below `width`; sorted keys (state * SPAN + code) and next states of the others."""
+    nexts = transitions(codes)
     table = np.full((len(nexts), width), -1, np.int32)
+    keys, ends = [], []
     for state, out in enumerate(nexts):
-        for c, to in out.items():
-            table[state, c] = to
-    return table
+        for c, to in sorted(out.items()):
+            if c < width:
+                table[state, c] = to
+            else:
+                keys.append(state * SPAN + c)
+                ends.append(to)
+    return table, np.array(keys, np.int64), np.array(ends, np.int32)
 
 
 class Alphabet:
-    """Codes of characters: 0 for all that are no letters, 1 for rare letters, then the common ones."""
-
-    def __init__(self, letters: str) -> None:
-        self.letters = letters
-        self.table = np.ones(0x3000, np.uint8)
-        self.table[[i for i in range(0x3000) if not chr(i).isalpha()]] = 0
-        for i, c in enumerate(letters):
-            if ord(c) < 0x3000:
-                self.table[ord(c)] = i + 2
+    """Codes of characters: 0 for all that are no letters, 1 for letters not learned, then `letters`, padding and `rare` letters.
+
+    `table` has the code of every code point; it is made here if not given.
+    """
+
+    def __init__(self, letters: str, rare: str = "", table: np.ndarray | None = None) -> None:
         self.pad = len(letters) + 2
+        if table is None:
+            kind = np.uint8 if self.pad + len(rare) < 256 else np.int32
+            table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(kind)
+            for i, c in enumerate(letters):
+                table[ord(c)] = i + 2
+            for i, c in enumerate(rare):
+                table[ord(c)] = self.pad + 1 + i
+        self.letters, self.table = letters, table
 
     def codes(self, text: str) -> np.ndarray:
         """Lower-cased; runs of non-letters become one code, and one stands before and after."""
         points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-        out = self.table[np.minimum(points, 0x2FFF)]
-        out[points >= 0x3000] = 1
+        out = self.table[points]
         gap = out == 0
         return out[~(gap & np.concatenate(([False], gap[:-1])))]
 
 
-def parse_costs(docs: list[np.ndarray], tables: list[np.ndarray], pad: int) -> np.ndarray:
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def look_up(sparse: Sparse, wanted: np.ndarray) -> np.ndarray:
+    """Next states by key; -1 where there is none."""
+    keys, ends = sparse
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int32)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, ends[at], -1)
+
+
+def parse_costs(docs: list[np.ndarray], tables: list[np.ndarray], pad: int, sparse: list[Sparse] | None = None) -> np.ndarray:
     """Phrases per character of each document (row) against each automaton (column)."""
     counts = [-(-len(d) // STRETCH) for d in docs]
-    lanes = np.full((max(1, sum(counts)), STRETCH), pad, np.uint8)
+    lanes = np.full((max(1, sum(counts)), STRETCH), pad, docs[0].dtype if docs else np.uint8)
     owner = np.repeat(np.arange(len(docs)), counts)
     at = 0
     for d, n in zip(docs, counts, strict=True):
         lanes[at : at + n].reshape(-1)[: len(d)] = d
         at += n
     steps = np.ascontiguousarray(lanes.T).astype(np.int32)
+    rare = [np.flatnonzero(c > pad) for c in steps]
+    others = [c[r].astype(np.int64) for c, r in zip(steps, rare, strict=True)]
+    steps[steps > pad] = 1
     sizes = np.array([max(1, len(d)) for d in docs], float)
     out = np.empty((len(docs), len(tables)))
     for k, table in enumerate(tables):
@@ -103,35 +141,41 @@ def parse_costs(docs: list[np.ndarray], tables: list[np.ndarray], pad: int) -> n
         flat, root = table.reshape(-1), np.maximum(table[0], 0)
         state = np.zeros(lanes.shape[0], np.int32)
         phrases = np.zeros(lanes.shape[0], np.int32)
-        for c in steps:
+        for c, r, o in zip(steps, rare, others, strict=True):
             to = flat[state * width + c]
+            if len(r) and sparse:
+                to[r] = look_up(sparse[k], state[r] * SPAN + o)
             broken = to < 0
             phrases += broken
             state = np.where(broken, root[c], to)
+            if len(r) and sparse:
+                again = np.flatnonzero(broken[r])
+                state[r[again]] = np.maximum(look_up(sparse[k], o[again]), 0)
         phrases += state != 0
         out[:, k] = np.bincount(owner, phrases[: len(owner)], len(docs)) / sizes
     return out
 
 
-def fit(labelled: DataFrame, docs: DataFrame) -> tuple[list[str], str, list[np.ndarray]]:
-    """Languages in order of name, the alphabet's letters, and a table per language."""
+def fit(labelled: DataFrame, docs: DataFrame) -> tuple[list[str], Alphabet, list[np.ndarray], list[Sparse]]:
+    """Languages in order of name, the alphabet, and the tables and sorted lists of the languages."""
     sample = bounded_sample(labelled, docs, SAMPLE_DOCS, SAMPLE_CHARS)
     texts: dict[str, list[str]] = {}
     for lang, _, text in sample:
         if any(c.isalpha() for c in text):
             texts.setdefault(lang, []).append(text)
     common = Counter(c for parts in texts.values() for t in parts for c in t.lower() if c.isalpha())
-    letters = "".join(sorted(c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
-    alphabet = Alphabet(letters)
+    ordered = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    alphabet = Alphabet("".join(sorted(ordered[:ALPHABET])), "".join(sorted(ordered[ALPHABET:])))
     langs = sorted(texts)
     most = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(langs)))
-    tables = []
+    tables, sparse = [], []
     for lang in langs:
         codes = np.concatenate([alphabet.codes(t) for t in texts[lang]])[:most]
-        table = suffix_automaton(codes.tolist(), alphabet.pad + 1)
+        table, keys, ends = split_automaton(codes.tolist(), alphabet.pad + 1)
         table[:, alphabet.pad] = np.arange(len(table))  # padding leaves the state as it is
         tables.append(table)
-    return langs, letters, tables
+        sparse.append((keys, ends))
+    return langs, alphabet, tables, sparse
 
 
 def identify_language(
@@ -156,15 +200,16 @@ def identify_rows(
     """The rows of `docs` with all their columns, and the two results under names that it lacks."""
     if {pred_col.lower(), score_col.lower()} & {c.lower() for c in docs.columns}:
         raise ValueError("the names of the results are taken")
-    langs, letters, tables = fit(labelled, fit_on)
-    model = docs.sparkSession.sparkContext.broadcast(tables)  # at most 2 * ALL_CHARS states
+    langs, learned, tables, sparse = fit(labelled, fit_on)
+    letters = learned.letters
+    model = docs.sparkSession.sparkContext.broadcast((tables, sparse, learned.table))  # at most 2 * ALL_CHARS states
 
     def settle(texts: list[np.ndarray | None], alphabet: Alphabet) -> tuple[list[str], list[float]]:
         names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         real = [i for i, t in enumerate(texts) if t is not None]
         if not real or not langs:
             return names, scores
-        costs = parse_costs([texts[i] for i in real], model.value, alphabet.pad)
+        costs = parse_costs([texts[i] for i in real], model.value[0], alphabet.pad, model.value[1])
         order = np.argsort(costs, axis=1, kind="stable")
         for j, i in enumerate(real):
             names[i] = langs[order[j, 0]]
@@ -173,7 +218,7 @@ def identify_rows(
         return names, scores
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabet(letters)
+        alphabet = Alphabet(letters, table=model.value[2])
         for batch in batches:
             at = 0
             while at < len(batch):
