@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_content, normalize_title, normalize_value
 from ..functions.urls import part
+from ..sources.shared import pin
 
 # Preference among source types; others have 0.
 SOURCE_TYPE_PRIORITY = {"html": 6, "markdown": 5, "pdf": 4, "docx": 3, "hwp": 3, "hwpx": 3, "zip": 2, "image": 2, "file": 1, "notice": 0}
 # Shortest content that is compared, and what makes two contents versions.
 LEAST_LENGTH, CONTAINED, SIMILAR, SIMILAR_PATH = 200, 0.85, 0.92, 0.75
 
+#: Rows of a group that one task settles in order, and about as many that one task compares with them.
+BLOCK, PART = 256, 1000
+
 KEY = ["source_name", "_title", "_category", "_department"]
 
 
@@ -76,12 +80,14 @@ def same_document(left: str, right: str, left_path: str, right_path: str) -> boo
     if short in long and len(short) >= CONTAINED * len(long):
         return True
     least = SIMILAR_PATH if left_path and left_path == right_path else SIMILAR
+    if 2.0 * len(short) / (len(left) + len(right)) < least:
+        return False  # before the matcher indexes the text
     match = SequenceMatcher(a=left, b=right)
-    return match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
+    return match.quick_ratio() >= least and match.ratio() >= least
 
 
 def _greedy(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come by group and falling rank. Only what is kept of the current group is held."""
+    """Rows come by group and falling rank, at most a block of each group. Yields what is kept."""
     group: tuple | None = None
     kept: list[tuple[str, str]] = []
     for pdf in frames:
@@ -94,30 +100,57 @@ def _greedy(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not found:
                 kept.append((row.content, row.path))
             keep.append(not found)
-        yield pdf.loc[keep, ["doc_id", "seq", "source_name"]]
+        yield pdf.loc[keep]
+
 
+def _unlike(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+    """The rows that are no version of a kept, better-ranked one."""
+    better = list(zip(kept["content"], kept["path"], strict=True))
+    fresh = [not any(same_document(text, row.content, path, row.path) for text, path in better) for row in rows.itertuples(index=False)]
+    return rows.loc[fresh, ["doc_id", "seq"]]
 
-def version_survivors(docs: DataFrame) -> DataFrame:
+
+def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Of exact survivors, the rows that are no version of a better-ranked kept row of their group.
 
-    The greedy pass depends on its order, so a group is one sorted stream: it is not held in memory
-    as a whole, but it stays in one task. Groups of one row, nearly all, are passed by.
+    The greedy order is settled in rounds. A round takes the `block` best undecided rows of each
+    group, settles them in one task, and compares what it keeps with all other undecided rows of the
+    group, which are dealt out in parts of about `PART` rows; those that match are dropped. So a task
+    holds a part and a block, however large a group is. A group takes as many rounds as blocks are
+    needed for what is neither kept nor dropped before. Groups of one row, nearly all, are passed by.
     """
+    keys = ["source_name", "title", "category", "department"]
     rows = ranked(exact_survivors(docs))
-    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
-    several = rows.join(sizes, KEY, "left_semi")
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    several = rows.join(sizes, KEY)
     slim = several.select(
         F.coalesce("source_name", F.lit("")).alias("source_name"), F.col("_title").alias("title"), F.col("_category").alias("category"),
         F.col("_department").alias("department"), normalize_content(F.col("content")).alias("content"),
-        F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"), "doc_id", "seq", "_rank",
+        F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"), "doc_id", "seq", "_rank", "_size",
     )
-    keys = ["source_name", "title", "category", "department"]
-    ordered = slim.repartition(*keys).sortWithinPartitions(*keys, F.desc("_rank")).drop("_rank")
-    kept = ordered.mapInPandas(_greedy, "doc_id string, seq long, source_name string").select("doc_id", "seq")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_rank")))
+    small, undecided = slim.where(F.col("_size") <= block), slim.where(F.col("_size") > block)
+    kept = _settled(small, keys).select("doc_id", "seq")
+    undecided = pin(undecided.withColumn("_parts", F.ceil(F.col("_size") / PART).cast("int")).drop("_size"))
+    while not undecided.isEmpty():
+        places = undecided.select(*keys, "doc_id", "seq", "_rank").withColumn("_nth", nth).where(F.col("_nth") <= block).select("doc_id", "seq")
+        best = pin(places)
+        found = pin(_settled(undecided.join(best, ["doc_id", "seq"], "left_semi"), keys))
+        kept = kept.unionByName(found.select("doc_id", "seq"))
+        left = undecided.join(best, ["doc_id", "seq"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("doc_id", "seq"), F.col("_parts")).cast("int"))
+        dealt = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        slices = left.drop("_rank", "_parts").groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part"))
+        undecided = pin(undecided.join(slices.applyInPandas(_unlike, "doc_id string, seq long"), ["doc_id", "seq"], "left_semi"))
     alone = rows.join(sizes, KEY, "left_anti")
     return alone.select(*docs.columns).unionByName(several.join(kept, ["doc_id", "seq"], "left_semi").select(*docs.columns))
 
 
+def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """What the greedy pass keeps of a block of each group."""
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("_rank")).drop("_rank")
+    return ordered.mapInPandas(_greedy, ordered.schema)
+
+
 def dedup_metrics(docs: DataFrame, exact: DataFrame, versions: DataFrame) -> DataFrame:
     """Per source: total_input, total_output, exact and version duplicates removed."""
     count = lambda df, name: df.groupBy("source_name").agg(F.count(F.lit(1)).alias(name))

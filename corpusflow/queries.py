@@ -878,7 +878,7 @@ def attachment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of one archive per source, built from its documents' first lines; archives themselves are tested on fixtures."""
+    """Members of archives of at most a thousand documents of a source each, built from their first lines; archives themselves are tested on fixtures."""
     import pandas as pd
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -892,7 +892,7 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"source": [pdf["source_name"].iloc[0]], "content": [out.getvalue()]})
 
     named = documents(spark, sf_dir).select("source_name", "seq", "title")
-    built = named.groupBy("source_name").applyInPandas(build, "source string, content binary")
+    built = named.groupBy("source_name", F.floor(F.col("seq") / 1000)).applyInPandas(build, "source string, content binary")
     return archives.archive_members(built).select("source", "member", "doc_id", "source_url", F.length("content").alias("n_bytes"))
 
 

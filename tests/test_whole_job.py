@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusflow import queries
-from corpusflow.operators import lookup, search
+from corpusflow.operators import dedup, lookup, search
 
 
 def test_full_report_counts_versions_and_cleans(spark, tmp_path):
@@ -52,3 +52,45 @@ def test_best_match_takes_a_directory_of_several_blocks(spark):
     found = lambda most: sorted(map(tuple, lookup.best_match(asked, directory, most_rows=most).collect()))
     want = found(100_000)
     assert [(q, i) for q, _, i, _, _ in want] == [(1, 7), (2, 0), (3, 0)] and found(6) == want
+
+
+def test_versions_in_rounds_equal_one_stream(spark, monkeypatch):
+    import random
+    from datetime import datetime
+
+    rng = random.Random(7)
+    bases = ["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(230)) for _ in range(14)]
+    rows = []
+    for i in range(90):
+        text = "".join(c if rng.random() > 0.045 else "#" for c in bases[i % 14])
+        rows.append((f"d{i}", i, "s" if i % 10 else "t", "html", f"https://a.example/p{i % 3}", "T", text, None, None, None, datetime(2024, 1, 1, 0, rng.randrange(60))))
+    schema = (
+        "doc_id string, seq long, source_name string, source_type string, source_url string, title string, content string, category string,"
+        " department string, published_at timestamp_ntz, collected_at timestamp_ntz"
+    )
+    kept, want = {}, []
+    for r in sorted(rows, key=lambda r: (len(" ".join(r[6].split())), r[10], -r[1]), reverse=True):
+        text, path = " ".join(r[6].split()), r[4][17:]
+        if not any(dedup.same_document(a, text, p, path) for a, p in kept.setdefault(r[2], [])):
+            kept[r[2]].append((text, path))
+            want.append(r[0])
+    monkeypatch.setattr(dedup, "PART", 20)
+    found = lambda block: sorted(r["doc_id"] for r in dedup.version_survivors(spark.createDataFrame(rows, schema), block).collect())
+    assert 14 < len(want) < 90 and found(4) == sorted(want) and found(dedup.BLOCK) == sorted(want)
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    sizes, read = [], queries.archives.archive_members
+
+    def spy(built):
+        import io
+        import zipfile
+
+        sizes.extend(len(zipfile.ZipFile(io.BytesIO(r["content"])).namelist()) for r in built.collect())
+        return read(built)
+
+    monkeypatch.setattr(queries.archives, "archive_members", spy)
+    rows = spark.range(2500).selectExpr("id as doc_id", "concat('title ', id) as text", "'en' as lang", "'a' as source")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["zip_members"](spark, str(tmp_path))
+    assert sorted(sizes) == [500, 1000, 1000] and got.select("member", "doc_id").distinct().count() == 2500
