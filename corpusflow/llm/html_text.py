@@ -51,31 +51,48 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORDS = re.compile(r"[a-z]+")
+#: Parts of class names that tell what a page or wrapper has, rather than what an element is.
+STATES = frozenset("has have with without no not is".split())
 REST, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
 
 
-def _traits(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether an element is outside the main text, and the landmark that it begins."""
-    outside, landmark = tag in OUTSIDE, {"article": ARTICLE, "main": MAIN}.get(tag, OTHER)
+def _named(value: str) -> bool:
+    """Whether a class name or id is one of NAMES, or begins or ends in one, as in site-footer or ad-box."""
+    for name in value.split():
+        words = WORDS.findall(name)
+        if words and (words[0] in NAMES or words[-1] in NAMES) and not STATES.intersection(words):
+            return True
+    return False
+
+
+def _traits(tag: str, attrs: str) -> tuple[bool, bool, int]:
+    """Whether an element is outside the main text by what it is, or by its name only, and the landmark that it begins."""
+    outside, named, landmark = tag in OUTSIDE, False, {"article": ARTICLE, "main": MAIN}.get(tag, OTHER)
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
                 outside = True
-            elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMES.intersection(WORDS.findall(value)):
-                outside = True
+            elif name in ("class", "id") and tag not in ("html", "body", "article", "main") and _named(value):
+                named = True
             elif name == "role" and value == "main":
                 landmark = max(landmark, MAIN)
             elif name == "role" and value == "article" or name == "itemprop" and value == "articlebody":
                 landmark = ARTICLE
-    return outside, landmark
+    return outside, named, landmark
 
 
 def blocks_of(html: str | None) -> list[tuple[str, int]]:
-    """(text, region) of each block in page order; region is REST, OTHER, MAIN or ARTICLE."""
-    out: list[tuple[str, int]] = []
+    """(text, region) of each block in page order; region is REST, OTHER, MAIN or ARTICLE.
+
+    A name (class or id) closes an element, but not the landmarks inside it if all landmarks with
+    text are inside as many such elements: so a wrapper named after its sidebar does not hide the
+    article, and articles that are comments stay outside.
+    """
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = [("", False, OTHER)]
+    # Tag, outside by what it is, names around it, region, names around its landmark.
+    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, OTHER, 0)]
     source, at = html or "", 0
 
     def close() -> None:
@@ -83,7 +100,8 @@ def blocks_of(html: str | None) -> list[tuple[str, int]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, REST if stack[-1][1] else stack[-1][2]))
+                _, off, names, region, base = stack[-1]
+                out.append((text, REST if off or names > base else region, base))
 
     for m in TOKEN.finditer(source):
         if m.start() > at:
@@ -99,8 +117,9 @@ def blocks_of(html: str | None) -> list[tuple[str, int]]:
             if tag not in HOLDERS:
                 if not m["end"] and stack[-1][0] == tag:
                     stack.pop()  # the next paragraph or item ends the one before
-                if not m["end"] and m["attrs"] and _traits(tag, m["attrs"])[0]:
-                    stack.append((tag, True, stack[-1][2]))
+                if not m["end"] and m["attrs"] and any((traits := _traits(tag, m["attrs"]))[:2]):
+                    _, off, names, region, base = stack[-1]
+                    stack.append((tag, off or traits[0], names + traits[1], region, base))
                 elif m["end"] and stack[-1][0] == tag:
                     stack.pop()
                 continue
@@ -110,19 +129,22 @@ def blocks_of(html: str | None) -> list[tuple[str, int]]:
                         del stack[i:]
                         break
             elif not m["attrs"].endswith("/"):
-                outside, landmark = _traits(tag, m["attrs"])
-                _, off, region = stack[-1]
-                if tag == "header" and not off and (region < ARTICLE or outside):
+                outside, named, landmark = _traits(tag, m["attrs"])
+                _, off, names, region, base = stack[-1]
+                if tag == "header" and not off and (region < ARTICLE or outside or named):
                     outside = True
                 elif tag == "header" and not off:
                     region = -ARTICLE  # of an article's own header only the headings are text
                 if tag[0] == "h" and len(tag) == 2 and region < 0:
                     region = ARTICLE
-                stack.append((tag, off or outside, max(region, landmark) if region > 0 else region))
+                if landmark > OTHER and region > 0 and not named:
+                    base = names
+                stack.append((tag, off or outside, names + named, max(region, landmark) if region > 0 else region, base))
     if at < len(source):
         parts.append(source[at:])
     close()
-    return [(t, r if r > 0 else REST) for t, r in out]
+    least = min((base for _, r, base in out if r > OTHER), default=0)
+    return [(t, r if r == OTHER or r > OTHER and base == least else REST) for t, r, base in out]
 
 
 def settled_text(blocks: list[tuple[str, int]]) -> str | None:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corpusflow.llm import langid
+from corpusflow.llm import html_text, langid
 
 
 def test_texts_without_a_letter_are_undetermined(spark):
@@ -36,3 +36,23 @@ def test_sparse_and_dense_transitions_agree():
         table[:, alphabet.pad] = np.arange(len(table))
         costs.append(langid.parse_costs([alphabet.codes(probe)], [table], alphabet.pad, [(keys, ends)])[0, 0])
     assert costs[0] == costs[1] == costs[2]
+
+
+def text_of(body):
+    return html_text.settled_text(html_text.blocks_of(f"<html><body>{body}</body></html>"))
+
+
+def test_wrappers_named_after_what_they_hold_do_not_hide_the_article():
+    article = '<article><p>One</p><div class="ad-box"><p>Buy</p></div><p>Two</p></article><div class="sidebar"><p>side</p></div>'
+    for wrapper in ('class="content has-sidebar"', 'id="page-with-nav"', 'class="post has-comments"', 'class="sidebar-layout"', 'class="with-widget no-ads"'):
+        assert text_of(f"<div {wrapper}>{article}</div>") == "One\nTwo"
+        assert text_of(f"<main><div {wrapper}>{article}</div></main>") == "One\nTwo"
+    assert text_of(f'<div class="nav"><div class="footer">{article}</div></div>') == "One\nTwo"
+
+
+def test_articles_that_are_comments_stay_outside():
+    comments = '<div id="comments"><article class="comment"><p>nice</p></article></div><section class="related-posts"><article><p>more</p></article></section>'
+    assert text_of(f"<article><p>One</p></article>{comments}") == "One"
+    assert text_of(f'<div class="sidebar-layout"><article><p>One</p></article>{comments}</div>') == "One"
+    assert text_of(f"<main><p>One</p>{comments}</main>") == "One"
+    assert text_of('<article><div class="site-footer"><p>foot</p></div><p>has</p></article>') == "has"
