@@ -53,7 +53,7 @@ def follow(url: Column, hrefs: Column, dates: Column, cutoff: Column) -> Column:
     return ~is_board_list(url) | cutoff.isNull() | (details & recent)
 
 
-def crawl(pages: DataFrame, sources: DataFrame, most_levels: int = 10) -> DataFrame:
+def crawl(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per visited page: name, url, depth, ordinal, fetched, collect, documents.
 
     `sources` has name, seed_urls, max_pages, max_depth, collect_seed_pages and the pattern arrays
@@ -86,7 +86,7 @@ def crawl(pages: DataFrame, sources: DataFrame, most_levels: int = 10) -> DataFr
     frontier = seeds.groupBy("name", "url").agg(F.min("order").alias("order"))
     visited: DataFrame | None = None
     depth = 0
-    while depth <= most_levels:
+    while True:  # each level needs a max_depth beyond it
         before = visited.groupBy("name").agg(F.count(F.lit(1)).alias("_before")) if visited is not None else None
         nth = F.row_number().over(Window.partitionBy("name").orderBy("order", F.lower("url"), "url"))
         level = frontier.withColumn("_nth", nth)

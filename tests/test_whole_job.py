@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusflow import queries
-from corpusflow.operators import dedup, lookup, search
+from corpusflow.operators import crawl, dedup, lookup, search
 
 
 def test_full_report_counts_versions_and_cleans(spark, tmp_path):
@@ -94,3 +94,9 @@ def test_archives_are_bounded(spark, tmp_path, monkeypatch):
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.QUERIES["zip_members"](spark, str(tmp_path))
     assert sorted(sizes) == [500, 1000, 1000] and got.select("member", "doc_id").distinct().count() == 2500
+
+
+def test_crawl_goes_to_the_largest_max_depth(spark):
+    pages = spark.createDataFrame([(f"https://a.example/p/{i}", [f"/p/{i + 1}"]) for i in range(14)], "url string, links array<string>")
+    source = spark.createDataFrame([("s", ["https://a.example/p/0"], 0, 12, True)], "name string, seed_urls array<string>, max_pages int, max_depth int, collect_seed_pages boolean")
+    assert sorted(r["depth"] for r in crawl.crawl(pages, source).collect()) == list(range(13))
