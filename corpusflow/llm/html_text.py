@@ -1,19 +1,21 @@
 """Main text of web pages by structure and by what a host's pages repeat.
 
-A page is cut into blocks in page order. Blocks inside an article (or, without one, a main element)
-are its text, but for menus, headers, footers, sidebars, notices, adverts, forms and comments,
-which tags, roles and class names tell. On pages without such a landmark, repetition decides: the
-blocks outside landmarks of all pages of a host are one stream of tokens, whose suffixes, sorted to
-the depth of `depth` tokens, show every substring of that length or more that several pages share.
-What such substrings cover is boilerplate and is removed, runs that are unique stay.
-
-The suffix array is built in parts: each task sorts the suffixes of its own pages by prefix
-doubling and hands on one entry per bucket of equal prefixes (pages in it, first and last page), so
-a line that is on every page is one entry a task; entries of all tasks are then merged.
+A page is cut into blocks in page order, and the blocks of all pages of a host are one stream of
+tokens. Its suffixes are sorted by prefix doubling, which shows every substring of `depth` tokens or
+more that several distinct pages share, at full length. What such substrings cover is boilerplate and
+is removed, runs that are unique stay. Structure says where to look: blocks inside an article (or,
+without one, a main element) are the text of a page that marks it, but for menus, headers, footers,
+sidebars, notices, adverts, forms and comments, which tags, roles and class names tell; there only
+blocks that are on most pages of the host go. On a page without a landmark repetition alone decides.
+
+A host's stream is sorted in one task. A host too large for that is split by ranges of prefixes:
+each task gets, of every page, the places whose prefix of `depth` tokens is in its range. Adjacent
+places join to runs, so the runs covered are the same as those of the whole array.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 from html import unescape
@@ -21,12 +23,22 @@ from html import unescape
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import pin
 
 DEPTH, LEAST_PAGES = 8, 3
+#: A block inside an article is boilerplate if it is on so many pages and on this share of a host's rows.
+MOST_PAGES, MOST_SHARE = 10, 0.5
+#: Characters of html of which one task sorts the suffixes, about three million tokens.
+PART_CHARS = 20_000_000
+#: Large hosts, and bytes of covered runs, up to which they are broadcast; more are joined by shuffle.
+BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 16_000_000
+#: What a token is to its page: no part of its text, text that repetition decides on, text of a landmark.
+ANY, OPEN, INSIDE = 0, 1, 2
+#: Query parameters that do not change the page.
+TRACKING = r"utm_[a-z]+|fbclid|gclid|msclkid|mc_[ce]id|ref|referrer|session_?id|phpsessid|jsessionid"
 #: Elements without text of their own, that end or begin a block, that hold others.
 SILENT = "script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|video|audio|title|button"
 BLOCKS = frozenset(
@@ -157,6 +169,21 @@ def token_hashes(text: str) -> list[int]:
     return [xxhash.xxh32_intdigest(t) for t in text.split()]
 
 
+def page_stream(blocks: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all blocks of a page, as 16-bit hashes, and what each of them is to the page.
+
+    Eight hashes in a row are 128 bits, so equal substrings of the least length are equal texts.
+    """
+    top = max((r for _, r in blocks), default=REST)
+    tokens, kinds = [], []
+    for text, region in blocks:
+        found = token_hashes(text)
+        tokens += found
+        kind = ANY if region != top or region < OTHER else OPEN if top == OTHER else INSIDE
+        kinds += [kind] * len(found)
+    return (np.array(tokens, np.uint64) & np.uint64(0xFFFF)).astype(np.uint16), np.array(kinds, np.uint8)
+
+
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     """Bucket of each suffix among all, sorted to `depth` (a power of two) tokens by prefix doubling."""
     ranks = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -169,74 +196,156 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return ranks
 
 
-def _entry_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-    return pa.record_batch(columns, names=["host", "prefix", "low", "high", "n", "key", "place"])
+def bucket_pages(ranks: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """Of each suffix, how many distinct pages its bucket has suffixes of."""
+    pairs = np.unique(ranks * (int(pages.max()) + 1) + pages)
+    return np.bincount(pairs // (int(pages.max()) + 1), minlength=int(ranks.max()) + 1)[ranks]
 
 
-def _entries(depth: int):
+def repeated_lengths(tokens: np.ndarray, pages: np.ndarray, depth: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix, a length of its prefix that `least` pages share, and the pages that share `depth` tokens.
+
+    The length is the largest of depth, 2 * depth, 4 * depth ... that is shared, or 0. Each start
+    inside a longer repeat has a length of its own, so together they cover repeats at full length.
+    Sorting goes on in shared buckets only: what follows a shared prefix of twice the width is itself shared.
+    """
+    ranks = suffix_ranks(tokens, depth)
+    counts = bucket_pages(ranks, pages)
+    live = counts >= least
+    lengths = np.where(live, depth, 0)
+    width = depth
+    while live.any():
+        at = np.flatnonzero(live[:-width] & live[width:]) if width < len(live) else np.empty(0, np.int64)
+        live = np.zeros(len(tokens), bool)
+        if len(at):
+            wider = np.unique(ranks[at] * len(ranks) + ranks[at + width], return_inverse=True)[1].astype(np.int64)
+            shared = bucket_pages(wider, pages[at]) >= least
+            ranks[at] = wider
+            live[at[shared]] = True
+            width *= 2
+            lengths[at[shared]] = width
+    return lengths, counts
+
+
+def runs_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ordered intervals (from, to) that the spans cover together."""
+    if not len(starts):
+        return np.empty((0, 2), np.int32)
+    ends = np.maximum.accumulate(starts + lengths)
+    first = np.concatenate(([True], starts[1:] > ends[:-1]))
+    last = np.append(np.flatnonzero(first)[1:] - 1, len(starts) - 1)
+    return np.stack([starts[first], ends[last]], axis=1).astype(np.int32)
+
+
+def _streams(depth: int):
+    """A row per page with its stream, or, on a host of several parts, a row per page and range of prefixes."""
+    roll = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(depth)], np.uint64)
+
+    def prefixes(tokens: np.ndarray) -> np.ndarray:
+        window = np.lib.stride_tricks.sliding_window_view(tokens.astype(np.uint64) + np.uint64(1), depth)
+        with np.errstate(over="ignore"):
+            out = np.zeros(len(window), np.uint64)
+            for i in range(depth):
+                out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + window[:, i] * roll[i]
+            out ^= out >> np.uint64(32)
+            return out * np.uint64(0x94D049BB133111EB)
+
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            streams: dict[str, dict[int, tuple[int, list[int], bool]]] = {}
-            for key, host, html in zip(*(batch.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
-                found = blocks_of(html)
-                tokens = [h for t, r in found if r <= OTHER for h in token_hashes(t)]
-                streams.setdefault(host or "", {})[key] = (key, tokens, settled_text(found) is None)
-            for host, by_key in streams.items():
-                pages = list(by_key.values())
-                # Pages are divided by tokens that occur once, so no prefix of full depth spans two.
-                flat, page, place, unique = [], [], [], 1 << 40
-                for k, (_, tokens, _) in enumerate(pages):
-                    for p, h in enumerate(tokens):
-                        flat.append(h)
-                        page.append(k)
-                        place.append(p if p + depth <= len(tokens) else -1)
-                    flat.append(unique + k)
-                    page.append(k)
-                    place.append(-1)
-                tokens, page_of, at = np.array(flat, np.int64), np.array(page), np.array(place)
-                ranks = suffix_ranks(tokens, depth)
-                full = np.flatnonzero(at >= 0)
-                rows = [(host, None, None, None, 0, k, -1) for k, _, is_open in pages if is_open]
-                if not len(full):
-                    if rows:
-                        yield _entry_batch(rows)
-                    continue
-                once = np.unique(np.stack([ranks[full], page_of[full]], axis=1), axis=0, return_index=True)[1]
-                starts = full[once]
-                buckets, first, counts = np.unique(ranks[starts], return_index=True, return_counts=True)
-                window = np.lib.stride_tricks.sliding_window_view(tokens, depth)
-                names = {int(b): xxhash.xxh64_intdigest(window[starts[i]].tobytes()) - (1 << 63) for b, i in zip(buckets, first, strict=True)}
-                keys = np.array([k for k, _, _ in pages], np.int64)
-                of = keys[page_of[starts]]
-                low, high = np.minimum.reduceat(of, first), np.maximum.reduceat(of, first)
-                rows += [(host, names[int(b)], int(a), int(z), int(n), None, None) for b, a, z, n in zip(buckets, low, high, counts, strict=True)]
-                open_pages = {k for k, (_, _, is_open) in enumerate(pages) if is_open}
-                if open_pages:
-                    rows += [(host, names[int(ranks[i])], None, None, 0, int(keys[page_of[i]]), int(at[i])) for i in full if page_of[i] in open_pages]
-                yield _entry_batch(rows)
+            rows = []
+            for host, key, page, parts, n, html in zip(*(batch.column(c).to_pylist() for c in ("host", "key", "page", "parts", "n", "html")), strict=True):
+                tokens, kinds = page_stream(blocks_of(html))
+                digest = xxhash.xxh64_intdigest(tokens.tobytes() + kinds.tobytes()) - (1 << 63)
+                if parts <= 1:
+                    rows.append((host, 0, key, page, digest, n, tokens.tobytes(), None, kinds.tobytes()))
+                elif len(tokens) >= depth:
+                    hashes = prefixes(tokens)
+                    range_of = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+                    for part in np.unique(range_of).tolist():
+                        at = np.flatnonzero(range_of == part)
+                        low, high = hashes[at].astype(np.uint32), (hashes[at] >> np.uint64(32)).astype(np.uint8)
+                        places = np.diff(at, prepend=0).astype(np.uint32)
+                        rows.append((host, part, key, page, digest, n, low.tobytes() + high.tobytes(), places.tobytes(), kinds[at].tobytes()))
+            if rows:
+                types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                names = ["host", "part", "key", "page", "digest", "n", "tokens", "places", "kinds"]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return build
 
 
-def _settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts; a page without a landmark has none yet, but keeps its html."""
-    for batch in batches:
-        pages = batch.column("html").to_pylist()
-        texts = [settled_text(blocks_of(h)) for h in pages]
-        is_open = [h or "" if t is None else None for h, t in zip(pages, texts, strict=True)]
-        columns = {n: batch.column(n) for n in ("id", "url", "key")}
-        yield pa.record_batch(columns | {"text": pa.array(texts, pa.string()), "html": pa.array(is_open, pa.string())})
+def _array_of_part(rows: list[dict], depth: int, least: int) -> list[tuple[str, int, bytes]]:
+    """(host, key, covered runs) of the pages of one part of a host that repetition changes."""
+    by_digest: dict[int, list[dict]] = {}
+    for r in rows:
+        by_digest.setdefault(r["digest"], []).append(r)
+    groups = [by_digest[d] for d in sorted(by_digest)]  # pages of one content are one page
+    whole = rows[0]["n"] or len(rows)
+    most = max(MOST_PAGES, math.ceil(MOST_SHARE * whole))
+    names = {p: i for i, p in enumerate(sorted({min(r["page"] for r in g) for g in groups}))}
+    page = [names[min(r["page"] for r in g)] for g in groups]
+    kinds = [np.frombuffer(g[0]["kinds"], np.uint8) for g in groups]
+    if len(names) < least or not (len(names) >= most or any((k == OPEN).any() for k in kinds)):
+        return []
+    sizes = np.array([len(k) for k in kinds])
+    if rows[0]["places"] is None:
+        # Pages are divided by tokens that occur once, so no shared prefix spans two.
+        parts = [x for i, g in enumerate(groups) for x in (np.frombuffer(g[0]["tokens"], np.uint16).astype(np.int64), np.array([65536 + i]))]
+        owner = np.repeat(np.arange(len(groups)), sizes + 1)
+        kind = np.concatenate([np.append(k, np.uint8(ANY)) for k in kinds])
+        starts = np.concatenate([np.arange(n + 1) for n in sizes])
+        lengths, counts = repeated_lengths(np.concatenate(parts), np.array(page)[owner], depth, least)
+    else:
+        packed = [g[0]["tokens"] for g in groups]
+        hashes = np.concatenate(
+            [np.frombuffer(b, np.uint32, n).astype(np.int64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.int64) << 32 for b, n in zip(packed, sizes, strict=True)]
+        )
+        owner = np.repeat(np.arange(len(groups)), sizes)
+        kind = np.concatenate(kinds)
+        starts = np.concatenate([np.cumsum(np.frombuffer(g[0]["places"], np.uint32).astype(np.int64)) for g in groups])
+        counts = bucket_pages(np.unique(hashes, return_inverse=True)[1].astype(np.int64), np.array(page)[owner])
+        lengths = np.where(counts >= least, depth, 0)
+    wanted = np.flatnonzero((kind == OPEN) & (counts >= least) | (kind == INSIDE) & (counts >= most))
+    out = []
+    for part in np.split(wanted, np.flatnonzero(np.diff(owner[wanted])) + 1) if len(wanted) else []:
+        # Inside a landmark only prefixes of `depth` are known to be on most pages.
+        reach = np.where(kind[part] == OPEN, lengths[part], depth)
+        runs = runs_of(starts[part], reach).tobytes()
+        out += [(r["host"], k, runs) for k, r in {r["key"]: r for r in groups[owner[part[0]]]}.items()]
+    return out
+
+
+def _covers(depth: int, least: int):
+    def cover(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by host and part."""
+        held: list[dict] = []
+
+        def settle() -> pa.RecordBatch:
+            found = _array_of_part(held, depth, least)
+            return pa.record_batch(
+                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())],
+                names=["host", "key", "runs"],
+            )
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (row["host"], row["part"]) != (held[0]["host"], held[0]["part"]):
+                    yield settle()
+                    held = []
+                held.append(row)
+        if held:
+            yield settle()
+
+    return cover
 
 
-def _own_tokens(tokens: list[str], covered: set[int], at: int, depth: int) -> list[str]:
+def _own_tokens(tokens: list[str], covered: np.ndarray, depth: int) -> list[str]:
     """A block without covered runs of full depth; a shorter run goes only if it is the whole block."""
     own: list[str] = []
     i = 0
     while i < len(tokens):
         j = i
-        while j < len(tokens) and at + j in covered:
+        while j < len(tokens) and covered[j]:
             j += 1
         if j - i < depth and j - i < len(tokens):
             j = max(j, i + 1)
@@ -245,57 +354,83 @@ def _own_tokens(tokens: list[str], covered: set[int], at: int, depth: int) -> li
     return own
 
 
-def _uncovered(depth: int):
+def page_text(blocks: list[tuple[str, int]], runs: list[bytes] | None, depth: int) -> str:
+    """Text of a page, given the runs of its stream that repetition covers.
+
+    On a page without a landmark covered runs go and unique ones stay. Inside a landmark a block goes
+    if all of it is covered; what is outside goes anyway.
+    """
+    top = max((r for _, r in blocks), default=REST)
+    if top < OTHER:
+        return ""
+    if not runs:
+        return "\n".join(t for t, r in blocks if r == top)
+    spans = np.concatenate([np.frombuffer(r, np.int32).reshape(-1, 2) for r in runs])
+    covered = np.zeros(sum(len(t.split()) for t, _ in blocks), bool)
+    for a, b in spans:
+        covered[a:b] = True
+    kept, at = [], 0
+    for text, region in blocks:
+        tokens = text.split()
+        here = covered[at : at + len(tokens)]
+        at += len(tokens)
+        if region == top:
+            own = _own_tokens(tokens, here, depth) if top == OTHER else [] if here.all() else tokens
+            if own:
+                kept.append(" ".join(own))
+    return "\n".join(kept)
+
+
+def _texts(depth: int):
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for html, places in zip(batch.column("html").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                covered = {p + i for p in places or () for i in range(depth)}
-                kept, at = [], 0
-                for text, region in blocks_of(html):
-                    if region <= OTHER:
-                        tokens = text.split()
-                        if region == OTHER and (own := _own_tokens(tokens, covered, at, depth)):
-                            kept.append(" ".join(own))
-                        at += len(tokens)
-                texts.append("\n".join(kept))
+            pages, runs = batch.column("html").to_pylist(), batch.column("runs").to_pylist()
+            texts = [page_text(blocks_of(h), r, depth) for h, r in zip(pages, runs, strict=True)]
             yield pa.record_batch({"id": batch.column("id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
     return cut
 
 
+def page_identity(url: Column) -> Column:
+    """Hash of a URL without fragment, tracking parameters, a slash or .html at its end: addresses of one page."""
+    bare = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), "#.*$", "")
+    bare = F.regexp_replace(bare, rf"(?<=[?&])(?:{TRACKING})=[^&]*(?:&|$)", "")
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(bare, "[?&]+$", ""), r"(?:/index)?(?:\.html?|/+)$", ""))
+
+
 def extract_main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", depth: int = DEPTH, least_pages: int = LEAST_PAGES
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    depth: int = DEPTH,
+    least_pages: int = LEAST_PAGES,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
     """One row per row of `pages`: id_col, url_col, text.
 
     Character references are decoded, white space in a block becomes one space (as <br> does),
-    blocks are joined by a line feed. Null or empty html gives an empty text. Pages that repeat a
-    page's id, url and html count as one page; a null url has host "". A host's boilerplate is what
-    `least_pages` pages share over `depth` tokens (a power of two). Pages are read twice and never
-    shuffled, but for those without any landmark. An empty table gives an empty result. No other
-    columns are read.
+    blocks are joined by a line feed. Null or empty html gives an empty text; a null url has host "".
+    Boilerplate of a host is every substring of `depth` tokens (a power of two) or more that
+    `least_pages` distinct pages share: rows of one content count as one page, and so do those of one
+    address (see page_identity). On pages without a landmark it is removed. Inside an article a
+    block goes if all of it is shared by half of the host's rows, and by ten pages at least. Hosts of over
+    `part_chars` characters are split by ranges of prefixes, which changes no result. An empty table
+    gives an empty result. No other columns are read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"),
-        F.xxhash64(id_col, url_col, html_col).alias("key"),
-    )
-    entries = pin(
-        rows.select("key", "host", "html").mapInArrow(
-            _entries(depth), "host string, prefix long, low long, high long, n long, key long, place int"
-        )
-    )
-    parsed = rows.select("id", "url", "key", "html").mapInArrow(_settled, "id long, url string, key long, text string, html string")
-    done = parsed.where("html is null").select("id", "url", "text")
-    if entries.where("key is not null").isEmpty():
-        return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
-    shared = (
-        entries.where("key is null").groupBy("host", "prefix").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-        .where((F.col("n") >= least_pages) & (F.col("low") != F.col("high"))).select("host", "prefix")
+        F.xxhash64(html_col).alias("key"), page_identity(F.col(url_col)).alias("page"),
     )
-    places = entries.where("place >= 0").select("host", "prefix", "key", "place").distinct().join(shared, ["host", "prefix"])
-    covered = places.groupBy("key").agg(F.collect_set("place").alias("places"))
-    rest = parsed.where("html is not null").join(covered, "key", "left").select("id", "url", "html", "places")
-    left = rest.mapInArrow(_uncovered(depth), "id long, url string, text string")
-    return done.unionByName(left).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("chars"), F.count(F.lit(1)).alias("n"))
+    large = pin(sizes.where(F.col("chars") > part_chars).select("host", F.ceil(F.col("chars") / part_chars).cast("int").alias("parts"), "n"))
+    few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    dealt = rows.join(F.broadcast(large) if few else large, "host", "left").select("host", "key", "page", F.coalesce("parts", F.lit(1)).alias("parts"), "n", "html")
+    schema = "host string, part int, key long, page long, digest long, n long, tokens binary, places binary, kinds binary"
+    streams = dealt.mapInArrow(_streams(depth), schema).repartition("host", "part").sortWithinPartitions("host", "part", "digest")
+    found = pin(streams.mapInArrow(_covers(depth, least_pages), "host string, key long, runs binary"))
+    covers = found.groupBy("host", "key").agg(F.collect_list("runs").alias("runs"))
+    size = found.agg(F.coalesce(F.sum(F.length("runs") + F.length("host") + 16), F.lit(0))).first()[0]
+    joined = rows.join(F.broadcast(covers) if size <= BROADCAST_BYTES else covers, ["host", "key"], "left").select("id", "url", "html", "runs")
+    return joined.mapInArrow(_texts(depth), "id long, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
