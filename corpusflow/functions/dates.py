@@ -5,55 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squash
+from .text import let, squash
 
-_CLOCK = r"(?:\s+[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
-_UNITS = r"[0-9]{4}년\s*[0-9]{1,2}월\s*[0-9]{1,2}일(?:\s*[0-9]{1,2}시\s*[0-9]{1,2}분(?:\s*[0-9]{1,2}초)?)?"
-NUMERIC = rf"([0-9]{{4}}[./-][0-9]{{1,2}}[./-][0-9]{{1,2}}{_CLOCK})"
-UNITS = rf"({_UNITS})"
-# Labels before a date, and metadata keys that hold one, in order of preference.
+# How days are written, in order of preference; labels before a day; metadata keys that hold one.
+FORMS = ("[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}", r"[0-9]{4}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일")
 LABELS = ("작성일", "등록일")
 METADATA_KEYS = ("article:published_time", "published_time", "published_at", "date", "created")
-_ISO = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+
+#: Clock times that may follow a day, and the whole of a value in seven parts: year, month, day, hour, minute, second, zone.
+CLOCK = r"(?:\s+[0-9]{1,2}(?::|시\s*)[0-9]{1,2}(?:분(?:\s*[0-9]{1,2}초)?|(?::[0-9]{2})?))?"
+VALUE = (
+    r"^([0-9]{4})\s*[-./년]\s*([0-9]{1,2})\s*[-./월]\s*([0-9]{1,2})\s*일?"
+    r"(?:[T ]\s*([0-9]{1,2})\s*[:시]\s*([0-9]{1,2})(?:\s*[:분])?(?:\s*([0-9]{1,2}(?:\.[0-9]{1,6})?)\s*초?)?\s*(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
 
 
 def parse_datetime(value: Column) -> Column:
-    """ISO first, then numbers or Korean units for year, month, day and clock; null if neither."""
-    text = squash(value)
-    day, clock, zone = (F.regexp_extract(text, _ISO, i) for i in (1, 2, 3))
-    naive = F.try_to_timestamp(F.concat_ws(" ", day, F.when(clock != "", clock).otherwise(F.lit("00:00")))).cast("timestamp_ntz")
-    minutes = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(
-        F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (F.substring(zone, 2, 2).cast("int") * 60 + F.right(zone, F.lit(2)).cast("int"))
-    )
-    iso = F.when(text.rlike(_ISO), naive - F.make_dt_interval(mins=minutes))
-    plain = text
-    for a, b in (("년", "-"), ("월", "-"), ("일", ""), ("시", ":"), ("분", ":"), ("초", ""), (".", "-"), ("/", "-")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    plain = F.regexp_replace(F.regexp_replace(squash(plain), r":\s", ":"), r"\s*-\s*", "-")
-    plain = F.regexp_replace(plain, ":$", "")
-    fits = plain.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}( [0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2})?)?$")
-    when = F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in ("y-M-d H:m:s", "y-M-d H:m", "y-M-d")])
-    return F.coalesce(iso, F.when(fits, when.cast("timestamp_ntz")))
+    """A day and perhaps a clock time, in numbers or Korean units; null if it is neither, or impossible."""
+
+    def read(text: Column) -> Column:
+        part = lambda i: F.regexp_extract(text, VALUE, i)
+        number = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(0))
+        second = F.coalesce(F.nullif(part(6), F.lit("")).cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)"))
+        wall = F.try_make_timestamp_ntz(number(1), number(2), number(3), number(4), number(5), second)
+        sign = F.when(part(7).startswith("-"), 1).when(part(7).startswith("+"), -1).otherwise(0)
+        offset = F.regexp_extract(part(7), "^[+-]([0-9]{2})", 1), F.regexp_extract(part(7), "([0-9]{2})$", 1)
+        hours, minutes = (F.coalesce(F.nullif(o, F.lit("")).cast("int"), F.lit(0)) * sign for o in offset)
+        return F.when(text.rlike(VALUE), wall + F.make_dt_interval(hours=hours, mins=minutes))
+
+    return let(squash(value), read)
 
 
 def published_at(content: Column, metadata: Column | None = None) -> Column:
-    """Metadata, then labelled dates, then any date of the text; the first that can be read."""
+    """Metadata, then labelled days, then any day of the text; the first that can be read."""
     found = [F.try_element_at(metadata, F.lit(k)) for k in METADATA_KEYS] if metadata is not None else []
-    for form in (NUMERIC, UNITS):
-        found += [F.regexp_extract(content, rf"_?{label}_?\s*[:：]?\s*{form}", 1) for label in LABELS]
-    found += [F.regexp_extract(content, form, 1) for form in (NUMERIC, UNITS)]
+    found += [F.regexp_extract(content, rf"_?{label}_?\s*[:：]?\s*({form}{CLOCK})", 1) for form in FORMS for label in LABELS]
+    found += [F.regexp_extract(content, form + CLOCK, 0) for form in FORMS]
     read = F.transform(F.filter(F.array(*found), lambda x: F.coalesce(x, F.lit("")) != ""), parse_datetime)
     return F.get(F.filter(read, lambda t: t.isNotNull()), F.lit(0))
 
 
 def all_dates(content: Column) -> Column:
-    """Days of all numeric and Korean dates of a text; impossible ones are left out."""
-
-    def days(pattern: str) -> Column:
-        return F.transform(
-            F.regexp_extract_all(content, F.lit(pattern), 0),
-            lambda m: F.to_date(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(m, r"일$|\s", ""), "[./년월]", "-"), F.lit("y-M-d"))),
-        )
-
-    both = F.concat(days(r"[0-9]{4}[./-][0-9]{1,2}[./-][0-9]{1,2}"), days(r"[0-9]{4}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일"))
-    return F.filter(both, lambda d: d.isNotNull())
+    """Days of all dates of a text, form by form; impossible ones are left out."""
+    written = F.concat(*[F.regexp_extract_all(content, F.lit(form), F.lit(0)) for form in FORMS])
+    return F.filter(F.transform(written, lambda w: parse_datetime(w).cast("date")), lambda d: d.isNotNull())

@@ -6,6 +6,9 @@ characters only. White space is Unicode white space throughout.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +21,25 @@ SKIP_LINE_TOKENS = (
     "youtube", "login", "logout", "home", "추천검색어", "인기 검색어", "내가찾은 검색어", "자동완성",
 )
 # Two of these in a line make it a menu.
-MENU_TOKENS = (
-    "경기비전", "대학상징", "대학ㆍ조직", "홍보미디어", "캠퍼스안내", "학교찾아오기", "모바일 서비스", "전화번호", "이사회 회의록", "학칙",
-)
+MENU_TOKENS = ("대학상징", "대학ㆍ조직", "홍보미디어", "캠퍼스안내", "학교찾아오기", "모바일 서비스", "전화번호", "이사회 회의록", "학칙")
 # Lines at which content begins, line beginnings at which it ends, and lines that a
 # content page repeats from its menu.
 START_TITLES = ("학사일정(학부)", "졸업요건", "faq")
 END_PREFIXES = ("이전글", "다음글", "목록", "첨부파일")
-HOME_LINES = ("home", "경기소개", "대학생활")
+HOME_LINES = ("home", "대학생활")
+# Markdown that goes from a line, and what stays of it.
+MARKDOWN = ((r"!\[[^\]]*\]\([^)]+\)", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"(?U)^[-*]\s+", ""), (r"(?U)^#+\s*", ""))
+
+
+@dataclass(frozen=True)
+class LineRules:
+    """Words by which lines are judged; sites pass their own beside or in place of the defaults."""
+
+    skip: tuple[str, ...] = SKIP_LINE_TOKENS
+    menu: tuple[str, ...] = MENU_TOKENS
+    start: tuple[str, ...] = START_TITLES
+    end: tuple[str, ...] = END_PREFIXES
+    home: tuple[str, ...] = HOME_LINES
 
 
 def strip(c: Column) -> Column:
@@ -70,72 +84,65 @@ def count_of(c: Column, tokens: tuple[str, ...]) -> Column:
     return total
 
 
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern that finds any of some literal words."""
+    return "|".join(re.escape(w) for w in words) or r"\b\B"
+
+
 def strip_markdown(line: Column) -> Column:
     """A line without images, link targets, one leading bullet and heading marks."""
-    for pattern, to in (
-        (r"!\[[^\]]*\]\([^)]+\)", ""),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?U)^[-*]\s+", ""),
-        (r"(?U)^#+\s*", ""),
-    ):
+    for pattern, to in MARKDOWN:
         line = F.regexp_replace(line, pattern, to)
     return squash(line)
 
 
-def dropped_line(line: Column, url: Column) -> Column:
-    """Whether a non-blank cleaned line is furniture: skip tokens, bare URLs, menus, single characters."""
-    low = normalize_title(line)
-    urls = F.regexp_count(line, F.lit("https?://"))
-    on_page = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).contains("contents.do")
-    return (
-        (F.length(low) <= 1)
-        | contains_any(low, SKIP_LINE_TOKENS)
-        | (urls >= 2)
-        | line.rlike(r"(?U)^https?://\S+$")
-        | (count_of(low, MENU_TOKENS) >= 2)
-        | (on_page & low.isin(*HOME_LINES))
-    )
-
-
 def first_index(array: Column, test) -> Column:
     """Index from 0 of the first element that passes; null if none does."""
     return F.array_min(F.transform(array, lambda x, i: F.when(test(x), i)))
 
 
-def clean_markdown(content: Column, url: Column) -> Column:
+def folded(lines: Column) -> Column:
+    """array<struct<x, low>>: each line beside its folded form, which is made once and then only looked at."""
+    return F.transform(lines, lambda x: F.struct(x.alias("x"), normalize_title(x).alias("low")))
+
+
+def kept_line(line: Column, on_page: Column, rules: LineRules) -> Column:
+    """Whether a cleaned line is neither blank nor furniture: skip words, bare URLs, menus, single characters."""
+    x, low = line["x"], line["low"]
+    furniture = contains_any(low, rules.skip) | x.rlike(r"https?://.*https?://") | x.rlike(r"(?U)^https?://\S+$") | (count_of(low, rules.menu) >= 2)
+    return (x != "") & (F.length(low) > 1) & ~furniture & ~(on_page & low.isin(*rules.home))
+
+
+def clean_markdown(content: Column, url: Column, rules: LineRules | None = None) -> Column:
     """Main lines of a crawled markdown page.
 
     The region starts at the first heading or known title and ends before the first footer line.
     Furniture goes; of blank lines one stays between lines, and none at the ends.
     """
-    lines = F.transform(F.split(F.coalesce(content, F.lit("")), r"\R|[\x1c-\x1e]", -1), strip)
-
-    def starts(line: Column) -> Column:
-        low = normalize_title(line)
-        return line.contains("## ") | low.startswith("## ") | low.isin(*START_TITLES)
+    r = rules or LineRules()
+    lines = folded(F.transform(F.split(F.coalesce(content, F.lit("")), r"\R|[\x1c-\x1e]", -1), strip))
+    on_page = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).contains("contents.do")
 
-    def ends(line: Column) -> Column:
-        low, found = normalize_title(line), F.lit(False)
-        for p in END_PREFIXES:
-            found = found | low.startswith(p)
-        return found
+    def region(every: Column) -> Column:
+        start = first_index(every, lambda s: s["x"].contains("## ") | s["low"].startswith("## ") | s["low"].isin(*r.start))
+        return F.slice(every, F.coalesce(start, F.lit(0)) + 1, F.size(every))
 
-    def region(all_lines: Column) -> Column:
-        start = F.coalesce(first_index(all_lines, starts), F.lit(0))
-        return F.slice(all_lines, start + 1, F.size(all_lines))
+    def flat(part: Column) -> Column:
+        end = first_index(part, lambda s: s["low"].rlike(f"^(?:{any_of(r.end)})"))
+        return folded(F.transform(F.slice(part, F.lit(1), F.coalesce(end, F.size(part))), lambda s: strip_markdown(s["x"])))
 
-    def kept(part: Column) -> Column:
-        end = F.coalesce(first_index(part, ends), F.size(part))
-        flat = F.transform(F.slice(part, F.lit(1), end), strip_markdown)
-        return F.transform(flat, lambda x: F.struct(x.alias("x"), ((x != "") & ~dropped_line(x, url)).alias("keep")))
+    def marked(part: Column, page: Column) -> Column:
+        return F.transform(part, lambda s: F.struct(s["x"].alias("x"), kept_line(s, page, r).alias("keep")))
 
     def collapse(items: Column) -> Column:
-        first = first_index(items, lambda s: s["keep"])
-        before = lambda i: F.get(items, i - 1)["x"]
-        chosen = F.filter(items, lambda s, i: s["keep"] | ((s["x"] == "") & (i > F.coalesce(first, F.size(items))) & (before(i) != "")))
-        return F.array_join(F.transform(chosen, lambda s: s["x"]), "\n")
+        def join(first: Column) -> Column:
+            blank = lambda s, i: (s["x"] == "") & (i > first) & (F.get(items, i - 1)["x"] != "")
+            return F.array_join(F.transform(F.filter(items, lambda s, i: s["keep"] | blank(s, i)), lambda s: s["x"]), "\n")
+
+        return let(F.coalesce(first_index(items, lambda s: s["keep"]), F.size(items)), join)
 
-    return strip(let(let(let(lines, region), kept), collapse))
+    shown = let(on_page, lambda page: let(let(let(lines, region), flat), lambda part: let(marked(part, page), collapse)))
+    return strip(shown)
 
 
 def let(value: Column, body) -> Column:

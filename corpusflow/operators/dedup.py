@@ -63,11 +63,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def _best(docs: DataFrame) -> DataFrame:
+    """Names and keys of the best row of each group of exact duplicates, without contents; made once."""
+    best = ranked(docs).groupBy(*KEY, "_hash").agg(F.max_by(F.struct("doc_id", "seq"), "_rank").alias("_best"), F.max("_rank").alias("_rank"))
+    return pin(best.select(*KEY, F.col("_best.doc_id").alias("doc_id"), F.col("_best.seq").alias("seq"), "_rank"))
+
+
+def _named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+    """Rows of `docs` that are (left_semi) or are not (left_anti) among the names."""
+    few = names.select(F.col("doc_id").alias("_doc"), F.col("seq").alias("_seq"))
+    return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("seq").eqNullSafe(F.col("_seq")), how)
+
+
 def exact_survivors(docs: DataFrame) -> DataFrame:
-    """The best row of each group of exact duplicates."""
-    columns = F.struct(*docs.columns)
-    best = ranked(docs).withColumn("_row", columns).groupBy(*KEY, "_hash").agg(F.max_by("_row", "_rank").alias("_row"))
-    return best.select("_row.*")
+    """The best row of each group of exact duplicates; doc_id and seq together name a row.
+
+    Only keys are aggregated, and the rows that stay are picked by their names.
+    """
+    return _named(docs, _best(docs), "left_semi")
 
 
 def same_document(left: str, right: str, left_path: str, right_path: str) -> bool:
@@ -111,7 +124,7 @@ def _unlike(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
 
 
 def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Of exact survivors, the rows that are no version of a better-ranked kept row of their group.
+    """Of exact survivors of `docs`, the rows that are no version of a better-ranked kept row of their group.
 
     The greedy order is settled in rounds. A round takes the `block` best undecided rows of each
     group, settles them in one task, and compares what it keeps with all other undecided rows of the
@@ -120,13 +133,13 @@ def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     needed for what is neither kept nor dropped before. Groups of one row, nearly all, are passed by.
     """
     keys = ["source_name", "title", "category", "department"]
-    rows = ranked(exact_survivors(docs))
-    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    several = rows.join(sizes, KEY)
-    slim = several.select(
+    keyed = _best(docs)
+    sizes = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
+    several = pin(keyed.join(sizes, KEY))
+    texts = _named(docs, several, "left_semi").select("doc_id", "seq", normalize_content(F.col("content")).alias("content"), F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"))
+    slim = several.join(texts, ["doc_id", "seq"]).select(
         F.coalesce("source_name", F.lit("")).alias("source_name"), F.col("_title").alias("title"), F.col("_category").alias("category"),
-        F.col("_department").alias("department"), normalize_content(F.col("content")).alias("content"),
-        F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"), "doc_id", "seq", "_rank", "_size",
+        F.col("_department").alias("department"), "content", "path", "doc_id", "seq", "_rank", "_size",
     )
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_rank")))
     small, undecided = slim.where(F.col("_size") <= block), slim.where(F.col("_size") > block)
@@ -141,8 +154,8 @@ def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         dealt = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
         slices = left.drop("_rank", "_parts").groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part"))
         undecided = pin(undecided.join(slices.applyInPandas(_unlike, "doc_id string, seq long"), ["doc_id", "seq"], "left_semi"))
-    alone = rows.join(sizes, KEY, "left_anti")
-    return alone.select(*docs.columns).unionByName(several.join(kept, ["doc_id", "seq"], "left_semi").select(*docs.columns))
+    gone = several.select("doc_id", "seq").join(kept, ["doc_id", "seq"], "left_anti")
+    return _named(docs, pin(keyed.select("doc_id", "seq").join(gone, ["doc_id", "seq"], "left_anti")), "left_semi")
 
 
 def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:

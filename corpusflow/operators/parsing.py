@@ -127,17 +127,23 @@ def faq_lines(lines: Column) -> Column:
     return F.when(F.coalesce(F.size(inside), F.lit(0)) > 0, inside).otherwise(F.filter(lines, keep))
 
 
-def empty_faq(content: Column) -> Column:
-    text = squash(content)
+def empty_faq(text: Column) -> Column:
+    """Whether a page, its white space squashed, says that it lists nothing."""
     none = text.contains("총게시물") & text.contains("_0_") & text.contains("검색결과가 없습니다")
-    return none | text.contains("총게시물 : 0") | text.contains("총게시물: 0")
+    return none | text.rlike("총게시물 ?: 0")
+
+
+def _once(rows: DataFrame, **values: Column) -> DataFrame:
+    """Adds columns as output of a generator, which the optimiser does not copy into each of their uses."""
+    one = F.array(F.struct(*[value.alias(name) for name, value in values.items()]))
+    return rows.select("*", F.inline(one))
 
 
 def parse(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per page that its parser accepts: the page's columns, rule, parser, title, content, published_at, author_department, attachment_urls."""
-    routed = route(pages, rules).withColumn("_content", clean_markdown(F.col("markdown"), F.col("url"))).where("_content <> ''")
-    lines = F.split("_content", "\n")
-    routed = routed.withColumn("_lines", F.transform(lines, strip)).withColumn("_items", title_items(F.col("_lines"))).withColumn("_faq", faq_lines(F.col("_lines")))
+    routed = _once(route(pages, rules), _content=clean_markdown(F.col("markdown"), F.col("url"))).where("_content <> ''")
+    routed = _once(routed, _lines=F.transform(F.split("_content", "\n"), strip))
+    routed = _once(routed, _items=title_items(F.col("_lines")), _faq=faq_lines(F.col("_lines")), _squashed=squash(F.col("_content")))
     plain = lambda x: (x != "") & ~x.startswith("![") & ~x.startswith("[")
     first_line = F.trim(F.regexp_replace(_first(F.col("_lines"), plain), r"(?U)^#+\s*", ""))
     meta = F.coalesce(F.nullif(squash(_meta("title")), F.lit("")), F.nullif(squash(_meta("og:title")), F.lit("")))
@@ -145,9 +151,9 @@ def parse(pages: DataFrame, rules: DataFrame) -> DataFrame:
     kind = F.col("parser")
     notice = kind == "notice_detail"
     is_faq_category = F.coalesce(F.col("category") == "faq", F.lit(False))
-    no_count = squash(F.col("_content")).contains("총게시물 : 0") | squash(F.col("_content")).contains("총게시물: 0")
+    no_count = F.col("_squashed").rlike("총게시물 ?: 0")
     rejected = (
-        F.when(kind == "faq", empty_faq(F.col("_content")) | (F.size(faq) == 0))
+        F.when(kind == "faq", empty_faq(F.col("_squashed")) | (F.size(faq) == 0))
         .when(notice, is_faq_category & (no_count | is_board_list(F.col("url"))))
         .otherwise(F.lit(False))
     )

@@ -33,8 +33,7 @@ TOPICS = {
     "student_life": ("학생생활", "학생 생활", "학생증", "동아리", "상담", "통학", "셔틀", "기숙사", "복지"),
     "career_support": ("취업", "진로", "커리어", "현장실습", "인턴", "채용", "비교과", "취업지원"),
     "department_sources": (
-        "학과", "전공", "단과대", "대학 공지", "학과 공지", "전공 공지", "청소년학과", "경영학과", "호텔경영", "스포츠과학", "입체조형",
-        "모빌리티소프트웨어", "컴퓨터공학", "인공지능", "관광", "미디어영상", "애니메이션",
+        "학과", "전공", "단과대", "대학 공지", "학과 공지", "전공 공지",
     ),
 }
 PRIORITY = {
@@ -59,7 +58,7 @@ INTENT_MAP = (
 
 
 class Rules:
-    """Word lists of a deployment; the defaults are those above."""
+    """Word lists of a deployment; the defaults are those above, without names of departments, which sites add."""
 
     def __init__(
         self,

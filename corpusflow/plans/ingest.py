@@ -88,7 +88,7 @@ def ingest(docs: DataFrame, sources: DataFrame, options: IngestOptions | None =
     """`docs` has the document columns, source_name and seq; `sources` has source_name and category."""
     o = options or IngestOptions()
     exact = exact_survivors(docs)
-    kept = pin(version_survivors(docs)) if o.versions else exact
+    kept = version_survivors(docs) if o.versions else exact
     chunks = chunk_documents(kept, o.size, o.overlap)
     embedded = None
     if not o.skip_embed:

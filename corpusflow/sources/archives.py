@@ -6,6 +6,7 @@ inside a file needs Python, per file, and a broken file gives an error instead o
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hwp import clean_lines
 from ..functions.text import member_id, short_id
 
 # Suffixes that are read from archives, largest member, first bytes of file types.
@@ -58,16 +60,20 @@ def header_file_name(disposition: Column) -> Column:
     return _unquoted(F.trim(F.coalesce(F.regexp_replace(F.trim(encoded), r'^"+|"+$', ""), plain)))
 
 
-def members_of(content: bytes, most_bytes: int = MEMBER_BYTES, depth: int = 3) -> Iterator[tuple[str, bytes]]:
-    """(path, bytes) of usable members; members of inner archives come as outer#inner."""
+def members_of(content: bytes, most_bytes: int = MEMBER_BYTES, around: tuple[bytes, ...] = ()) -> Iterator[tuple[str, bytes]]:
+    """(path, bytes) of usable members; members of inner archives, at any depth, come as outer#inner.
+
+    An archive that holds itself is handed on as a file.
+    """
+    around = (*around, hashlib.sha256(content).digest())
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for info in archive.infolist():
             suffix = re.search(r"\.[^./]+$", info.filename.lower())
             if info.is_dir() or not suffix or suffix[0] not in MEMBER_SUFFIXES or info.file_size > most_bytes:
                 continue
             data = archive.read(info)
-            if suffix[0] == ".zip" and depth > 0:
-                for name, inner in members_of(data, most_bytes, depth - 1):
+            if suffix[0] == ".zip" and hashlib.sha256(data).digest() not in around:
+                for name, inner in members_of(data, most_bytes, around):
                     yield f"{info.filename}#{name}", inner
             else:
                 yield info.filename, data
@@ -110,11 +116,9 @@ def hwpx_text(content: bytes) -> str:
 
 
 def hwp_text(content: bytes) -> str:
-    """Text of the body streams of an OLE file; needs olefile."""
+    """Text of the body streams of an OLE file, its lines as they are; needs olefile."""
     import olefile
 
-    from ..functions.hwp import clean_lines
-
     parts = []
     with olefile.OleFileIO(io.BytesIO(content)) as ole:
         header = ole.openstream("FileHeader").read() if ole.exists("FileHeader") else b""
@@ -123,7 +127,7 @@ def hwp_text(content: bytes) -> str:
             if len(path) > 1 and path[0] == "BodyText":
                 data = ole.openstream(path).read()
                 text = (zlib.decompress(data, -15) if packed else data).decode("utf-16le", errors="ignore")
-                parts += [clean_lines(text)]
+                parts.append(text)
     return "\n".join(p for p in parts if p)
 
 
@@ -131,7 +135,7 @@ def extract_text(files: DataFrame, kind: str, tiers: list[Callable[[bytes], str]
     """Adds text and error to `files` (source, content). The first tier that gives text wins.
 
     Tiers default to the reader of `kind` (hwpx, hwp, html, markdown); others, as for pdf, are given
-    by the caller, cheapest first.
+    by the caller, cheapest first. Lines of hwp texts are cleaned.
     """
     readers = {"hwpx": hwpx_text, "hwp": hwp_text, "html": lambda b: b.decode("utf-8", "replace"), "markdown": lambda b: b.decode("utf-8", "replace")}
     chain = tiers or [readers[kind]]
@@ -152,4 +156,5 @@ def extract_text(files: DataFrame, kind: str, tiers: list[Callable[[bytes], str]
                 errors.append(None if text else error)
             yield pd.DataFrame({"source": pdf["source"], "text": texts, "error": errors})
 
-    return files.select("source", "content").mapInPandas(rows, "source string, text string, error string")
+    read = files.select("source", "content").mapInPandas(rows, "source string, text string, error string")
+    return read.withColumn("text", F.nullif(clean_lines(F.col("text")), F.lit(""))) if kind == "hwp" else read

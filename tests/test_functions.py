@@ -22,7 +22,7 @@ def test_cleaner(spark):
     assert clean(spark, page) == "Heading here\n\na bullet link\n\nlast line"
     assert clean(spark, "") == "" and clean(spark, None) == ""
     assert clean(spark, "one\nhome work\ntwo") == "one\ntwo"
-    assert clean(spark, "경기소개\nreal", "https://a.example/contents.do") == "real"
+    assert clean(spark, "대학생활\nreal", "https://a.example/contents.do") == "real"
     assert clean(spark, "a b\r\nc d e f") == "a b\nc d\ne f"
 
 
@@ -79,6 +79,12 @@ def test_titles(spark):
     assert one(spark, titles.text_title(F.col("c"), F.col("s")), c="!!\n", s="https://a.example/d/file.pdf") == "file"
 
 
-def test_hwp_lines():
+def test_site_words_are_rules(spark):
+    page = F.lit("Our campus news\nreal line\nsitefoot and more\nrest")
+    rules = text.LineRules(skip=(*text.SKIP_LINE_TOKENS, "campus news"), end=("sitefoot",))
+    assert spark.range(1).select(text.clean_markdown(page, F.lit("https://a.example/x"), rules)).first()[0] == "real line"
+
+
+def test_hwp_lines(spark):
     raw = "그림입니다 x\n\x01\x02 ab c d\n가 나 2024년 일정 안내문입니다\n정상적인 문장이 여기에 있습니다\n????"
-    assert hwp.clean_lines(raw) == "2024년 일정 안내문입니다\n정상적인 문장이 여기에 있습니다"
+    assert one(spark, hwp.clean_lines(F.col("c")), c=raw) == "2024년 일정 안내문입니다\n정상적인 문장이 여기에 있습니다"

@@ -100,3 +100,55 @@ def test_crawl_goes_to_the_largest_max_depth(spark):
     pages = spark.createDataFrame([(f"https://a.example/p/{i}", [f"/p/{i + 1}"]) for i in range(14)], "url string, links array<string>")
     source = spark.createDataFrame([("s", ["https://a.example/p/0"], 0, 12, True)], "name string, seed_urls array<string>, max_pages int, max_depth int, collect_seed_pages boolean")
     assert sorted(r["depth"] for r in crawl.crawl(pages, source).collect()) == list(range(13))
+
+
+def test_archives_are_read_at_any_depth():
+    import io
+    import zipfile
+
+    from corpusflow.sources.archives import members_of
+
+    content, name = b"text", "a.md"
+    for i in range(6):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            z.writestr(name, content)
+        content, name = packed.getvalue(), f"z{i}.zip"
+    assert [(m, c) for m, c in members_of(content)] == [("z4.zip#z3.zip#z2.zip#z1.zip#z0.zip#a.md", b"text")]
+
+
+def test_hwp_lines_equal_their_rules(spark):
+    """The rules told line by line in plain Python, over random lines of noise, words and years."""
+    import random
+    import re
+
+    from corpusflow.functions import hwp
+
+    rng = random.Random(6)
+    pieces = ["가", "나다", "일정 안내", "2024년", "2023-05", "a", "bc", "word", "§§", "::", "비고:", "그림입니다", "12", "(x)", "\x02", "ㄱ", "…", "  "]
+    lines = [" ".join(rng.choices(pieces, k=rng.randrange(1, 9))) for _ in range(1500)]
+
+    def measure(t):
+        found = re.findall(f"[0-9{hwp.LETTERS}]+", t)
+        return len(found), sum(len(x) <= 2 for x in found), sum(map(len, found))
+
+    def rule(line):
+        line = " ".join(re.sub(hwp.CONTROL, " ", line).split())
+        if re.search(hwp.IMAGE_MARKS, line.lower()):
+            return None
+        line = " ".join(re.sub(f"[^0-9{hwp.LETTERS}{hwp.STAYING}]", " ", line).split())
+        n, short, _ = measure(line)
+        if not re.search("[0-9]", line) and (n >= 3 and short >= 0.8 * n or 0 < n < 3 and short == n and len(line) <= 10):
+            return None
+        year = re.search(hwp.YEAR, line)
+        if year:
+            before = line[: year.start()].strip()
+            n, short, told = measure(before)
+            if ":" not in before and (n and short >= 0.6 * n or len(before) < 2 or told < 0.35 * len(before)):
+                line = line[year.start() :]
+        line = re.sub(f"^(?:[{hwp.LETTERS}]\\s+){{1,8}}(?=[0-9]{{4}})", "", line).strip()
+        return line if len(line) >= 2 and measure(line)[2] and measure(line)[2] >= 0.35 * len(line) else None
+
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = dict(frame.select("i", hwp.clean_lines(F.col("x"))).collect())
+    assert [got[i] for i in range(len(lines))] == [rule(x) or "" for x in lines]
