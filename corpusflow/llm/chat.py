@@ -6,7 +6,8 @@ A conversation becomes one string. Adjacent turns of one role are merged under o
 
 Control strings inside texts and roles, of this template and of other common ones, are escaped by a
 backslash after their first character; one that already has k backslashes there gets k + 1. So an
-escaped text holds no control string, and taking one backslash away restores it exactly.
+escaped text holds no control string, and taking one backslash away restores it exactly. A conversation
+is one row, so the longest must fit a task; none is cut.
 """
 
 from __future__ import annotations
@@ -30,6 +31,15 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPE, "$1$2")
 
 
+def role_line(role: Column) -> Column:
+    """A role as the first line of its header: a line feed is %0A, a percent sign %25."""
+    return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
+
+
+def read_role(line: Column) -> Column:
+    return F.replace(F.replace(unescape(line), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def format_chats(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -50,7 +60,7 @@ def format_chats(
     def segments(t: Column, i: Column) -> Column:
         body = F.struct(escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))
         mark = lambda c: F.struct(c.alias("text"), F.lit(False).alias("loss"))
-        head = F.when(at(i - 1).eqNullSafe(t["role"]), F.lit(PART)).otherwise(F.concat(F.lit(TURN), escape(t["role"]), F.lit("\n")))
+        head = F.when(at(i - 1).eqNullSafe(t["role"]), F.lit(PART)).otherwise(F.concat(F.lit(TURN), role_line(t["role"]), F.lit("\n")))
         tail = F.when(at(i + 1).eqNullSafe(t["role"]), F.lit("")).otherwise(F.lit(END))
         return F.array(mark(head), body, mark(tail))
 
@@ -66,7 +76,7 @@ def read_turns(formatted: Column) -> Column:
 
     def block(b: Column) -> Column:
         whole = F.regexp_replace(b, r"(?s)<\|end\|>\n\z", "")
-        role = unescape(F.substring_index(whole, "\n", 1))
+        role = read_role(F.substring_index(whole, "\n", 1))
         body = F.substring(whole, F.length(F.substring_index(whole, "\n", 1)) + 2, F.length(whole))
         return F.transform(F.split(body, r"<\|part\|>"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 

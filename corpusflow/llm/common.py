@@ -13,6 +13,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot if it has more than one row in HOT_SHARE, so at most HOT_SHARE keys are.
 HOT_SHARE = 1000
 HOT_LEAST = 1000
+#: Identifiers up to this many (16 MB) are broadcast to pick out rows; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +77,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     return left.join(F.broadcast(hot), key).unionByName(
         left.join(keys, key, "left_anti").join(cold, key, "left")
     )
+
+
+def anti_join(rows: DataFrame, ids: DataFrame, on: Column) -> DataFrame:
+    """Rows without a match in `ids`, which are broadcast if they are few, else joined by shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_anti")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, free, lookup, pin
+from .common import LOWER, UPPER, anti_join, free, lookup, pin
 
 ENTRY = "slot int, leaf int, digest binary, check long, id long, uid long, n long"
 
@@ -117,11 +117,22 @@ def exact_duplicates(
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of `docs` that `exact_duplicates` keeps, with all their columns.
 
-    Rows that agree in id and text are one document: one of them stays.
+    Rows that go are picked out by their ids, so texts are not shuffled while these are few. Only where
+    an id has rows that stay and rows that go are texts compared again; rows that agree in id and
+    text are one document, of which one row stays. A null id is such an id if it repeats.
     """
-    own, of, text, nth = free(docs, "kept_id", "kept_text", "own_text", "nth")
-    found = exact_duplicates(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias(own), F.col("text_sha256").alias(of))
+    found = exact_duplicates(docs, id_col, text_col, keep).select(F.col(id_col).alias("id"), "kept", "text_sha256")
+    by_id = found.groupBy("id").agg(F.count_if("kept").alias("stay"), F.count(F.lit(1)).alias("n")).where("stay < n")
+    (own,) = free(docs, "kept_id")
+    open_ids = pin(by_id.select(F.col("id").alias(own), "stay"))
+    rest = anti_join(docs, open_ids.select(own), F.col(id_col).eqNullSafe(F.col(own)))
+    mixed = open_ids.where("stay > 0").select(own)
+    if mixed.isEmpty():
+        return rest
+    text, of, nth = free(docs.withColumn(own, F.lit(0)), "own_text", "kept_text", "nth")
+    stay = found.where("kept").join(mixed, F.col("id").eqNullSafe(F.col(own)), "left_semi").select(F.col("id").alias(own), F.col("text_sha256").alias(of))
     lowered = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    joined = docs.withColumn(text, lowered).join(found, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(text) == F.col(of)))
+    joined = docs.withColumn(text, lowered).join(stay, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(text) == F.col(of)))
     first = F.row_number().over(Window.partitionBy(own, of).orderBy(of))
-    return joined.withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = joined.withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rest.unionByName(once)

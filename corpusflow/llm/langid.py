@@ -26,9 +26,9 @@ from .sampling import bounded_sample
 STRETCH = 256
 #: Letters with a column in the dense tables; transitions by other letters are looked up by key.
 ALPHABET = 62
-#: Bounds of what is fitted on: documents of a language, characters of each, characters of a
-#: language, and characters over all languages together.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGE_CHARS, ALL_CHARS = 200, 2000, 40_000, 1_600_000
+#: Bounds of what is fitted on: documents and characters of a language, and characters over all
+#: languages together; every language of the labels is learned.
+SAMPLE_DOCS, LANGUAGE_CHARS, ALL_CHARS = 200, 40_000, 800_000
 UNDETERMINED = "und"
 #: Above all codes.
 SPAN = 1 << 21
@@ -146,11 +146,13 @@ def parse_costs(docs: list[np.ndarray], tables: list[np.ndarray], pad: int, spar
             if len(r) and sparse:
                 to[r] = look_up(sparse[k], state[r] * SPAN + o)
             broken = to < 0
-            phrases += broken
-            state = np.where(broken, root[c], to)
+            before, state = state, np.where(broken, root[c], to)
             if len(r) and sparse:
                 again = np.flatnonzero(broken[r])
                 state[r[again]] = np.maximum(look_up(sparse[k], o[again]), 0)
+            # What breaks off a phrase ends it, and an unknown letter is then a phrase of its own.
+            phrases += broken
+            phrases += broken & (before != 0) & (state == 0)
         phrases += state != 0
         out[:, k] = np.bincount(owner, phrases[: len(owner)], len(docs)) / sizes
     return out
@@ -158,7 +160,7 @@ def parse_costs(docs: list[np.ndarray], tables: list[np.ndarray], pad: int, spar
 
 def fit(labelled: DataFrame, docs: DataFrame) -> tuple[list[str], Alphabet, list[np.ndarray], list[Sparse]]:
     """Languages in order of name, the alphabet, and the tables and sorted lists of the languages."""
-    sample = bounded_sample(labelled, docs, SAMPLE_DOCS, SAMPLE_CHARS)
+    sample = bounded_sample(labelled, docs, SAMPLE_DOCS, LANGUAGE_CHARS, ALL_CHARS)
     texts: dict[str, list[str]] = {}
     for lang, _, text in sample:
         if any(c.isalpha() for c in text):

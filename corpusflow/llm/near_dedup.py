@@ -10,14 +10,16 @@ of `rows` coordinates is a bucket. In a first round each bucket compares its mem
 one, which settles groups of copies of any size at one comparison a member; a second round compares
 what is left with one member of each bucket's largest component. A third compares members of
 components that are still apart, block by block, by longer sketches of the same permutations and
-then by sets of 32-bit hashes, closest first; as one link joins two components, a block hands on
-one for each pair of them. Links of all rounds are confirmed on the full sets of shingles. A
+then by their full sets, closest first; as one link joins two components, a block hands on
+one for each pair of them. So links of all rounds are confirmed on the full sets of shingles. A
 bucket's largest component is never compared with itself, blocks are of bounded size, and no
-bucket is cut off.
+bucket is cut off: one that still has very many unlike members is replaced by buckets of longer bands,
+as many of them as leave the probability to miss a pair as it was.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,17 +28,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, lookup, pin
+from .common import BROADCAST_IDS, anti_join, free, lookup, pin
 from .components import connected_components
 
 BANDS, ROWS = 28, 4
 #: Coordinates of the last round's sketches, a byte each, and how far below the wanted share of
-#: equal ones a pair is ruled out: 0.15 is over 4.7 standard deviations at a similarity of 0.8.
-SKETCH, SLACK = 160, 0.15
+#: equal ones a pair is ruled out: 0.2 is over 6.3 standard deviations at a similarity of 0.8.
+SKETCH, SLACK = 160, 0.2
 #: Rows of one side of a block.
 BLOCK = 1024
-#: Identifiers up to this many (16 MB) are broadcast to pick out texts; more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of a bucket, not of its largest component, from which on it is banded again by longer bands.
+HOT_BUCKET = 8 * BLOCK
+#: Probability that a pair just similar enough misses all bands.
+MISS = 5e-7
 #: A centre's text is sent to tasks of so many of its partners.
 PARTNERS = 2000
 
@@ -142,9 +146,9 @@ def _sketcher(n_words: int):
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, n_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            short = [np.unique((s ^ (s >> np.uint64(32))).astype(np.uint32)).tobytes() for s in sets]
+            full = [s.tobytes() for s in sets]
             made = [signature(s, SKETCH).astype(np.uint8).tobytes() for s in sets]
-            yield pa.record_batch({"rep": batch.column("id"), "sketch": pa.array(made, pa.binary()), "short": pa.array(short, pa.binary())})
+            yield pa.record_batch({"rep": batch.column("id"), "sketch": pa.array(made, pa.binary()), "full": pa.array(full, pa.binary())})
 
     return sketch
 
@@ -162,11 +166,10 @@ def _block_links(percent: int):
     share = percent / 100 - SLACK
     least = int(SKETCH * (share + (1 - share) / 256))
 
-    def links(rep, n, c, side, sketches, short) -> list[tuple[int, int]]:  # noqa: ANN001
+    def links(rep, n, c, side, sketches, full) -> list[tuple[int, int]]:  # noqa: ANN001
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
         found, joined = [], {int(x): int(x) for x in c}
-        lost = n - np.array([len(s) for s in short])  # shingles that fall together in 32 bits
 
         def root(x: int) -> int:
             while joined[x] != x:
@@ -184,7 +187,7 @@ def _block_links(percent: int):
                 part, others = others[:16], others[16:]
                 if not len(part):
                     break
-                both = _shared(short[i], [short[o] for o in part]) + lost[i] + lost[part]
+                both = _shared(full[i], [full[o] for o in part])
                 for o in part[100 * both >= percent * (n[i] + n[part] - both)]:
                     a, b = root(int(c[i])), root(int(c[o]))
                     if a != b:
@@ -202,9 +205,9 @@ def _block_links(percent: int):
         def settle(table: pa.Table) -> pa.RecordBatch:
             rep, n, c, side = (table.column(k).to_numpy() for k in ("rep", "n", "c", "side"))
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            short = [np.frombuffer(x, np.uint32) for x in table.column("short").to_pylist()]
+            full = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
             cuts = [0, *edges(table).tolist(), len(table)]
-            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in links(rep[a:b], n[a:b], c[a:b], side[a:b], sketches[a:b], short[a:b])}
+            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in links(rep[a:b], n[a:b], c[a:b], side[a:b], sketches[a:b], full[a:b])}
             once = sorted({(min(p), max(p)) for p in found})
             return pa.record_batch({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array([b for _, b in once], pa.int64())})
 
@@ -222,12 +225,35 @@ def _block_links(percent: int):
 
 
 def _open_buckets(member: DataFrame, component: DataFrame) -> DataFrame:
-    """Members, with component c, of buckets that hold several components."""
+    """Members, with component c, of buckets that hold several components, and their number, size."""
     here = pin(
         member.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
     )
-    apart = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-    return pin(here.join(apart, "bucket"))
+    kinds = here.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"))
+    return pin(lookup(here, kinds, "bucket", "size", here.count()).where("lo < hi").drop("lo", "hi"))
+
+
+def _with_centre(here: DataFrame, centre: Column) -> DataFrame:
+    """Pairs of members and their bucket's centre; a hot bucket's members are not sent to one task."""
+    chosen = here.groupBy("bucket").agg(centre.alias("m"), F.first("size").alias("many"))
+    chosen = chosen.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"), "many")
+    return lookup(here, chosen, "bucket", "many", here.count())
+
+
+def _rebanded(here: DataFrame, texts: DataFrame, component: DataFrame, n_words: int, percent: int, rows: int) -> DataFrame:
+    """`here` with its hot buckets replaced by buckets of `rows` coordinates."""
+    sizes = _main_components(here).where(F.col("few") > HOT_BUCKET).select("bucket", (F.col("few") + F.col("many")).alias("all"))
+    hot = pin(sizes)
+    if hot.isEmpty():
+        return here
+    bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+    marked = pin(lookup(here, hot, "bucket", "all", here.count()))
+    reps = marked.where("all is not null").select("rep").distinct()
+    signed = texts.join(reps.withColumnRenamed("rep", "id"), "id", "left_semi").mapInArrow(
+        _signer(n_words, bands, rows), "id long, n long, digest binary, keys array<long>"
+    )
+    member = pin(signed.select(F.col("id").alias("rep"), "n", F.explode("keys").alias("bucket")))
+    return pin(marked.where("all is null").drop("all").unionByName(_open_buckets(member, component)))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -> DataFrame:
@@ -261,7 +287,8 @@ def _block_rows(rows: DataFrame) -> DataFrame:
     is one component, also meets itself, in blocks i <= -1 - j.
     """
     cut = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1))
-    dealt = rows.join(_main_components(rows), "bucket").select(
+    sized = _main_components(rows).withColumn("total", F.col("many") + F.col("few"))
+    dealt = lookup(rows.drop("size"), sized, "bucket", "total", rows.count()).select(
         "bucket", "rep", "n", "c", "kinds", (F.col("c") == F.col("main")).alias("is_main"), cut("many").alias("nj"), cut("few").alias("ni")
     )
     dealt = dealt.withColumn("h", F.xxhash64("rep"))
@@ -322,28 +349,32 @@ def near_duplicates(
     if not here.isEmpty():
         ids = here.select("rep").distinct().join(classes.select("rep", "digest"), "rep").select(F.col("rep").alias("id"), "digest")
         texts = pin(_texts(docs, pin(ids), id_col, text_col, n_words))
-        centre = here.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "c"), "rep").alias("m"))
-        centre = centre.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"))
-        pairs = pin(here.join(centre, "bucket").where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
+        met = _with_centre(here, F.min_by(F.struct("rep", "n", "c"), "rep"))
+        pairs = pin(met.where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
         links = pin(links.union(_confirmed(pairs, texts, n_words, percent)))
         component = connected_components(links)
         here = _open_buckets(member, component)
     if not here.isEmpty():
-        main = here.join(_main_components(here).select("bucket", "main"), "bucket").where("c = main")
-        centre = main.groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "c"), F.xxhash64("bucket", "rep")).alias("m"))
-        centre = centre.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"))
-        pairs = pin(here.join(centre, "bucket").where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
+        per_component = here.groupBy("bucket", "c", "size").agg(
+            F.count(F.lit(1)).alias("m"), F.min_by(F.struct("rep", "n", "c"), F.xxhash64("bucket", "rep")).alias("one")
+        )
+        main = per_component.groupBy("bucket").agg(F.max_by("one", F.struct("m", "c")).alias("m"), F.first("size").alias("many"))
+        main = main.select("bucket", F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), F.col("m.c").alias("c_a"), "many")
+        met = lookup(here, main, "bucket", "many", here.count())
+        pairs = pin(met.where(_near(percent)).select("a", F.col("rep").alias("b")).distinct())
         links = pin(links.union(_confirmed(pairs, texts, n_words, percent)))
         component = connected_components(links)
         here = _open_buckets(member, component)
+    for longer in (2 * rows, 4 * rows):
+        if not here.isEmpty():
+            here = _rebanded(here, texts, component, n_words, percent, longer)
     if not here.isEmpty():
         reps = here.select(F.col("rep").alias("id")).distinct()
-        sketches = pin(texts.join(reps, "id", "left_semi").mapInArrow(_sketcher(n_words), "rep long, sketch binary, short binary"))
+        sketches = pin(texts.join(reps, "id", "left_semi").mapInArrow(_sketcher(n_words), "rep long, sketch binary, full binary"))
         blocks = _block_rows(here).join(sketches, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        columns = ["bucket", "i", "j", "side", "rep", "n", "c", "sketch", "short"]
+        columns = ["bucket", "i", "j", "side", "rep", "n", "c", "sketch", "full"]
         found = pin(blocks.select(columns).mapInArrow(_block_links(percent), "a long, b long").distinct())
-        links = pin(links.union(_confirmed(found, texts, n_words, percent)))
-        component = connected_components(links)
+        component = connected_components(pin(links.union(found)))
     final = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", "copies", F.coalesce("component", "rep").alias("component_id")
     )
@@ -362,6 +393,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows without an id cannot be told apart by it; they all stay.
     """
-    (own,) = free(docs, "kept_id")
-    kept = near_duplicates(docs, id_col, text_col, n_words, percent).where("kept").select(F.col(id_col).alias(own)).distinct()
-    return docs.join(kept, F.col(id_col) == F.col(own), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    (own,) = free(docs, "gone_id")
+    found = near_duplicates(docs, id_col, text_col, n_words, percent).select(F.col(id_col).alias(own), "kept").where(F.col(own).isNotNull())
+    gone = pin(found.groupBy(own).agg(F.max("kept").alias("stays")).where("not stays").select(own))
+    return anti_join(docs, gone, F.col(id_col) == F.col(own))

@@ -104,6 +104,21 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=4, percent=80)
 
 
+#: All pairs that share a shingle, and what is reachable over those that are linked.
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.node = e.a WHERE r.c < e.b),
+m AS (SELECT node, min(c) AS c FROM r GROUP BY node)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON doc_id = node
+"""
+
+
 def _learnable(docs: DataFrame) -> DataFrame:
     """What models may learn from: id and text of the documents that are not held out."""
     return docs.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
@@ -123,7 +138,7 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = read_media(store_media(table(spark, sf_dir, "documents")))
     feature = F.concat(F.lit("peaks:"), F.size("fingerprint"), F.lit(":"), F.lower(F.hex(F.xxhash64("fingerprint"))))
-    return read.withColumn("feature", feature).drop("fingerprint")
+    return read.withColumn("feature", feature)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +177,4 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL}

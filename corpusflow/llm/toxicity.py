@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .sampling import bounded_sample
 
 TOKEN = re.compile(r"\w+")
-#: Bounds of what is fitted on: documents of a label and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 4000
+#: Bounds of what is fitted on: documents of a label, characters of them together, and windows of a document.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_PLACES = 2000, 8_000_000, 6
 #: Lengths of word beginnings that are features beside the whole word.
 HEADS = (4, 5)
 #: A feature labels tokens if it is in so many toxic documents, at this log ratio to clean ones,
@@ -138,7 +138,8 @@ def fit(sample: list[tuple[int, str]], rounds: int = 120) -> Field:
     for y, tokens in docs:
         ids = [[index[f] for f in features(t) if f in index] for t in tokens]
         tags = [int(bool(y) and any(f in labels for f in features(t))) for t in tokens]
-        places = [i for i, x in enumerate(ids) if x][:6] + rng.integers(0, max(1, len(tokens)), 1).tolist()
+        known_at = [i for i, x in enumerate(ids) if x]
+        places = sorted(rng.permutation(known_at)[:SAMPLE_PLACES].astype(int).tolist()) + rng.integers(0, max(1, len(tokens)), 1).tolist()
         for i in places:
             a = max(0, i - WINDOW // 2)
             if tokens[a : a + WINDOW]:
@@ -163,33 +164,38 @@ def fit(sample: list[tuple[int, str]], rounds: int = 120) -> Field:
 
 
 def _gradient(params: np.ndarray, x: np.ndarray, y: np.ndarray, live: np.ndarray, n: int, l2: float = 1e-4) -> np.ndarray:
-    """Of the mean negative log likelihood of the windows, by forward-backward over all at once."""
+    """Of the mean negative log likelihood of the windows, by scaled forward-backward over all at once."""
     weights = np.append(params[:n], 0.0)
-    moves = params[n + 1 :].reshape(2, 2)
+    move = np.exp(params[n + 1 :].reshape(2, 2))
     size, width = y.shape
-    emit = np.zeros((size, width, 2))
-    emit[:, :, 1] = (weights[x].sum(axis=2) + params[n]) * live
-    ahead, behind = np.empty_like(emit), np.zeros_like(emit)
-    ahead[:, 0] = emit[:, 0]
+    emit = np.exp(np.clip(weights[x].sum(axis=2) + params[n], -30, 30)).T
+    ahead, behind = np.empty((width, 2, size)), np.full((width, 2, size), 0.5)
+    on = live.T
+    ahead[0, 0], ahead[0, 1] = 1 / (1 + emit[0]), emit[0] / (1 + emit[0])
     for i in range(1, width):
-        to = np.logaddexp(ahead[:, i - 1, 0, None] + moves[0], ahead[:, i - 1, 1, None] + moves[1]) + emit[:, i]
-        ahead[:, i] = np.where(live[:, i, None], to, ahead[:, i - 1])
+        v = move.T @ ahead[i - 1]
+        v[1] *= emit[i]
+        ahead[i] = np.where(on[i], v / v.sum(axis=0), ahead[i - 1])
     for i in range(width - 2, -1, -1):
-        nxt = behind[:, i + 1] + emit[:, i + 1]
-        to = np.logaddexp(nxt[:, 0, None] + moves[:, 0], nxt[:, 1, None] + moves[:, 1])
-        behind[:, i] = np.where(live[:, i + 1, None], to, behind[:, i + 1])
-    total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])[:, None]
-    p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total) * live
-    off = (p - y) * live
+        v = behind[i + 1].copy()
+        v[1] *= emit[i + 1]
+        v = move @ v
+        behind[i] = np.where(on[i + 1], v / v.sum(axis=0), behind[i + 1])
+    both = ahead * behind
+    off = (both[:, 1] / both.sum(axis=1)).T * live - y * live
     grad = np.zeros_like(params)
     grad[:n] = np.bincount(x.reshape(-1), np.repeat(off.reshape(-1), x.shape[2]), n + 1)[:n]
     grad[n] = off.sum()
     pair = np.zeros((2, 2))
     for i in range(1, width):
+        after = behind[i].copy()
+        after[1] *= emit[i]
+        total = (ahead[i - 1] * (move @ after)).sum(axis=0)
+        share = np.where(on[i], 1 / total, 0.0)
+        pair += move * ((ahead[i - 1] * share) @ after.T)
         for a in (0, 1):
             for b in (0, 1):
-                q = np.exp(ahead[:, i - 1, a] + moves[a, b] + emit[:, i, b] + behind[:, i, b] - total[:, 0]) * live[:, i]
-                pair[a, b] += (q - (y[:, i - 1] == a) * (y[:, i] == b) * live[:, i]).sum()
+                pair[a, b] -= np.count_nonzero((y[:, i - 1] == a) & (y[:, i] == b) & live[:, i])
     grad[n + 1 :] = pair.reshape(-1)
     return grad / size + l2 * params
 
@@ -206,7 +212,7 @@ def score_toxicity(
     labels of both kinds all scores are 0. No other columns are read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = bounded_sample(labelled.where("label in (0, 1)"), rows if fit_on is None else fit_on, SAMPLE_DOCS, SAMPLE_CHARS)
+    sample = bounded_sample(labelled.where("label in (0, 1)"), rows if fit_on is None else fit_on, SAMPLE_DOCS, SAMPLE_CHARS, 2 * SAMPLE_CHARS)
     field = fit([(int(label), text) for label, _, text in sample])
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
