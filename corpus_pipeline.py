@@ -23,7 +23,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be told: null texts and texts without a letter."""
+    """Drops documents whose language cannot be told: null texts and texts without a letter.
+
+    A null id is never held out and never learned from; repeated rows get equal results; an empty
+    table stays empty. Columns keep their names whatever they are; very long texts are read whole.
+    """
     learn = docs.where(~held_out(F.col("doc_id")))
     labelled = learn.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
     pred, score = free(docs, "lang_pred", "score")
@@ -32,22 +36,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
+    """Of texts equal after lower-casing A-Z the row with the smallest doc_id stays.
+
+    Null texts count as empty. A null id loses to any other; of rows that agree in id and text one
+    stays. Further columns stay as they are, names that clash too; an empty table stays empty.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity 0.8."""
+    """One document of each group of near duplicates stays, the smallest id: shingles of five words, similarity 0.8.
+
+    Texts without a word are linked with nothing and stay, and so do rows with a null id. Rows that
+    repeat an id stay or go together. Further columns stay; an empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; those that it does not take go."""
+    """Documents as often as the mix of sources takes them, three times at most; those that it does not take go.
+
+    A null source is a source; texts without a word take no room and go; ties of the order end in
+    id and text, so reruns agree. Further columns stay; an empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents, or their pieces, in sequences of 2048 words."""
+    """Places of all documents, or their pieces, in sequences of 2048 words.
+
+    A document longer than a sequence is cut into pieces, all of which are placed; one without a
+    word has a piece of no words. Copies that the mix repeats are of one duplicate cluster and get
+    different sequences. A null id or source is a value like others; an empty table gives no rows.
+    """
     return pack(docs)
 
 
