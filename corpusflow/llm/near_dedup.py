@@ -33,8 +33,8 @@ BANDS, ROWS = 28, 4
 #: Coordinates of the last round's sketches, a byte each, and how far below the wanted share of
 #: equal ones a pair is ruled out: 0.15 is over 4.7 standard deviations at a similarity of 0.8.
 SKETCH, SLACK = 160, 0.15
-#: Rows of one side of a block.
-BLOCK = 1024
+#: Rows of one side of a block, and shingles in their sets; blocks of longer texts have fewer rows.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: A centre's text is sent to tasks of so many of its partners.
 PARTNERS = 2000
 
@@ -147,46 +147,38 @@ def _sketcher(n_words: int):
     return sketch
 
 
-def _shared(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of a sorted set with several others."""
-    flat = np.concatenate(others)
-    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-    starts = np.cumsum([0, *[len(o) for o in others[:-1]]])
-    return np.add.reduceat((mine[at] == flat).astype(np.int64), starts)
-
-
 def _block_links(percent: int):
     """Rows come sorted by block; a block gives a link for each two components that its sides join."""
     share = percent / 100 - SLACK
     least = int(SKETCH * (share + (1 - share) / 256))
 
-    def links(rep, n, c, side, sketches, full) -> list[tuple[int, int]]:  # noqa: ANN001
+    def links(rep, c, side, sketches, full) -> list[tuple[int, int]]:  # noqa: ANN001
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        found, joined = [], {int(x): int(x) for x in c}
-
-        def root(x: int) -> int:
-            while joined[x] != x:
-                x = joined[x]
-            return x
-
+        n = np.array([len(s) for s in full])
+        # Shingles are numbered within the block, so that a set is looked up in a table of marks.
+        codes = np.unique(np.concatenate(full), return_inverse=True)[1].astype(np.int32)
+        sets = np.split(codes, np.cumsum(n)[:-1])
+        marked = np.zeros(codes.max() + 1, bool)
+        label, found = c.copy(), []
         for i in left:
-            others = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            others = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
             if right is left:
                 others = others[others > i]
             equal = (sketches[others] == sketches[i]).sum(axis=1)
             others = others[np.argsort(-equal, kind="stable")][: int((equal >= least).sum())]
+            marked[sets[i]] = True
+            width = 16
             while len(others):
-                others = others[[root(int(c[o])) != root(int(c[i])) for o in others]]
-                part, others = others[:16], others[16:]
-                if not len(part):
-                    break
-                both = _shared(full[i], [full[o] for o in part])
+                part, others, width = others[:width], others[width:], 2 * width
+                starts = np.cumsum(n[part]) - n[part]
+                both = np.add.reduceat(marked[np.concatenate([sets[o] for o in part])], starts, dtype=np.int64)
                 for o in part[100 * both >= percent * (n[i] + n[part] - both)]:
-                    a, b = root(int(c[i])), root(int(c[o]))
-                    if a != b:
-                        joined[a] = b
+                    if label[o] != label[i]:
+                        label[label == label[o]] = label[i]
                         found.append((int(rep[i]), int(rep[o])))
+                others = others[label[others] != label[i]]
+            marked[sets[i]] = False
         return found
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +189,13 @@ def _block_links(percent: int):
             return np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
 
         def settle(table: pa.Table) -> pa.RecordBatch:
-            rep, n, c, side = (table.column(k).to_numpy() for k in ("rep", "n", "c", "side"))
-            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            full = [np.frombuffer(x, np.uint64) for x in table.column("full").to_pylist()]
+            found = set()
             cuts = [0, *edges(table).tolist(), len(table)]
-            found = {p for a, b in zip(cuts, cuts[1:], strict=False) for p in links(rep[a:b], n[a:b], c[a:b], side[a:b], sketches[a:b], full[a:b])}
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                block = table.slice(start, end - start)
+                rep, c, side = (block.column(k).to_numpy() for k in ("rep", "c", "side"))
+                sketches = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                found.update(links(rep, c, side, sketches, [np.frombuffer(x, np.uint64) for x in block.column("full").to_pylist()]))
             once = sorted({(min(p), max(p)) for p in found})
             return pa.record_batch({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array([b for _, b in once], pa.int64())})
 
@@ -239,10 +233,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n_words: int, percent: int) -
 
 
 def _main_components(rows: DataFrame) -> DataFrame:
-    """Per bucket: main, its largest component, many and few, the rows of that and the others, and kinds."""
-    counts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
+    """Per bucket: main, its largest component; rows and shingles of that (many) and of the others (few); kinds."""
+    counts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    most = F.max(F.struct("m", "c", "s"))
     return counts.groupBy("bucket").agg(
-        F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("many"), (F.sum("m") - F.max("m")).alias("few"), F.count(F.lit(1)).alias("kinds")
+        most["c"].alias("main"),
+        F.struct(most["m"].alias("m"), most["s"].alias("s")).alias("many"),
+        F.struct((F.sum("m") - most["m"]).alias("m"), (F.sum("s") - most["s"]).alias("s")).alias("few"),
+        F.count(F.lit(1)).alias("kinds"),
     )
 
 
@@ -257,7 +255,7 @@ def _block_rows(rows: DataFrame) -> DataFrame:
     The largest component of a bucket, in blocks j, meets the rest, in blocks i; the rest, unless it
     is one component, also meets itself, in blocks i <= -1 - j.
     """
-    cut = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1))
+    cut = lambda c: F.greatest(F.ceil(F.col(c)["m"] / BLOCK), F.ceil(F.col(c)["s"] / BLOCK_SHINGLES), F.lit(1))
     dealt = rows.join(_main_components(rows), "bucket").select(
         "bucket", "rep", "n", "c", "kinds", (F.col("c") == F.col("main")).alias("is_main"), cut("many").alias("nj"), cut("few").alias("ni")
     )
