@@ -73,6 +73,40 @@ def test_near_duplicates_with_strangers_and_hot_groups(spark):
     assert got == brute_components(texts, 4, 80)[0]
 
 
+def test_blocks_of_any_size_give_the_same_components(spark, monkeypatch):
+    """Members of one bucket, dealt to few or many blocks by rows or by shingles: each linked pair of components is joined."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    base = rng.choices(vocabulary, k=80)
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 6):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    sets = [near_dedup.shingle_set(t.encode(), 4) for t in texts]
+    want = {(a, b) for a in range(60) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    rows = spark.createDataFrame([(1, i, len(sets[i]), i % 50) for i in range(60)], "bucket long, rep long, n long, c long")
+    full = [(i, bytearray(near_dedup.signature(s, near_dedup.SKETCH).astype(np.uint8).tobytes()), bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    sketches = spark.createDataFrame(full, "rep long, sketch binary, full binary")
+
+    def components(links):
+        label = {i: i % 50 for i in range(60)}
+        for a, b in links:
+            old, to = label[a], label[b]
+            label = {k: to if v == old else v for k, v in label.items()}
+        return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+    for block, shingles in ((2048, 1 << 20), (7, 1 << 20), (2048, 400)):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+        blocks = near_dedup._block_rows(rows).join(sketches, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        columns = ["bucket", "i", "j", "side", "rep", "n", "c", "sketch", "full"]
+        found = {(r["a"], r["b"]) for r in blocks.select(columns).mapInArrow(near_dedup._block_links(80), "a long, b long").collect()}
+        assert {(max(p), min(p)) for p in found} <= want
+        assert components(found) == components(want)
+
+
 def test_signature_is_circulant():
     s = near_dedup.shingle_set(b"a b c d e f g h i j", 4)
     whole, short = near_dedup.signature(s, 64), near_dedup.signature(s, 16)
