@@ -17,7 +17,9 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_personal_data
+from .repair import damage, repair_conversations, with_digest
 from .toxicity import score_toxicity
+from .variants import spelling_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -165,6 +167,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digest(*repair_conversations(damage(table(spark, sf_dir, "conversations"))))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, slip=97)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -176,5 +186,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_packing": op10_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL}
