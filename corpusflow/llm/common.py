@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +86,26 @@ def anti_join(rows: DataFrame, ids: DataFrame, on: Column) -> DataFrame:
     """Rows without a match in `ids`, which are broadcast if they are few, else joined by shuffle."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, "left_anti")
+
+
+def whole_blocks(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables that end where a block ends, and where their blocks start. Rows come sorted by the keys of blocks."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for key in keys:
+            codes = table.column(key).combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        at = starts(held)
+        if len(at) > 1:  # the last block may go on in the next batch
+            yield held.slice(0, int(at[-1])), at[:-1]
+            held = held.slice(int(at[-1]))
+    if held is not None and len(held):
+        yield held, starts(held)

@@ -12,6 +12,7 @@ from .common import LOWER, UPPER, held_out, table
 from .exact_dedup import exact_duplicates
 from .html_text import extract_main_text
 from .langid import identify_language
+from .lattice import near_vectors
 from .media import read_media, store_media
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -171,6 +172,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(*repair_conversations(damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, slip=97)
 
@@ -187,6 +192,7 @@ QUERIES: dict[str, Query] = {
     "op9_language": op9_language,
     "op10_packing": op10_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL}

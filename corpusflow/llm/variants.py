@@ -16,11 +16,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, lookup, pin
+from .common import LOWER, UPPER, lookup, pin, whole_blocks
 
 LETTERS = "A-Za-zÀ-ÿ"
 #: Words of a block that is divided no further, and pairs that are compared at a time.
@@ -115,14 +114,13 @@ def _near_pairs(codes: np.ndarray, lengths: np.ndarray, ends: np.ndarray, m: np.
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block. Per word of a block: how many near words it has there, and the best of them."""
 
-    def settle(part: pa.Table) -> pa.RecordBatch:
-        blocks = part.column("block").combine_chunks().dictionary_encode().indices.to_numpy()
+    def settle(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         words, n, m, upper = (part.column(c).to_numpy() for c in ("word", "n", "m", "upper"))
         found_x, found_y = [], []
         text = [w.encode("latin-1") for w in words]
         lengths = np.array([len(t) for t in text])
-        starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
-        ends = np.repeat(np.r_[starts[1:], len(blocks)], np.diff(np.r_[starts, len(blocks)]))
+        bounds = np.append(starts, len(text))
+        ends = np.repeat(bounds[1:], np.diff(bounds))
         codes = np.zeros((len(text), int(lengths.max()) + 1), np.uint8)
         for k in np.unique(lengths):
             of = np.flatnonzero(lengths == k)
@@ -141,21 +139,8 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"word": pa.array(words[own], pa.string()), "near": pa.array(near, pa.int64()), "best_n": pa.array(n[best], pa.int64()), "best": pa.array(words[best], pa.string())}
         )
 
-    held: list[pa.Table] = []
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        last = table.column("block")[-1]
-        open_from = int(np.flatnonzero(np.asarray(pc.equal(table.column("block"), last)))[0])
-        if held and open_from == 0 and held[-1].column("block")[-1] == last:
-            held.append(table)  # one block so far goes on
-            continue
-        held.append(table.slice(0, open_from))
-        whole = pa.concat_tables(held)
-        if len(whole):
-            yield settle(whole)
-        held = [table.slice(open_from)]
-    if held and sum(map(len, held)):
-        yield settle(pa.concat_tables(held))
+    for table, starts in whole_blocks(batches, "block"):
+        yield settle(table, starts)
 
 
 def near_words(words: DataFrame, least_length: int) -> DataFrame:
