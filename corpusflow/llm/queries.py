@@ -172,6 +172,49 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digest(*repair_conversations(damage(table(spark, sf_dir, "conversations"))))
 
 
+#: The damage by checksums bit by bit; edits row after row, the cheapest and least for each last initial (0 none, 1 s, 2 u, 3 a).
+OP11_SQL = r"""
+WITH RECURSIVE src AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+bits AS (SELECT *, flatten(list_transform(string_split(key, ''), lambda ch: list_transform(range(8), lambda k: (ascii(ch) >> k) & 1)))::BIGINT[] AS b FROM src),
+code AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+                       lambda x, y: xor(x >> 1, CASE WHEN xor(x, y) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) % 20 AS kind FROM bits),
+damaged AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+              CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM code, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+               row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS nth,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM damaged),
+faulty AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN t[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM numbered),
+ins(s, s2, edits, lines) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+  (0, 2, 'I', chr(10) || 'user:'), (1, 2, 'I', chr(10) || 'user:'), (3, 2, 'I', chr(10) || 'user:'), (2, 3, 'I', chr(10) || 'assistant:'),
+  (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+op(s, s2, edit, initial, role, cost) AS (VALUES (0, 0, 'D', NULL, NULL, 2), (1, 1, 'D', NULL, NULL, 2), (2, 2, 'D', NULL, NULL, 2), (3, 3, 'D', NULL, NULL, 2),
+  (0, 1, 'K', 's', NULL, 0), (0, 2, 'K', 'u', NULL, 0), (1, 2, 'K', 'u', NULL, 0), (3, 2, 'K', 'u', NULL, 0), (2, 3, 'K', 'a', NULL, 0),
+  (0, 2, 'R', NULL, 'user', 1), (1, 2, 'R', NULL, 'user', 1), (3, 2, 'R', NULL, 'user', 1), (2, 3, 'R', NULL, 'assistant', 1)),
+d(c, i, s, cost, audit, lines) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0, 0::BIGINT, '', '' FROM src
+  UNION ALL
+  SELECT c, i, s2, min(cost), arg_min(audit, (cost, audit)), arg_min(lines, (cost, audit)) FROM (
+    SELECT d.c, f.i, op.s2, d.cost + 5 * length(ins.edits) + op.cost + CASE WHEN op.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+           d.audit || ins.edits || op.edit AS audit,
+           d.lines || ins.lines || CASE op.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || op.role || ':' || f.text END AS lines
+    FROM d JOIN ins ON d.s = ins.s JOIN faulty f ON f.c = d.c AND f.i = d.i + 1 JOIN op ON op.s = ins.s2
+      AND (op.edit = 'D' OR f.fault IN ('', 'truncated')) AND (op.edit <> 'K' OR left(f.role, 1) = op.initial)) GROUP BY ALL),
+n AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY c),
+ends AS (SELECT d.c, d.cost + 5 * length(ins.edits) AS cost, d.audit || ins.edits AS audit, d.lines || ins.lines AS lines
+         FROM d JOIN ins ON d.s = ins.s LEFT JOIN n ON n.c = d.c WHERE ins.s2 IN (0, 3) AND d.i = coalesce(n.n, 0)),
+best AS (SELECT c, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(lines, (cost, audit)) AS lines FROM ends GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit, sha256(substr(lines, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM src) JOIN best USING (c) LEFT JOIN n USING (c)
+"""
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
 
@@ -195,4 +238,4 @@ QUERIES: dict[str, Query] = {
     "op12_embedding_dedup": op12_embedding_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL}
