@@ -35,7 +35,7 @@ def html_title(html: Column) -> Column:
 
 def useful_share(c: Column) -> Column:
     text = F.trim(c)
-    return F.when(F.length(text) < 2, 0.0).otherwise(F.regexp_count(text, F.lit("[0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ]")) / F.length(text))
+    return F.when(F.length(text) < 2, 0.0).otherwise(F.regexp_count(text, F.lit("[0-9A-Za-z가-힣ㄱ-ㆎ]")) / F.length(text))
 
 
 def text_title(content: Column, source: Column) -> Column:

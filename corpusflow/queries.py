@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, text, titles, urls
+from .functions import dates, hwp, text, titles, urls
 from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, weather
 from .plans import ingest
 from .sources import archives, config, services
@@ -857,6 +857,49 @@ def crawl_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What a word-processor file's text may look like: vowels as Korean letters, the middle dot U+318D among
+#: them, stray signs, and years behind noise.
+HWP = """hwp AS (SELECT doc_id, translate(CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || 'x y 2024-') WHEN 1 THEN replace(text, '. ', '. ' || chr(10)) ELSE replace(text, ' the ', ' 그림입니다 ' || chr(10)) END,
+  'aeiouqy', '가ㆍ이ㄱ년★' || chr(1)) AS text FROM documents)"""
+_MEANT = "[0-9A-Za-z가-힣ㄱ-ㆎ]"
+
+
+def _useful(c: str) -> str:
+    return f"(length(trim({c})) >= 2 AND len(regexp_extract_all({c}, '{_MEANT}')) > 0 AND len(regexp_extract_all({c}, '{_MEANT}')) >= 0.35 * length(trim({c})))"
+
+
+def _short(c: str) -> str:
+    return f"len(list_filter(regexp_extract_all({c}, '{_MEANT}+'), lambda t: length(t) <= 2))"
+
+
+def _tokens(c: str) -> str:
+    return f"len(regexp_extract_all({c}, '{_MEANT}+'))"
+
+
+def hwp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, text = F.col("doc_id") % 3, F.col("text")
+    odd = (
+        F.when(n == 0, F.replace(text, F.lit("\n"), F.lit("\nx y 2024-"))).when(n == 1, F.replace(text, F.lit(". "), F.lit(". \n")))
+        .otherwise(F.replace(text, F.lit(" the "), F.lit(" 그림입니다 \n")))
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate(odd, "aeiouqy", "가ㆍ이ㄱ년★\x01").alias("text"))
+
+
+@query(
+    rf"""WITH {HWP}, l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g'), chr(10))) AS x,
+      generate_subscripts(string_split(text, chr(10)), 1) AS i FROM hwp),
+    a AS (SELECT doc_id, i, {_squash(r"regexp_replace(x, '[^0-9A-Za-z가-힣ㄱ-ㆎ\s.,:;!?()\[\]{}<>/%~+\-=←-↔]', ' ', 'g')")} AS x FROM l WHERE NOT regexp_matches(lower(x), '그림입니다|원본 그림의|프로그램 이름|imageready')),
+    b AS (SELECT doc_id, i, x, regexp_extract(x, '^(.*?)[0-9]{{4}}[-.년]', 1) AS before FROM a WHERE regexp_matches(x, '[0-9]') OR NOT CASE WHEN {_tokens('x')} < 3
+      THEN {_tokens('x')} > 0 AND {_short('x')} = {_tokens('x')} AND length(x) <= 10 ELSE {_short('x')} >= 0.8 * {_tokens('x')} END),
+    c AS (SELECT doc_id, i, trim(regexp_replace(CASE WHEN regexp_matches(x, '[0-9]{{4}}[-.년]') AND NOT contains(before, ':')
+      AND (({_tokens('before')} > 0 AND {_short('before')} >= 0.6 * {_tokens('before')}) OR NOT {_useful('before')}) THEN substr(x, length(before) + 1) ELSE x END,
+      '^(?:[A-Za-z가-힣ㄱ-ㆎ]\s+){{1,8}}([0-9]{{4}})', '\1')) AS x FROM b)
+    SELECT h.doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER ({_useful('x')}), '') AS cleaned FROM hwp h LEFT JOIN c USING (doc_id) GROUP BY ALL"""
+)
+def hwp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hwp_texts(spark, sf_dir).select("doc_id", hwp.clean_lines(F.col("text")).alias("cleaned"))
+
+
 # ---------------------------------------------------------------- attachments
 
 

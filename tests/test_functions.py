@@ -88,3 +88,10 @@ def test_site_words_are_rules(spark):
 def test_hwp_lines(spark):
     raw = "그림입니다 x\n\x01\x02 ab c d\n가 나 2024년 일정 안내문입니다\n정상적인 문장이 여기에 있습니다\n????"
     assert one(spark, hwp.clean_lines(F.col("c")), c=raw) == "2024년 일정 안내문입니다\n정상적인 문장이 여기에 있습니다"
+
+
+def test_lines_with_the_korean_middle_dot(spark):
+    lines = ["대학ㆍ조직 안내 2024년 계획", "입학ㆍ졸업 관련 문의 사항", "ㅤㆎ 2024-05 모집 공고"]
+    got = spark.createDataFrame([("\n".join(lines),)], "t string").select(hwp.clean_lines(F.col("t")).alias("t")).first()["t"]
+    assert got.split("\n") == [*lines[:2], "2024-05 모집 공고"]
+    assert spark.range(1).select(titles.useful_share(F.lit("ㆍㆍ--"))).first()[0] == 0.5
