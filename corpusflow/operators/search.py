@@ -131,7 +131,12 @@ def _search_block(vectors: DataFrame, few: DataFrame, as_of: Column, top_k: int)
     )
     near = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = pairs.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= n)  # WindowGroupLimit cuts before the shuffle
-    scored = rerank(ranked, F.col("query"), F.coalesce("asked", infer_category(F.col("query"))), as_of)
+    return rerank_best(ranked, as_of, top_k)
+
+
+def rerank_best(candidates: DataFrame, as_of: Column, top_k: int) -> DataFrame:
+    """The top_k of each query's candidates (query_id, query, asked, _n by distance) after reranking."""
+    scored = rerank(candidates, F.col("query"), F.coalesce("asked", infer_category(F.col("query"))), as_of)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("similarity"), "_n")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k).select(
         "query_id", "rank", "chunk_id", "doc_id", "score", "text", "title", "source_url"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, hwp, text, titles, urls
-from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, weather
+from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, vector_index, weather
 from .plans import ingest
 from .sources import archives, config, services
 
@@ -589,6 +589,48 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_search(vectors(spark, sf_dir), asked, as_of(), 3).select("query_id", "rank", "chunk_id", "score")
 
 
+#: All vectors as queries of seven kinds, one for each row of weights; those whose id 50 divides.
+ASKED = """q AS (SELECT vec_id AS query_id, embedding AS e, ['장학금 alpha1', '졸업요건 title', '수강신청 alpha3 x', 'PDF alpha0', 'faq title alpha2', '모집 공고', 'title alpha4'][(vec_id // 50) % 7 + 1] AS query,
+   (vec_id // 50) % 7 AS kind FROM embeddings WHERE vec_id % 50 = 0)"""
+PAIR_DIST = "list_sum(list_transform(list_zip(v.embedding, q.e), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))"
+#: By kind of question: scholarship, graduation, academic_schedule, materials, faq, notice, default.
+KINDS = ("scholarship", "graduation", "academic_schedule", "materials", "faq", "notice", "default")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = F.array(*[F.lit(x) for x in ("장학금 alpha1", "졸업요건 title", "수강신청 alpha3 x", "PDF alpha0", "faq title alpha2", "모집 공고", "title alpha4")])
+    kind = (F.floor(F.col("vec_id") / 50) % 7).cast("int")
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 50 == 0).select(
+        F.col("vec_id").alias("query_id"), F.get(texts, kind).alias("query"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("category")
+    )
+
+
+@query(
+    f"""WITH {VECTORS}, {ASKED}, p AS (SELECT query_id, chunk_id, {PAIR_DIST} AS d FROM v, q)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id)::INT AS rank, chunk_id, round(d, 4) AS distance FROM p QUALIFY rank <= 10"""
+)
+def knn_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by the inverted file, cells that cannot hold one left out; equal to a full scan."""
+    index = vector_index.build_index(vectors(spark, sf_dir), "chunk_id", "embedding", n_cells=64)
+    found = vector_index.nearest_neighbours(index, asked(spark, sf_dir), 10, probes=4)
+    return found.select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("distance", 4).alias("distance"))
+
+
+@query(
+    f"""WITH {VECTORS}, {ASKED}, p AS (SELECT query_id, kind, query, v.*, {PAIR_DIST} AS d FROM v, q),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS n FROM p QUALIFY n <= 20),
+    t AS (SELECT *, list_filter(list_transform(regexp_extract_all(query, '[0-9A-Za-z가-힣]+'), lambda x: lower(x)), lambda x: length(x) >= 2) AS ts FROM c),
+    s AS (SELECT *, round({[search.WEIGHTS[k][0] for k in KINDS]}[kind + 1] / (1 + d) + {[search.WEIGHTS[k][1] for k in KINDS]}[kind + 1] * {FRESH}
+      + {[search.WEIGHTS[k][2] for k in KINDS]}[kind + 1] * len(list_filter(ts, lambda x: contains(lower(title), x))) / len(ts), 6) AS score FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 1 / (1 + d) DESC, n) AS rank FROM s QUALIFY rank <= 5)
+    SELECT query_id, rank::INT AS rank, chunk_id, score FROM r"""
+)
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by index and rerank with inferred categories: queries of all seven rows of weights."""
+    index = vector_index.build_index(vectors(spark, sf_dir), "chunk_id", "embedding", n_cells=64)
+    return vector_index.indexed_search(index, asked(spark, sf_dir), as_of(), 5, probes=4).select("query_id", "rank", "chunk_id", "score")
+
+
 # ---------------------------------------------------------------- questions
 
 EN = routing.Rules(
