@@ -8,9 +8,11 @@ content.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ SOURCE_TYPE_PRIORITY = {"html": 6, "markdown": 5, "pdf": 4, "docx": 3, "hwp": 3,
 # Shortest content that is compared, and what makes two contents versions.
 LEAST_LENGTH, CONTAINED, SIMILAR, SIMILAR_PATH = 200, 0.85, 0.92, 0.75
 
+#: Bins of a text's profile of three-letter sequences; sequences that share a bin only loosen the bound.
+BINS = 4096
 #: Rows of a group that one task settles in order, and about as many that one task compares with them.
 BLOCK, PART = 256, 1000
 
@@ -63,13 +67,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def _best(docs: DataFrame) -> DataFrame:
-    """Names and keys of the best row of each group of exact duplicates, without contents; made once."""
+def best_rows(docs: DataFrame) -> DataFrame:
+    """Keys, names (doc_id and seq) and rank of the best row of each group of exact duplicates, without contents; made once."""
     best = ranked(docs).groupBy(*KEY, "_hash").agg(F.max_by(F.struct("doc_id", "seq"), "_rank").alias("_best"), F.max("_rank").alias("_rank"))
     return pin(best.select(*KEY, F.col("_best.doc_id").alias("doc_id"), F.col("_best.seq").alias("seq"), "_rank"))
 
 
-def _named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
+def named(docs: DataFrame, names: DataFrame, how: str) -> DataFrame:
     """Rows of `docs` that are (left_semi) or are not (left_anti) among the names."""
     few = names.select(F.col("doc_id").alias("_doc"), F.col("seq").alias("_seq"))
     return docs.join(few, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("seq").eqNullSafe(F.col("_seq")), how)
@@ -80,11 +84,14 @@ def exact_survivors(docs: DataFrame) -> DataFrame:
 
     Only keys are aggregated, and the rows that stay are picked by their names.
     """
-    return _named(docs, _best(docs), "left_semi")
+    return named(docs, best_rows(docs), "left_semi")
 
 
-def same_document(left: str, right: str, left_path: str, right_path: str) -> bool:
-    """Whether two normalised contents of one title are versions; the better-ranked one comes first."""
+def same_document(left: str, right: str, left_path: str, right_path: str, matcher: SequenceMatcher | None = None) -> bool:
+    """Whether two normalised contents of one title are versions; the better-ranked one comes first.
+
+    A `matcher` that has seen `right` saves indexing it again.
+    """
     if left == right:
         return True
     short, long = sorted((left, right), key=len)
@@ -95,36 +102,115 @@ def same_document(left: str, right: str, left_path: str, right_path: str) -> boo
     least = SIMILAR_PATH if left_path and left_path == right_path else SIMILAR
     if 2.0 * len(short) / (len(left) + len(right)) < least:
         return False  # before the matcher indexes the text
-    match = SequenceMatcher(a=left, b=right)
-    return match.quick_ratio() >= least and match.ratio() >= least
+    return matches_least(left, right, least, matcher)
+
+
+def matches_least(left: str, right: str, least: float, matcher: SequenceMatcher | None = None) -> bool:
+    """Whether the sequence matcher's ratio is at least `least`, decided as soon as its parts tell.
+
+    The longest common part splits both texts, and what stands before and behind it is matched in the
+    same way. What is matched so far, and what could be at most (the shorter side of each open range),
+    bound the ratio from both sides.
+    """
+    matcher, total = matcher or SequenceMatcher(b=right), len(left) + len(right)
+    matcher.set_seq1(left)
+    matched, most = 0, min(len(left), len(right))
+    ranges = [(-most, 0, len(left), 0, len(right))]
+    while ranges and 2.0 * matched / total < least <= 2.0 * (matched + most) / total:
+        size, a, a_end, b, b_end = heapq.heappop(ranges)
+        i, j, n = matcher.find_longest_match(a, a_end, b, b_end)
+        matched, most = matched + n, most + size
+        if n:
+            for part in ((a, i, b, j), (i + n, a_end, j + n, b_end)):
+                shorter = min(part[1] - part[0], part[3] - part[2])
+                if shorter:
+                    heapq.heappush(ranges, (-shorter, *part))
+                    most += shorter
+    return 2.0 * matched / total >= least
+
+
+class Better:
+    """Better-ranked contents of one title, and whether a content is a version of one of them.
+
+    Matching character by character is the last step. Before it stand bounds that no version fails,
+    taken for all contents at once. Two texts that match in M characters differ in the others; each
+    character that goes takes at most three of the three-letter sequences with it and each one that
+    comes at most two, so they share a number of sequences that M gives.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, str]] = []
+        self.lengths, self.profiles = np.empty(0, np.int64), np.empty((0, BINS), np.int32)
+
+    @staticmethod
+    def profile(text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return np.bincount((codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % BINS, minlength=BINS).astype(np.int32)
+
+    def add(self, text: str, path: str, profile: np.ndarray) -> None:
+        n = len(self.rows)
+        if n == len(self.lengths):
+            self.lengths = np.concatenate([self.lengths, np.zeros(n + 16, np.int64)])
+            self.profiles = np.concatenate([self.profiles, np.zeros((n + 16, BINS), np.int32)])
+        self.rows.append((text, path))
+        self.lengths[n], self.profiles[n] = len(text), profile
+
+    def have(self, text: str, path: str, profile: np.ndarray) -> bool:
+        n = len(self.rows)
+        if not n:
+            return False
+        a, b = self.lengths[:n], len(text)
+        # A contained text of the least share matches a little less than a similar one must.
+        least = np.full(n, min(SIMILAR, 2 * CONTAINED / (1 + CONTAINED)))
+        if path:
+            least[[p == path for _, p in self.rows]] = SIMILAR_PATH
+        matched = least * (a + b) / 2 - 1e-6
+        open_ = np.minimum(a, b) >= matched
+        if not open_.any():
+            return False
+        at = np.flatnonzero(open_)
+        shared = np.minimum(self.profiles[at], profile).sum(axis=1)
+        a, m = a[at], matched[at]
+        needed = np.maximum(a - 2 - 3 * (a - m) - 2 * (b - m), b - 2 - 3 * (b - m) - 2 * (a - m))
+        at = at[shared >= needed]
+        matcher = SequenceMatcher(b=text) if len(at) else None
+        return any(same_document(self.rows[i][0], text, self.rows[i][1], path, matcher) for i in at)
 
 
 def _greedy(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come by group and falling rank, at most a block of each group. Yields what is kept."""
     group: tuple | None = None
-    kept: list[tuple[str, str]] = []
+    kept = Better()
     for pdf in frames:
         keep = []
         for row in pdf.itertuples(index=False):
             key = (row.source_name, row.title, row.category, row.department)
             if key != group:
-                group, kept = key, []
-            found = any(same_document(text, row.content, path, row.path) for text, path in kept)
+                group, kept = key, Better()
+            profile = kept.profile(row.content)
+            found = kept.have(row.content, row.path, profile)
             if not found:
-                kept.append((row.content, row.path))
+                kept.add(row.content, row.path, profile)
             keep.append(not found)
         yield pdf.loc[keep]
 
 
 def _unlike(rows: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
     """The rows that are no version of a kept, better-ranked one."""
-    better = list(zip(kept["content"], kept["path"], strict=True))
-    fresh = [not any(same_document(text, row.content, path, row.path) for text, path in better) for row in rows.itertuples(index=False)]
+    better = Better()
+    for row in kept.itertuples(index=False):
+        better.add(row.content, row.path, better.profile(row.content))
+    fresh = [not better.have(row.content, row.path, better.profile(row.content)) for row in rows.itertuples(index=False)]
     return rows.loc[fresh, ["doc_id", "seq"]]
 
 
 def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Of exact survivors of `docs`, the rows that are no version of a better-ranked kept row of their group.
+    """Of exact survivors of `docs`, the rows that are no version of a better-ranked kept row of their group."""
+    return named(docs, version_names(docs, best_rows(docs), block), "left_semi")
+
+
+def version_names(docs: DataFrame, keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Source and name of the rows that stay, of the best rows `keyed` of all groups of exact duplicates.
 
     The greedy order is settled in rounds. A round takes the `block` best undecided rows of each
     group, settles them in one task, and compares what it keeps with all other undecided rows of the
@@ -133,10 +219,9 @@ def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     needed for what is neither kept nor dropped before. Groups of one row, nearly all, are passed by.
     """
     keys = ["source_name", "title", "category", "department"]
-    keyed = _best(docs)
     sizes = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     several = pin(keyed.join(sizes, KEY))
-    texts = _named(docs, several, "left_semi").select("doc_id", "seq", normalize_content(F.col("content")).alias("content"), F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"))
+    texts = named(docs, several, "left_semi").select("doc_id", "seq", normalize_content(F.col("content")).alias("content"), F.lower(part(F.coalesce("source_url", F.lit("")), "path")).alias("path"))
     slim = several.join(texts, ["doc_id", "seq"]).select(
         F.coalesce("source_name", F.lit("")).alias("source_name"), F.col("_title").alias("title"), F.col("_category").alias("category"),
         F.col("_department").alias("department"), "content", "path", "doc_id", "seq", "_rank", "_size",
@@ -155,12 +240,14 @@ def version_survivors(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         slices = left.drop("_rank", "_parts").groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part"))
         undecided = pin(undecided.join(slices.applyInPandas(_unlike, "doc_id string, seq long"), ["doc_id", "seq"], "left_semi"))
     gone = several.select("doc_id", "seq").join(kept, ["doc_id", "seq"], "left_anti")
-    return _named(docs, pin(keyed.select("doc_id", "seq").join(gone, ["doc_id", "seq"], "left_anti")), "left_semi")
+    return pin(keyed.select("source_name", "doc_id", "seq").join(gone, ["doc_id", "seq"], "left_anti"))
 
 
 def _settled(rows: DataFrame, keys: list[str]) -> DataFrame:
     """What the greedy pass keeps of a block of each group."""
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("_rank")).drop("_rank")
+    # Matching costs far more than reading, so partitions are not merged by their bytes.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, *keys).sortWithinPartitions(*keys, F.desc("_rank")).drop("_rank")
     return ordered.mapInPandas(_greedy, ordered.schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents, select_for_embedding
-from ..operators.dedup import dedup_metrics, exact_survivors, version_survivors
+from ..operators.dedup import best_rows, dedup_metrics, named, version_names
 from ..sources.services import Encoder, embed
 from ..sources.shared import pin
 
@@ -87,11 +87,13 @@ def status_counts(report: DataFrame) -> DataFrame:
 def ingest(docs: DataFrame, sources: DataFrame, options: IngestOptions | None = None) -> IngestResult:
     """`docs` has the document columns, source_name and seq; `sources` has source_name and category."""
     o = options or IngestOptions()
-    exact = exact_survivors(docs)
-    kept = version_survivors(docs) if o.versions else exact
-    chunks = chunk_documents(kept, o.size, o.overlap)
+    # Keys are made once; which rows stay, and the report's counts of them, follow from names alone.
+    best = best_rows(docs)
+    names = version_names(docs, best) if o.versions else best
+    kept = named(docs, names, "left_semi")
+    chunks = pin(chunk_documents(kept, o.size, o.overlap))
     embedded = None
     if not o.skip_embed:
         embedded = embed(select_for_embedding(chunks, o.embedding_limit, o.attachment_limit, ["seq", "chunk_index"]), o.encoder)
-    report = source_report(sources, dedup_metrics(docs, exact, kept), chunks, embedded, o.store_vectors)
+    report = source_report(sources, dedup_metrics(docs, best, names), chunks, embedded, o.store_vectors)
     return IngestResult(kept, chunks, embedded, report)

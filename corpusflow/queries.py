@@ -153,8 +153,8 @@ def version_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dedup_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    exact = dedup.exact_survivors(docs)
-    return dedup.dedup_metrics(docs, exact, exact)
+    best = dedup.best_rows(docs)
+    return dedup.dedup_metrics(docs, best, best)
 
 
 # ---------------------------------------------------------------- chunks
@@ -207,9 +207,10 @@ REPORT = f"""{RANKED}, {WINDOWS.replace('FROM docs)', 'FROM best WHERE nth = 1)'
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup, chunking without the cleaner and the per-source report, with one source that has no documents."""
     docs = documents(spark, sf_dir)
-    exact = dedup.exact_survivors(docs)
+    best = dedup.best_rows(docs)
     sources = docs.select("source_name").distinct().union(spark.createDataFrame([("silent",)], "source_name string")).withColumn("category", F.lit(None).cast("string"))
-    return ingest.source_report(sources, dedup.dedup_metrics(docs, exact, exact), chunking.chunk_documents(exact, clean=False), None)
+    kept = dedup.named(docs, best, "left_semi")
+    return ingest.source_report(sources, dedup.dedup_metrics(docs, best, best), chunking.chunk_documents(kept, clean=False), None)
 
 
 @query(f"WITH {REPORT} SELECT source_name, raw_documents, documents, exact_duplicates_removed, chunks, status FROM report")

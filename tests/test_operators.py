@@ -294,3 +294,40 @@ def test_storage(spark, tmp_path):
     assert rows["d0"]["status"] == "updated" and rows["d1"]["status"] == "active" and rows["d0"]["doc_type"] == "html"
     assert current(spark, folder, "chunks").count() == 4 and prune(folder, spark)[1].count() == 2
     assert current(spark, folder, "attachments").first()["file_type"] == "pdf" and spark.read.parquet(f"{folder}/runs").count() == 2
+
+
+def test_early_decisions_of_matching_equal_the_whole_ratio():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a = "".join(rng.choices("abcd é", k=rng.randrange(1, 400)))
+        b = list(a) if rng.random() < 0.7 else rng.choices("abcd é", k=rng.randrange(1, 400))
+        for _ in range(rng.randrange(60)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(3)] = rng.choices("abcx", k=rng.randrange(3))
+        b = "".join(b)
+        ratio = SequenceMatcher(a=a, b=b).ratio() if b else 0.0
+        assert all(dedup.matches_least(a, b, x) == (ratio >= x) for x in (0.5, 0.75, 0.92, 1.0) if b)
+
+
+def test_bounds_never_rule_out_a_version():
+    import random
+
+    rng = random.Random(4)
+    kept = dedup.Better()
+    base = ["".join(rng.choices("abcdefgh ", k=rng.randrange(150, 900))) for _ in range(40)]
+    texts = []
+    for t in base:
+        for _ in range(6):
+            u = list(t)
+            for _ in range(rng.randrange(len(t) // 6)):
+                at = rng.randrange(len(u))
+                u[at : at + rng.randrange(3)] = rng.choices("xyz", k=rng.randrange(2))
+            texts.append(("".join(u) + rng.choice(["", "tail " * rng.randrange(20)]), rng.choice(["", "p", "q"])))
+    for text, path in texts:
+        profile = dedup.Better.profile(text)
+        want = any(dedup.same_document(a, text, p, path) for a, p in kept.rows)
+        assert kept.have(text, path, profile) == want
+        kept.add(text, path, profile)
