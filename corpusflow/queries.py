@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import dates, hwp, text, titles, urls
 from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, vector_index, weather
 from .plans import ingest
-from .sources import archives, config, services
+from .sources import archives, attachments, config, services
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -962,9 +962,81 @@ def attachment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+#: Files made of whole documents: six kinds by id, with addresses, headers and bytes that say so in different ways.
+FILES = r"""f AS (SELECT doc_id, text, doc_id % 6 AS k, 'https://' || source || '.example/' || CASE doc_id % 6 WHEN 0 THEN 'a/' || doc_id || '.md' WHEN 1 THEN 'downloadBbsFile.do?id=' || doc_id
+   WHEN 2 THEN 'get/' || doc_id WHEN 3 THEN 'show/' || doc_id WHEN 4 THEN 'i/' || doc_id || '.PNG' ELSE 'x/' || doc_id || '.bin' END AS source FROM documents),
+ t AS (SELECT *, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS lines FROM f),
+ m AS (SELECT k, source AS file, NULL AS member, CASE k WHEN 0 THEN 'markdown' WHEN 1 THEN 'hwpx' WHEN 3 THEN 'html' WHEN 4 THEN 'image' ELSE 'file' END AS source_type,
+    CASE k WHEN 0 THEN regexp_replace(text, '^\s+|\s+$', '', 'g') WHEN 1 THEN lines WHEN 3 THEN lines END AS content FROM t WHERE k <> 2
+  UNION ALL SELECT k, source, 'd/' || doc_id || '.md', 'markdown', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM t WHERE k = 2
+  UNION ALL SELECT k, source, 'e/in.zip#' || doc_id || '.html', 'html', lines FROM t WHERE k = 2
+  UNION ALL SELECT k, source, 'p.jpg', 'image', NULL FROM t WHERE k = 2)"""
+
+
+def attachment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, content, content_type and disposition of made-up downloads; a row's bytes come from its own text."""
+    import pandas as pd
+
+    def build(frames):  # noqa: ANN001, ANN202
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        def packed(*members: tuple[str, bytes]) -> bytes:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, data in members:
+                    z.writestr(name, data)
+            return out.getvalue()
+
+        for pdf in frames:
+            contents = []
+            for n, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                lines = text.split("\n")
+                page = ("<!doctype html><html><head><title>Menu</title><style>x</style></head><body>" + "".join(f"<p>{escape(' '.join(x.split()))}</p>" for x in lines) + "</body></html>").encode()
+                section = ("<doc>" + "".join(f"<p>{escape(' '.join(x.split()))}</p>" for x in lines) + "</doc>").encode()
+                kind = n % 6
+                if kind == 0:
+                    contents.append(text.encode())
+                elif kind == 1:
+                    contents.append(packed(("Contents/section0.xml", section), ("meta.txt", b"no")))
+                elif kind == 2:
+                    inner = packed((f"{n}.html", page), ("skip.exe", b"MZ"))
+                    contents.append(packed((f"d/{n}.md", text.encode()), ("e/in.zip", inner), ("p.jpg", b"\xff\xd8")))
+                else:
+                    contents.append(page if kind == 3 else b"\x89PNG" if kind == 4 else b"\x00\x01")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "address": pdf["address"], "content": contents})
+
+    d = table(spark, sf_dir, "documents")
+    k, n = F.col("doc_id") % 6, F.col("doc_id")
+    path = (
+        F.when(k == 0, F.concat(F.lit("a/"), n, F.lit(".md"))).when(k == 1, F.concat(F.lit("downloadBbsFile.do?id="), n)).when(k == 2, F.concat(F.lit("get/"), n))
+        .when(k == 3, F.concat(F.lit("show/"), n)).when(k == 4, F.concat(F.lit("i/"), n, F.lit(".PNG"))).otherwise(F.concat(F.lit("x/"), n, F.lit(".bin")))
+    )
+    named = d.select("doc_id", "text", F.concat(F.lit("https://"), "source", F.lit(".example/"), path).alias("address"))
+    made = named.mapInPandas(build, "doc_id long, address string, content binary")
+    return made.select(
+        F.col("address").alias("source"), "content", F.when(k == 2, "application/x-zip-compressed").alias("content_type"),
+        F.when(k == 1, F.concat(F.lit("attachment; filename*=UTF-8''r%20"), n, F.lit(".hwpx"))).alias("disposition"),
+    )
+
+
+@query(
+    f"""WITH {FILES} SELECT 'doc-' || sha1(concat_ws('#', file, member))[:12] AS doc_id, source_type, concat_ws('#', file, member) AS source_url, sha256(coalesce(content, '')) AS content_hash,
+    CASE WHEN source_type = 'image' THEN 'image' WHEN source_type = 'file' THEN 'unsupported' WHEN content = '' THEN 'empty' ELSE 'ok' END AS status FROM m"""
+)
+def collect_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, type, extraction and status of files made of all documents, whole texts."""
+    rows = attachments.collect_attachments(attachment_files(spark, sf_dir), attachments.Collection(skip_images=True, skip_unsupported=True))
+    return rows.select("doc_id", "source_type", "source_url", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"), "status")
+
+
+@query(
+    f"""WITH {DOCS} SELECT source_name AS source, 'd/' || seq || '.md' AS member, 'doc-' || sha1(source_name || '#d/' || seq || '.md')[:12] AS doc_id,
+    source_name || '#d/' || seq || '.md' AS source_url, strlen(content)::INT AS n_bytes FROM docs"""
+)
 def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of archives of at most a thousand documents of a source each, built from their first lines; archives themselves are tested on fixtures."""
+    """Members of archives of at most a thousand documents of a source each, built from their whole texts."""
     import pandas as pd
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -974,10 +1046,10 @@ def zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as z:
             for r in pdf.sort_values("seq").itertuples():
-                z.writestr(f"d/{r.seq}.md", r.title)
+                z.writestr(f"d/{r.seq}.md", r.content)
         return pd.DataFrame({"source": [pdf["source_name"].iloc[0]], "content": [out.getvalue()]})
 
-    named = documents(spark, sf_dir).select("source_name", "seq", "title")
+    named = documents(spark, sf_dir).select("source_name", "seq", "content")
     built = named.groupBy("source_name", F.floor(F.col("seq") / 1000)).applyInPandas(build, "source string, content binary")
     return archives.archive_members(built).select("source", "member", "doc_id", "source_url", F.length("content").alias("n_bytes"))
 

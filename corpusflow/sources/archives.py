@@ -24,7 +24,7 @@ from ..functions.hwp import clean_lines
 from ..functions.text import member_id, short_id
 
 # Suffixes that are read from archives, largest member, first bytes of file types.
-MEMBER_SUFFIXES = (".pdf", ".docx", ".html", ".htm", ".md", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp", ".hwp", ".hwpx", ".zip")
+MEMBER_SUFFIXES = (".pdf", ".docx", ".html", ".htm", ".md", ".markdown", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".gif", ".webp", ".hwp", ".hwpx", ".zip")
 MEMBER_BYTES = 25 * 1024 * 1024
 SIGNATURES = (("255044462D", ".pdf"), ("25504446", ".pdf"), ("504B0304", ".zip"), ("D0CF11E0A1B11AE1", ".hwp"))
 SECTIONS = ("section", "contents", "body")
