@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_content, normalize_title, normalize_value
 from ..functions.urls import part
 from ..sources.shared import pin
+from .rank import with_position
 
 # Preference among source types; others have 0.
 SOURCE_TYPE_PRIORITY = {"html": 6, "markdown": 5, "pdf": 4, "docx": 3, "hwp": 3, "hwpx": 3, "zip": 2, "image": 2, "file": 1, "notice": 0}
@@ -264,8 +265,9 @@ def dedup_metrics(docs: DataFrame, exact: DataFrame, versions: DataFrame) -> Dat
 
 
 def by_rank(docs: DataFrame) -> DataFrame:
-    """Global order of survivors: best first."""
-    return ranked(docs).orderBy(F.desc("_rank")).select(*docs.columns)
+    """Global order of survivors, best first, as a position from 1."""
+    best = ranked(docs)
+    return with_position(best.select(*docs.columns, "_rank"), [F.desc("_rank")]).drop("_rank")
 
 
 def first_per(docs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import with_position
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """`new` replaces `old` by key; columns named in `keep` hold their old value where there is one."""
@@ -39,12 +41,10 @@ def upsert_hashed(old: DataFrame, new: DataFrame, keys: list[str], as_of: Column
 
 def upsert_by_name(old: DataFrame, new: DataFrame) -> DataFrame:
     """Seed rows: identity is the name; new names get ids after the largest one, in order of name."""
-    from pyspark.sql import Window
-
     known = old.select("name", "id")
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = new.join(known, "name", "left_anti").withColumn("_n", F.row_number().over(Window.orderBy("name")))
-    fresh = fresh.join(F.broadcast(top)).select("*", (F.col("_top") + F.col("_n")).cast("long").alias("id")).drop("_top", "_n")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = with_position(new.join(known, "name", "left_anti"), [F.col("name")], "_n")
+    fresh = fresh.withColumn("id", (F.lit(top) + F.col("_n")).cast("long")).drop("_n")
     seen = new.join(known, "name")
     return upsert(old, seen.unionByName(fresh), ["name"])
 

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import dates, hwp, text, titles, urls
 from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, vector_index, weather
-from .plans import ingest
+from .plans import backfill, ingest
 from .sources import archives, attachments, config, services
+from .sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,6 +847,54 @@ def backfill_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.pending_chunks(rows, docs, done, 500).select("chunk_id", "source_name")
 
 
+#: Chunks of all line items; a third of the texts is blank after cleaning, a fifth of the orders has vectors.
+BACKLOG = """b AS (SELECT l_orderkey || '-' || l_linenumber AS chunk_id, l_orderkey % 5 = 0 AS stored, l_partkey % 3 = 0 AS blank, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'O'),
+ o AS (SELECT *, row_number() OVER w AS position, sum(CASE WHEN stored THEN 0 ELSE 1 END) OVER (w ROWS UNBOUNDED PRECEDING) AS number FROM b WINDOW w AS (ORDER BY l_shipdate DESC, chunk_id))"""
+
+
+def backlog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks, their documents, and ids of the vectors that exist."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    chunks = l.select(
+        key.alias("chunk_id"), F.col("l_orderkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("chunk_index"), F.when(F.col("l_linestatus") == "O", "active").otherwise("updated").alias("status"),
+        F.col("l_shipdate").alias("last_seen_at"), F.when(F.col("l_partkey") % 3 == 0, "https://a.example/x").otherwise(F.concat(F.lit("part number "), "l_partkey")).alias("text"),
+        F.lit("t").alias("title"), F.lit("https://a.example/").alias("source_url"), F.lit("html").alias("source_type"),
+    )
+    docs = o.select(F.col("o_orderkey").cast("string").alias("doc_id"), F.col("o_custkey").cast("string").alias("source_name"), F.col("o_orderdate").cast("timestamp_ntz").alias("published_at"))
+    return chunks, docs, l.where("l_orderkey % 5 = 0").select(key.alias("chunk_id"))
+
+
+@query(f"WITH {BACKLOG} SELECT chunk_id, position::BIGINT AS position, number::BIGINT AS number, stored FROM o")
+def backfill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions and running numbers of all active chunks in their global order."""
+    chunks, docs, done = backlog(spark, sf_dir)
+    return backfill.plan_backfill(chunks, docs, done, backfill.BackfillOptions()).select("chunk_id", "position", "number", "stored")
+
+
+@query(
+    f"""WITH {BACKLOG}, w AS (SELECT *, (SELECT min(position) FROM o WHERE number = 500) AS hit FROM o),
+    seen AS (SELECT * FROM w WHERE number <= 500 AND position <= CASE WHEN hit IS NULL THEN (SELECT max(position) FROM o) ELSE ceil(hit / 300.0) * 300 END)
+    SELECT (count(*) FILTER (NOT stored))::BIGINT AS selected, (count(*) FILTER (NOT stored AND NOT blank))::BIGINT AS embedded,
+    (count(*) FILTER (stored OR blank))::BIGINT AS skipped_existing, 0::BIGINT AS failed FROM seen"""
+)
+def backfill_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run: limit 500 is the job's setting, batches are of 300 rows of the order."""
+    import uuid
+
+    chunks, docs, done = backlog(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/backfill-{uuid.uuid4().hex}"
+    one = chunks.join(done, "chunk_id", "left_semi").withColumn("published_at", F.lit(None).cast("timestamp_ntz"))
+    services.embed(one).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in backfill.VECTOR.split(", ")]).write.parquet(f"{folder}/vectors")
+    return backfill.backfill(chunks, docs, folder, backfill.BackfillOptions(limit=500, batch_size=300)).select("selected", "embedded", "skipped_existing", "failed")
+
+
+@query(f"WITH {RANKED} SELECT doc_id, row_number() OVER (ORDER BY published_at IS NOT NULL DESC, published_at DESC NULLS LAST, p DESC, n DESC, collected_at DESC, seq) AS position FROM best WHERE nth = 1")
+def final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors in the order in which an ingest hands them on."""
+    return dedup.by_rank(dedup.exact_survivors(documents(spark, sf_dir))).select("doc_id", "position")
+
+
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'calendar' WHEN doc_id % 5 = 1 THEN 'faq' WHEN doc_id % 4 = 1 THEN 'file' WHEN doc_id % 5 = 2 THEN 'news' ELSE ['html', 'pdf', 'markdown', 'notice'][doc_id % 4 + 1] END AS kind FROM documents"""
 )
