@@ -38,6 +38,61 @@ def expand_sources(sites: DataFrame, blueprints: DataFrame) -> DataFrame:
     )
 
 
+#: Keys of a blueprint that say how it applies and are no settings of its sources.
+APPLIES = ("applies_to", "name_suffix", "seed_url_template")
+
+
+def _entries(json: Column) -> Column:
+    """An object's keys and values of any type; a null or a text that is no object has none."""
+    parsed = F.try_parse_json(json)
+    none = F.create_map().cast("map<string,variant>")
+    return F.coalesce(F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed.cast("map<string,variant>")), none)
+
+
+def expand_settings(sites: DataFrame, blueprints: DataFrame) -> DataFrame:
+    """One source per site and blueprint that applies, with settings of any name and type: name, settings (VARIANT).
+
+    Sites have slug, department, base_url, site_type and source_overrides, the JSON object of overrides by
+    name suffix; blueprints have a JSON object of all their keys. A source's settings are those of the
+    blueprint, its name, department and seed_urls, and last the site's own, key by key: a value replaces
+    another whole, null too. Sites without slug or address give none. A blueprint without a name suffix
+    ends the job; `applies_to` is a text or a list of them and means portals by default.
+    """
+    blueprint = F.try_parse_json("blueprint")
+    text = lambda v, key: F.try_variant_get(v, f"$.{key}", "string")
+    kinds = F.coalesce(F.try_variant_get(blueprint, "$.applies_to", "array<string>"), F.array(F.coalesce(text(blueprint, "applies_to"), F.lit("portal"))))
+    suffix = F.coalesce(text(blueprint, "name_suffix"), F.raise_error(F.concat(F.lit("blueprint without a name suffix: "), "blueprint")))
+    base = blueprints.select(
+        F.explode(F.array_distinct(kinds)).alias("site_type"), suffix.alias("suffix"), text(blueprint, "seed_url_template").alias("template"),
+        F.map_filter(_entries(F.col("blueprint")), lambda k, v: ~k.isin(*APPLIES)).alias("own"),
+    )
+    usable = sites.where((F.coalesce("slug", F.lit("")) != "") & (F.coalesce("base_url", F.lit("")) != "")).withColumn("site_type", F.coalesce("site_type", F.lit("portal")))
+    joined = usable.join(F.broadcast(base), "site_type")  # blueprints are configuration, a handful of rows
+    root = F.regexp_replace("base_url", "/+$", "")
+    seeds = F.to_variant_object(F.array(F.replace("template", F.lit("{base_url}"), root)))
+    old = F.try_element_at("own", F.lit("seed_urls"))
+    seeds = F.when(F.coalesce("template", F.lit("")) != "", seeds).otherwise(F.coalesce(F.when(~F.to_json(old).isin("null", "[]", '""'), old), F.to_variant_object(F.array("base_url"))))
+    named = lambda c: F.try_parse_json(F.to_json(F.struct(c.alias("x"))))
+    value = lambda c: F.try_variant_get(named(c), "$.x", "variant")
+    made = F.create_map(
+        F.lit("name"), value(F.concat_ws("_", "slug", "suffix")), F.lit("department"), value(F.coalesce("department", "slug")), F.lit("seed_urls"), seeds
+    )
+    mine = _entries(F.to_json(F.try_element_at(_entries(F.col("source_overrides")), F.col("suffix"))))
+    merged = _merged(_merged(F.col("own"), made), mine)
+    settings = F.to_variant_object(merged)
+    return joined.select(settings.alias("settings")).select(text(F.col("settings"), "name").alias("name"), "settings")
+
+
+def _merged(first: Column, last: Column) -> Column:
+    """Entries of both maps; of a key in both the last one's."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(last, k)), last)
+
+
+def setting(name: str, kind: str) -> Column:
+    """A setting as a type; null where it is missing, null or of another type."""
+    return F.try_variant_get("settings", f"$.{name}", kind)
+
+
 def select_sources(
     sources: DataFrame, names: list[str] | None = None, prefixes: list[str] | None = None, exclude: list[str] | None = None, limit: int | None = None
 ) -> DataFrame:

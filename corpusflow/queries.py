@@ -931,6 +931,52 @@ def source_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _catalog(spark, sf_dir).select("name", "department", "category", F.get("seed_urls", F.lit(0)).alias("seed"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("max_pages", "max_depth")])
 
 
+BLUEPRINTS = (
+    '{"name_suffix": "notice", "applies_to": ["portal", "lab"], "category": "notice", "max_pages": 3, "seed_url_template": "{base_url}/n", "tags": ["t"]}',
+    '{"name_suffix": "faq", "applies_to": "lab", "category": "faq", "skip_images": true, "limits": {"embedding": 1, "other": 2}}',
+    '{"name_suffix": "main", "seed_urls": ["https://all.example/"], "min_published_year": 2019}',
+)
+#: Sites of all suppliers, with overrides of fields that blueprints have and of such that they lack.
+SETTINGS = f"""b AS (SELECT unnest({list(BLUEPRINTS)!r})::JSON AS b),
+ s AS (SELECT 's' || s_suppkey AS slug, 'https://s' || s_suppkey || '.example' AS url, CASE s_suppkey % 3 WHEN 1 THEN 'lab' ELSE 'portal' END AS site_type, CASE s_suppkey % 4
+   WHEN 0 THEN '{{"notice": {{"min_published_year": 2020, "tags": ["a", "b' || s_suppkey || '"]}}}}' WHEN 1 THEN '{{"notice": {{"category": null, "max_pages": ' || s_suppkey || '}}, "faq": {{"skip_images": false, "limits": {{"embedding": ' || s_suppkey || '}}}}}}'
+   WHEN 2 THEN '{{"main": {{"name": "own' || s_suppkey || '", "seed_urls": ["x"]}}}}' ELSE '{{}}' END::JSON AS over FROM supplier),
+ j AS (SELECT *, json_extract(over, '$.' || (b->>'name_suffix')) AS o FROM s, b
+   WHERE list_contains(CASE WHEN json_type(b->'applies_to') = 'ARRAY' THEN (b->'applies_to')::VARCHAR[] ELSE [coalesce(b->>'applies_to', 'portal')] END, site_type))"""
+
+
+def _setting_sql(key: str) -> str:
+    return f"CASE WHEN json_exists(o, '$.{key}') THEN o->>'$.{key}' ELSE b->>'$.{key}' END"
+
+
+@query(
+    f"""WITH {SETTINGS} SELECT coalesce(o->>'$.name', slug || '_' || (b->>'name_suffix')) AS name, {_setting_sql("category")} AS category, ({_setting_sql("max_pages")})::INT AS max_pages,
+    ({_setting_sql("min_published_year")})::INT AS min_published_year, ({_setting_sql("skip_images")})::BOOLEAN AS skip_images, list_extract(({_setting_sql("tags")})::VARCHAR[], -1) AS last_tag,
+    (CASE WHEN json_exists(o, '$.limits') THEN o->>'$.limits.embedding' ELSE b->>'$.limits.embedding' END)::INT AS embedding_limit,
+    (CASE WHEN json_exists(o, '$.limits') THEN o->>'$.limits.other' ELSE b->>'$.limits.other' END)::INT AS other_limit,
+    coalesce(o->>'$.seed_urls[0]', CASE WHEN b->>'seed_url_template' IS NOT NULL THEN url || '/n' END, b->>'$.seed_urls[0]', url || '/') AS seed FROM j"""
+)
+def source_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of any field: the blueprint's, the source's own, and the site's overrides, typed when read."""
+    k = F.col("s_suppkey")
+    over = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"notice": {"min_published_year": 2020, "tags": ["a", "b'), k, F.lit('"]}}')))
+        .when(k % 4 == 1, F.concat(F.lit('{"notice": {"category": null, "max_pages": '), k, F.lit('}, "faq": {"skip_images": false, "limits": {"embedding": '), k, F.lit("}}}")))
+        .when(k % 4 == 2, F.concat(F.lit('{"main": {"name": "own'), k, F.lit('", "seed_urls": ["x"]}}')))
+    )
+    sites = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("s"), k).alias("slug"), F.lit(None).cast("string").alias("department"), F.concat(F.lit("https://s"), k, F.lit(".example/")).alias("base_url"),
+        F.when(k % 3 == 1, "lab").alias("site_type"), over.alias("source_overrides"),
+    )
+    made = catalog.expand_settings(sites, spark.createDataFrame([(b,) for b in BLUEPRINTS], "blueprint string"))
+    s = catalog.setting
+    return made.select(
+        "name", s("category", "string").alias("category"), s("max_pages", "int").alias("max_pages"), s("min_published_year", "int").alias("min_published_year"),
+        s("skip_images", "boolean").alias("skip_images"), F.try_element_at(s("tags", "array<string>"), F.lit(-1)).alias("last_tag"),
+        s("limits.embedding", "int").alias("embedding_limit"), s("limits.other", "int").alias("other_limit"), s("seed_urls[0]", "string").alias("seed"),
+    )
+
+
 @query("SELECT n_name AS name FROM nation WHERE (starts_with(n_name, 'NATION_1') OR starts_with(n_name, 'NATION_2')) AND n_name NOT IN ('NATION_12', 'NATION_20') ORDER BY n_nationkey LIMIT 5")
 def source_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("seq"))

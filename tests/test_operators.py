@@ -331,3 +331,25 @@ def test_bounds_never_rule_out_a_version():
         want = any(dedup.same_document(a, text, p, path) for a, p in kept.rows)
         assert kept.have(text, path, profile) == want
         kept.add(text, path, profile)
+
+
+def test_overrides_of_any_field(spark):
+    over = '{"notice": {"max_pages": 9, "crawl": {"a": 1}, "name": "own", "category": null}, "faq": 5}'
+    sites = spark.createDataFrame(
+        [("cs", "CS", "https://cs.example//", "portal", over), ("me", None, "https://me.example", None, "no json"), ("", "x", "y", "portal", None), ("zz", "Z", "https://z.example", "lab", None)],
+        "slug string, department string, base_url string, site_type string, source_overrides string",
+    )
+    prints = [
+        '{"name_suffix":"notice","applies_to":["portal","lab"],"category":"notice","seed_url_template":"{base_url}/n","crawl":{"b":2}}',
+        '{"name_suffix":"faq","applies_to":"lab","skip_images":true,"seed_urls":[]}', '{"name_suffix":"main","seed_urls":["s1"]}',
+    ]
+    rows = catalog.expand_settings(sites, spark.createDataFrame([(b,) for b in prints], "blueprint string"))
+    got = {r["name"]: r["j"] for r in rows.select("name", F.to_json("settings").alias("j")).collect()}
+    assert got == {
+        "own": '{"category":null,"crawl":{"a":1},"department":"CS","max_pages":9,"name":"own","seed_urls":["https://cs.example/n"]}',
+        "cs_main": '{"department":"CS","name":"cs_main","seed_urls":["s1"]}', "me_main": '{"department":"me","name":"me_main","seed_urls":["s1"]}',
+        "me_notice": '{"category":"notice","crawl":{"b":2},"department":"me","name":"me_notice","seed_urls":["https://me.example/n"]}',
+        "zz_notice": '{"category":"notice","crawl":{"b":2},"department":"Z","name":"zz_notice","seed_urls":["https://z.example/n"]}',
+        "zz_faq": '{"department":"Z","name":"zz_faq","seed_urls":["https://z.example"],"skip_images":true}',
+    }
+    assert rows.where(catalog.setting("max_pages", "int") == 9).count() == 1
