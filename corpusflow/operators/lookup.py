@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +17,8 @@ CONTACT_STOPWORDS = (
     "전화번호", "연락처", "전화", "번호", "알려줘", "알려", "찾아줘", "찾아", "좀", "주세요", "주세", "해줘", "뭐야", "뭐지", "있어", "있니", "문의",
     "가르쳐", "가르쳐줘", "알고싶", "알고싶어",
 )
-#: Rows up to which a directory is broadcast as one block.
-DIRECTORY_ROWS = 100_000
+#: Letters of the sequences that texts are found by.
+SEQUENCE = 3
 
 
 def compact(c: Column) -> Column:
@@ -46,30 +44,61 @@ def match_score(key: Column, name: Column, description: Column) -> Column:
     return F.when(F.length(key) < 2, 0).otherwise(F.greatest(inside, F.coalesce(near, F.lit(0))))
 
 
-def best_match(
-    questions: DataFrame, directory: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = (), most_rows: int = DIRECTORY_ROWS
-) -> DataFrame:
+def best_match(questions: DataFrame, directory: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
     """Per question with any match the best row of the directory (id, name, description, ...), lowest id on ties.
 
-    The directory goes to every task; the best row is taken by max_by, so a task hands on one row
-    per question. A directory of more than `most_rows` rows goes in blocks by hash of id, whose best
-    rows are materialised and compared in the same way.
+    The score of match_score takes two looks at a directory, neither of which meets every row. A row whose
+    name or description holds the key scores the same as any other such row, so the lowest id is
+    wanted: texts are found by the rarest of the key's letter sequences, then compared. Where there is
+    none, the longest word of a name inside the key wins: its pieces are looked up among the words.
+    Both sides are reduced to distinct keys, texts and words first, and joined by value.
     """
-    asked = questions.withColumn("_key", keyword(F.col(text_col), stopwords)).select("query_id", "_key").where(F.length("_key") >= 2)
-    blocks = max(1, -(-directory.count() // most_rows))
-    if blocks == 1:
-        return _best_of(asked, directory).select("query_id", "b.score", "b.row.*")
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    found = reduce(DataFrame.unionByName, [pin(_best_of(asked, directory.where(block == i))) for i in range(blocks)])
-    best = found.groupBy("query_id").agg(F.max_by("b", F.struct("b.score", -F.col("b.row.id"))).alias("b"))
-    return best.select("query_id", "b.score", "b.row.*")
-
-
-def _best_of(asked: DataFrame, directory: DataFrame) -> DataFrame:
-    score = match_score(F.col("_key"), F.col("name"), F.col("description"))
-    pairs = asked.join(F.broadcast(directory), score > 0)
-    row = F.struct(*directory.columns)
-    return pairs.groupBy("query_id").agg(F.max_by(F.struct(score.alias("score"), row.alias("row")), F.struct(score, -F.col("id"))).alias("b"))
+    asked = questions.select("query_id", keyword(F.col(text_col), stopwords).alias("_key")).where(F.length("_key") >= 2)
+    keys = pin(asked.select("_key").distinct())
+    inside = _holders(keys, directory).select("_key", "_id", (F.length("_key") + 100).alias("score"))
+    within = _longest_words(keys.join(inside, "_key", "left_anti"), directory)
+    found = asked.join(inside.unionByName(within), "_key").select("query_id", "score", "_id")
+    rows = directory.select("*", F.col("id").alias("_id"))
+    return found.join(rows, "_id").select("query_id", "score", *directory.columns)
+
+
+def _sequences(text: Column, n: Column | int) -> Column:
+    """The distinct sequences of n letters of a text of at least n."""
+    size = F.lit(n) if isinstance(n, int) else n
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def _holders(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """_key and the lowest id of the rows whose name or description holds it."""
+    both = directory.select("id", F.explode(F.array(compact(F.col("name")), compact(F.col("description")))).alias("_text"))
+    texts = both.where(F.length("_text") >= 2).groupBy("_text").agg(F.min("id").alias("_id"))
+    sizes = F.array_union(F.array(F.lit(2)), F.array(F.least(F.length("_text"), F.lit(SEQUENCE))))
+    spread = texts.withColumn("_n", F.explode(sizes)).select("_text", "_id", F.explode(_sequences(F.col("_text"), F.col("_n"))).alias("_part"))
+    spread = pin(spread)
+    counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = keys.select("_key", F.explode(_sequences(F.col("_key"), F.least(F.length("_key"), F.lit(SEQUENCE)))).alias("_part"))
+    # A key with a sequence that no text has is in none.
+    rarest = (
+        parts.join(counts, "_part", "left").groupBy("_key")
+        .agg(F.min_by("_part", F.struct("_rows", "_part")).alias("_part"), F.bool_and(F.col("_rows").isNotNull()).alias("_all")).where("_all")
+    )
+    met = rarest.select("_key", "_part").join(spread, "_part").where(F.col("_text").contains(F.col("_key")))
+    return met.groupBy("_key").agg(F.min("_id").alias("_id"))
+
+
+def _longest_words(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """_key with score and lowest id of the longest word of a name that the key holds."""
+    name = F.col("name")
+    named = directory.select("id", F.explode(F.array_append(F.transform(F.split(name, r"(?U)\s+"), compact), compact(name))).alias("_word"))
+    words = pin(named.where(F.length("_word") >= 2).groupBy("_word").agg(F.min("id").alias("_id")))
+    lengths = sorted(r[0] for r in words.select(F.length("_word")).distinct().collect())  # no more than the longest word has letters
+    if not lengths:
+        return keys.select("_key", F.lit(0).cast("long").alias("_id"), F.lit(0).alias("score")).limit(0)
+    n = F.explode(F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= F.length("_key")))
+    pieces = keys.select("_key", n.alias("_n")).select("_key", F.explode(_sequences(F.col("_key"), F.col("_n"))).alias("_word"))
+    best = F.max(F.struct(F.length("_word").alias("n"), (-F.col("_id")).alias("down")))
+    found = pieces.join(words, "_word").groupBy("_key").agg(best.alias("b"))
+    return found.select("_key", (-F.col("b.down")).alias("_id"), (F.col("b.n") + 80).alias("score"))
 
 
 def with_fallback(questions: DataFrame, best: DataFrame, directory: DataFrame, names: list[str]) -> DataFrame:

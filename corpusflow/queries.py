@@ -706,6 +706,29 @@ def fuzzy_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.best_match(asked, directory(spark, sf_dir), "text", ("x",)).select("query_id", "score", "id", "name", "phone")
 
 
+#: All parts as a directory, and as many questions: a word or two of a part's name or type, with and without a tail.
+FUZZY = f"""dir AS (SELECT p_partkey AS id, p_name AS name, p_type || ' ' || p_brand AS description FROM part),
+ q AS (SELECT p_partkey AS query_id, {_compact("CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 2) WHEN 1 THEN 'where is ' || p_name || ' now' WHEN 2 THEN p_type ELSE 'a' || (p_partkey % 90) || p_brand END")} AS k FROM part),
+ keys AS (SELECT DISTINCT k FROM q WHERE length(k) >= 2),
+ t AS (SELECT DISTINCT id, {_compact('w')} AS t FROM (SELECT id, unnest(list_append(string_split(name, ' '), name)) AS w FROM dir)),
+ f AS (SELECT id, {_compact('name')} AS full_, {_compact('description')} AS de FROM dir),
+ a AS (SELECT k, 100 + length(k) AS score, id FROM keys JOIN f ON contains(full_, k) OR contains(de, k)),
+ b AS (SELECT k, 80 + least(length(k), length(t)) AS score, id FROM keys JOIN t ON length(t) >= 2 AND (contains(t, k) OR contains(k, t))),
+ best AS (SELECT k, score, id FROM (FROM a UNION ALL FROM b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, id) = 1)"""
+
+
+@query(f"WITH {FUZZY} SELECT query_id, score::INT AS score, id, name FROM q JOIN best USING (k) JOIN dir USING (id)")
+def fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of each part against all parts."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    parts = p.select(k.alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("description"))
+    text = (
+        F.when(k % 4 == 0, F.expr("substring(p_name, 2)")).when(k % 4 == 1, F.concat(F.lit("where is "), "p_name", F.lit(" now"))).when(k % 4 == 2, F.col("p_type"))
+        .otherwise(F.concat(F.lit("a"), k % 90, "p_brand"))
+    )
+    return lookup.best_match(p.select(k.alias("query_id"), text.alias("text")), parts).select("query_id", "score", "id", "name")
+
+
 @query(f"WITH {DIRECTORY} SELECT id, name, phone, 'tel:' || regexp_replace(phone, '[^0-9]', '', 'g') AS tel_uri FROM dir")
 def list_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory(spark, sf_dir).select("id", "name", "phone", lookup.tel_uri(F.col("phone")).alias("tel_uri")).orderBy("id")

@@ -45,13 +45,22 @@ def test_batch_search_takes_more_queries_than_a_block(spark):
     assert len(want) == 3 * asked.count() and rows(7) == want
 
 
-def test_best_match_takes_a_directory_of_several_blocks(spark):
-    rows = [(i, f"office {i % 9}", "room" if i % 2 else "hall") for i in range(40)]
-    directory = spark.createDataFrame(rows, "id long, name string, description string")
-    asked = spark.createDataFrame([(1, "office7"), (2, "hall"), (3, "office"), (4, "none at all")], "query_id int, text string")
-    found = lambda most: sorted(map(tuple, lookup.best_match(asked, directory, most_rows=most).collect()))
-    want = found(100_000)
-    assert [(q, i) for q, _, i, _, _ in want] == [(1, 7), (2, 0), (3, 0)] and found(6) == want
+def test_best_match_equals_the_score_of_every_row(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abc가나", k=rng.randrange(1, 5)))
+    entries = [(i, " ".join(word() for _ in range(rng.randrange(1, 4))), rng.choice([None, word() + word()]), str(i)) for i in range(80)] + [(90, "", None, "x"), (91, None, "abab", "y")]
+    directory = spark.createDataFrame(entries, "id long, name string, description string, phone string")
+    asked = spark.createDataFrame([(i, rng.choice([word(), word() + " " + word() + word() + "?", "", None, "Z" * 9])) for i in range(150)], "query_id int, text string")
+    score = lookup.match_score(lookup.keyword(F.col("text")), F.col("name"), F.col("description"))
+    pairs = asked.crossJoin(directory.withColumn("name", F.coalesce("name", F.lit("")))).withColumn("score", score).where("score > 0").collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (-r["score"], r["id"])):
+        want.setdefault(r["query_id"], (r["score"], r["id"]))
+    got = {r["query_id"]: (r["score"], r["id"]) for r in lookup.best_match(asked, directory).collect()}
+    assert got == want and len(got) > 50
+    assert lookup.best_match(asked, directory.limit(0)).count() == 0
 
 
 def test_versions_in_rounds_equal_one_stream(spark, monkeypatch):
