@@ -68,13 +68,13 @@ def _sequences(text: Column, n: Column | int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
 
 
-def _holders(keys: DataFrame, directory: DataFrame) -> DataFrame:
-    """_key and the lowest id of the rows whose name or description holds it."""
-    both = directory.select("id", F.explode(F.array(compact(F.col("name")), compact(F.col("description")))).alias("_text"))
-    texts = both.where(F.length("_text") >= 2).groupBy("_text").agg(F.min("id").alias("_id"))
-    sizes = F.array_union(F.array(F.lit(2)), F.array(F.least(F.length("_text"), F.lit(SEQUENCE))))
-    spread = texts.withColumn("_n", F.explode(sizes)).select("_text", "_id", F.explode(_sequences(F.col("_text"), F.col("_n"))).alias("_part"))
-    spread = pin(spread)
+def holding(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """_key and _text of all pairs of a key and a text that holds it; both are distinct and not empty.
+
+    A key meets the texts that have its rarest sequence of letters, of three, or of all if it is shorter.
+    """
+    sizes = F.array_distinct(F.array(F.lit(1), F.least(F.length("_text"), F.lit(2)), F.least(F.length("_text"), F.lit(SEQUENCE))))
+    spread = pin(texts.withColumn("_n", F.explode(sizes)).select("_text", F.explode(_sequences(F.col("_text"), F.col("_n"))).alias("_part")))
     counts = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     parts = keys.select("_key", F.explode(_sequences(F.col("_key"), F.least(F.length("_key"), F.lit(SEQUENCE)))).alias("_part"))
     # A key with a sequence that no text has is in none.
@@ -82,8 +82,14 @@ def _holders(keys: DataFrame, directory: DataFrame) -> DataFrame:
         parts.join(counts, "_part", "left").groupBy("_key")
         .agg(F.min_by("_part", F.struct("_rows", "_part")).alias("_part"), F.bool_and(F.col("_rows").isNotNull()).alias("_all")).where("_all")
     )
-    met = rarest.select("_key", "_part").join(spread, "_part").where(F.col("_text").contains(F.col("_key")))
-    return met.groupBy("_key").agg(F.min("_id").alias("_id"))
+    return rarest.select("_key", "_part").join(spread, "_part").where(F.col("_text").contains(F.col("_key"))).select("_key", "_text")
+
+
+def _holders(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """_key and the lowest id of the rows whose name or description holds it."""
+    both = directory.select("id", F.explode(F.array(compact(F.col("name")), compact(F.col("description")))).alias("_text"))
+    texts = both.where(F.length("_text") >= 2).groupBy("_text").agg(F.min("id").alias("_id"))
+    return holding(keys, texts.select("_text")).join(texts, "_text").groupBy("_key").agg(F.min("_id").alias("_id"))
 
 
 def _longest_words(keys: DataFrame, directory: DataFrame) -> DataFrame:

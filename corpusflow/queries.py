@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, hwp, text, titles, urls
-from .operators import catalog, chunking, crawl, dedup, lookup, parsing, routing, search, store, vector_index, weather
+from .operators import catalog, chunking, crawl, dedup, lookup, parsing, places, routing, search, store, vector_index, weather
 from .plans import backfill, ingest
 from .sources import archives, attachments, config, services
 from .sources.shared import shared_folder
@@ -734,6 +734,55 @@ def list_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directory(spark, sf_dir).select("id", "name", "phone", lookup.tel_uri(F.col("phone")).alias("tel_uri")).orderBy("id")
 
 
+#: Suppliers and customers on the globe, spread by their keys and balances.
+GLOBE = """p AS (SELECT s_suppkey AS id, s_name AS name, 'nation ' || s_nationkey AS description, (s_suppkey * 37 % 170) - 85 + s_acctbal / 20000 AS latitude, (s_suppkey * 53 % 358) - 179 + s_acctbal / 20000 AS longitude FROM supplier),
+ c AS (SELECT c_custkey AS query_id, (c_custkey * 37 % 170) - 85 + c_acctbal / 20000 AS latitude, (c_custkey * 53 % 358) - 179 + c_acctbal / 20000 AS longitude, c_nationkey FROM customer)"""
+
+
+def _metres(a: str, b: str) -> str:
+    lat, lon = f"radians({b}.latitude - {a}.latitude)", f"radians({b}.longitude - {a}.longitude)"
+    return f"(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin({lat} / 2), 2) + cos(radians({a}.latitude)) * cos(radians({b}.latitude)) * pow(sin({lon} / 2), 2)))))"
+
+
+def globe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Places of suppliers, and points of customers."""
+    at = lambda key, balance, by, span, low: F.col(key) * by % span - low + F.col(balance) / 20000
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    stores = s.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("nation "), "s_nationkey").alias("description"),
+        at("s_suppkey", "s_acctbal", 37, 170, 85).alias("latitude"), at("s_suppkey", "s_acctbal", 53, 358, 179).alias("longitude"),
+    )
+    return stores, c.select(
+        F.col("c_custkey").alias("query_id"), at("c_custkey", "c_acctbal", 37, 170, 85).alias("latitude"), at("c_custkey", "c_acctbal", 53, 358, 179).alias("longitude"), "c_nationkey"
+    )
+
+
+@query(f"WITH {GLOBE} SELECT query_id, id, round({_metres('c', 'p')}, 2) AS distance_m FROM c, p WHERE {_metres('c', 'p')} <= 400000")
+def places_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stores, customers = globe(spark, sf_dir)
+    return places.within_radius(customers, stores, 400_000).select("query_id", "id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(
+    f"""WITH {GLOBE}, q AS (SELECT query_id, (query_id % 130)::VARCHAR AS o, 'supplier' || lpad((query_id % 130)::VARCHAR, 9, '0') AS ok, 'nation' || c_nationkey AS k FROM c),
+    a AS (SELECT q.*, p.latitude, p.longitude, p.id AS origin_id FROM q LEFT JOIN p ON p.id = query_id % 130),
+    b AS (SELECT a.query_id, p.id, {_metres('a', 'p')} AS d FROM a, p WHERE origin_id IS NOT NULL AND {_metres('a', 'p')} <= 3000000 AND (contains({_compact('p.description')}, k))
+      QUALIFY row_number() OVER (PARTITION BY a.query_id ORDER BY d, p.id) = 1)
+    SELECT a.query_id, origin_id, b.id AS destination_id, round(d, 2) AS distance_m, round(d / 30000 * 3600, 1) AS seconds,
+      CASE WHEN origin_id IS NULL THEN 'No place found for query: ' || ok WHEN b.id IS NULL THEN 'No place found for query: ' || k END AS error FROM a LEFT JOIN b USING (query_id)"""
+)
+def route_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route for every customer: some origins are unknown, some destinations too far."""
+    stores, customers = globe(spark, sf_dir)
+    asked = customers.select(
+        "query_id", F.concat(F.lit("supplier"), F.lpad((F.col("query_id") % 130).cast("string"), 9, "0")).alias("origin"), F.concat(F.lit("nation"), "c_nationkey").alias("destination")
+    )
+    found = places.routes(asked, stores, radius_m=3_000_000)
+    return found.select(
+        "query_id", "origin_id", "destination_id", F.round("directions.distance_m", 2).alias("distance_m"), F.round("directions.seconds", 1).alias("seconds"), "error"
+    )
+
+
 @query(f"WITH {DIRECTORY} SELECT id, name FROM dir WHERE id = 7")
 def contact_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = directory(spark, sf_dir)
