@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import dates, hwp, text, titles, urls
 from .operators import catalog, chunking, crawl, dedup, lookup, parsing, places, routing, search, store, vector_index, weather
-from .plans import backfill, ingest
-from .sources import archives, attachments, config, services
+from .plans import backfill, collect, ingest
+from .sources import archives, attachments, config, loaders, services
 from .sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,9 +143,8 @@ def exact_dedup_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def version_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions need sequence matching in rank order, which SQL cannot express; titles are cut so that groups form."""
-    docs = documents(spark, sf_dir).withColumn("title", F.substring("title", 1, 12))
-    return dedup.version_survivors(docs).select("doc_id", "source_name", "title")
+    """Versions need sequence matching in rank order, which SQL cannot express."""
+    return dedup.version_survivors(documents(spark, sf_dir)).select("doc_id", "source_name", "title")
 
 
 @query(
@@ -249,6 +248,50 @@ def run_full_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """WITH r AS (SELECT s_suppkey AS seq, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE 'n' || (s_suppkey % 60) END AS name, s_suppkey % 7 = 0 AS odd_lat, s_suppkey % 5 = 0 AS far_lon, s_suppkey % 3 = 0 AS bare,
+      s_acctbal / 200 AS lat, s_suppkey % 60 % 2 = 0 AS known FROM supplier),
+    j AS (SELECT *, concat_ws(',', CASE WHEN name IS NULL THEN 'missing name' END, CASE WHEN bare AND (name IS NULL OR NOT known) THEN 'geocode_failed' END,
+      CASE WHEN NOT bare AND odd_lat THEN 'bad latitude' END, CASE WHEN NOT bare AND far_lon THEN 'bad longitude' END) AS reasons FROM r)
+    SELECT seq, name, CASE WHEN reasons <> '' THEN reasons WHEN seq < max(CASE WHEN reasons = '' THEN seq END) OVER (PARTITION BY name) THEN 'superseded' END AS reason FROM j"""
+)
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of places with missing names, coordinates that are none, and names that no geocoder knows."""
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("n"), k % 60)
+    raw = table(spark, sf_dir, "supplier").select(
+        k.alias("seq"), F.when(k % 11 != 0, name).alias("name"), F.lit("").alias("description"),
+        F.when(k % 3 == 0, "").when(k % 7 == 0, "north").otherwise((F.col("s_acctbal") / 200).cast("string")).alias("latitude"),
+        F.when(k % 3 == 0, "").when(k % 5 == 0, "181.5").otherwise("12").alias("longitude"),
+    )
+    known = table(spark, sf_dir, "supplier").where(k % 60 % 2 == 0).select(name.alias("name"), F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude"))
+    return loaders.load_places(raw, known).select("seq", "name", "reason")
+
+
+@query(
+    f"""WITH {DOCS}, s AS (SELECT source_name, count(*) AS n, sum(length(content)) AS chars FROM docs GROUP BY 1)
+    SELECT source_name, CASE WHEN n % 3 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN n % 3 = 0 THEN 'ValueError: ' || n || ' documents' ELSE 'Source produced usable documents.' END AS status_reason,
+    CASE WHEN n % 3 = 0 THEN 0 ELSE n END::BIGINT AS raw_documents FROM s"""
+)
+def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that raises for some sources: these have status error, all others keep their documents."""
+    docs = documents(spark, sf_dir)
+    held = docs.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+
+    def reader(source: str) -> list[dict]:
+        name, n = source.rsplit("#", 1)
+        if int(n) % 3 == 0:
+            raise ValueError(f"{n} documents")
+        return [{"doc_id": f"{name}-{i}", "title": "t", "content": "c", "source_url": "https://a.example/", "source_type": "html"} for i in range(int(n))]
+
+    sources = held.select(F.concat_ws("#", "source_name", "n").alias("source_name"), F.lit(None).cast("string").alias("category"))
+    found, faults = loaders.read_sources(sources, reader)
+    raw = found.groupBy("source_name").agg(F.count(F.lit(1)).alias("total_input"))
+    metrics = raw.select("source_name", "total_input", F.col("total_input").alias("total_output"), F.lit(0).alias("exact_duplicates_removed"), F.lit(0).alias("version_duplicates_removed"))
+    report = loaders.with_faults(ingest.source_report(sources, metrics, found.select("source_name"), None), faults)
+    return report.select(F.substring_index("source_name", "#", 1).alias("source_name"), "status", "status_reason", "raw_documents")
+
+
 @query("SELECT event_type AS status, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.status_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("status")))
@@ -413,6 +456,37 @@ def crawl_page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(linked_pages(spark, sf_dir), source).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("last"))
 
 
+#: Pages as a tree; every third lists nothing and is rejected. A page links a file of its own and one that it shares with its neighbour.
+TREE = """t(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT t.n * 2 + c.k, t.depth + 1 FROM t, (VALUES (1), (2)) c(k) WHERE t.depth < 12 AND t.n IN (SELECT page_id FROM pages)),
+ v AS (SELECT n, 'https://site.example/p/' || n AS url, CASE WHEN n NOT IN (SELECT page_id FROM pages) THEN 'passed' WHEN n % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS verdict FROM t)"""
+
+
+def collected(spark: SparkSession, sf_dir: str) -> collect.Collected:
+    n = F.col("page_id")
+    text = F.regexp_replace(F.regexp_replace("html", "(?s)^.*<article>|</article>.*$", ""), "<[^>]*>", "\n")
+    markdown = F.when(n % 3 == 0, F.lit("FAQ\n총게시물 : 0")).otherwise(F.concat(F.lit("Question "), n, F.lit("\n"), text))
+    link = lambda c: F.concat(F.lit("/p/"), c)
+    file = lambda c: F.concat(F.lit("../f/"), c, F.lit(".pdf"))
+    tree = table(spark, sf_dir, "pages").select(
+        link(n).alias("path"), F.concat(F.lit("https://site.example/p/"), n).alias("url"), markdown.alias("markdown"),
+        F.array(link(n * 2 + 1), link(n * 2 + 2), file(n), file(F.concat(F.lit("s"), F.floor(n / 2)))).alias("links"),
+    )
+    source = spark.createDataFrame([("s", ["https://site.example/p/0"], 0, 12, True, ["site.example"], ["/p/"])], CRAWL_SOURCE)
+    rule = [{"name": "all", "priority": 1, "url_patterns": ["/p/"], "categories": [], "parser": "faq", "options": {}}]
+    return collect.collect(tree, source, config.rules_from_rows(spark, rule))
+
+
+@query(
+    f"""WITH RECURSIVE {TREE} SELECT 'page' AS kind, url, verdict FROM v UNION ALL
+    SELECT DISTINCT 'attachment', 'https://site.example/f/' || f || '.pdf', NULL FROM (SELECT verdict, unnest([n::VARCHAR, 's' || n // 2]) AS f FROM v) WHERE verdict = 'accepted'"""
+)
+def crawl_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each page, and the attachments; those that only rejected pages link are dropped."""
+    found = collected(spark, sf_dir)
+    files = found.attachments.select(F.lit("attachment").alias("kind"), "url", F.lit(None).cast("string").alias("verdict"))
+    return found.visited.select(F.lit("page").alias("kind"), "url", "verdict").unionByName(files)
+
+
 @query(
     """WITH d AS (SELECT page_id, 'Title ' || (page_id % 3) AS title, 'https://f.example/' || (page_id % 20) || '.pdf' AS url FROM pages)
     SELECT a.page_id AS doc_id, coalesce(p.title, 'none') AS title FROM pages a LEFT JOIN (SELECT url, min_by(title, page_id) AS title FROM d WHERE page_id >= 10 GROUP BY 1) p

@@ -353,3 +353,26 @@ def test_overrides_of_any_field(spark):
         "zz_faq": '{"department":"Z","name":"zz_faq","seed_urls":["https://z.example"],"skip_images":true}',
     }
     assert rows.where(catalog.setting("max_pages", "int") == 9).count() == 1
+
+
+def test_a_rejected_page_takes_its_attachments_along(spark):
+    from corpusflow.plans import collect
+
+    body = "Notice about the library\nIt opens at nine in the morning for all."
+    pages = [
+        ("https://a.example/", ["/p/1", "/p/2", "/p/3", "/f/seed.pdf"], "x"), ("https://a.example/p/1", ["/f/one.pdf", "/f/both.pdf"], body),
+        ("https://a.example/p/2", ["/f/two.pdf", "/f/both.pdf", "/p/4"], "FAQ\n총게시물 : 0"), ("https://a.example/p/3", ["/f/three.pdf"], body.replace("library", "BLOCKED hall")),
+        ("https://a.example/p/4", ["/f/both.pdf", "/f/four.pdf"], body.replace("Notice", "Later notice")), ("https://a.example/p/2#x", [], "other"),
+    ]
+    frame = spark.createDataFrame(pages, "url string, links array<string>, markdown string")
+    source = spark.createDataFrame(
+        [("s", ["https://a.example/"], 0, 5, False, ["a.example"], None, ["/p/"], "c", ["blocked"])],
+        "name string, seed_urls array<string>, max_pages int, max_depth int, collect_seed_pages boolean, allowed_domains array<string>, include_patterns array<string>, collect_patterns array<string>, category string, blocked_keyword_filters array<string>",
+    )
+    rules = config.rules_from_rows(spark, [{"name": "n", "url_patterns": ["/p/1", "/p/4"], "parser": "notice_detail"}, {"name": "f", "url_patterns": ["/p/2"], "parser": "faq"}, {"name": "z", "parser": "generic_markdown"}])
+    got = collect.collect(frame, source, rules)
+    assert {r["url"].rsplit("/", 1)[1]: r["verdict"] for r in got.visited.collect()} == {"a.example": "passed", "1": "accepted", "2": "rejected", "3": "rejected", "4": "accepted"}
+    files = {r["url"].rsplit("/", 1)[1]: r["parent_title"] for r in got.attachments.collect()}
+    assert files == {"seed.pdf": None, "one.pdf": "Notice about the library", "both.pdf": "Notice about the library", "four.pdf": "Later notice about the library"}
+    docs = {r["source_url"].rsplit("/", 1)[1]: r for r in got.documents.collect()}
+    assert set(docs) == {"1", "4"} and docs["1"]["category"] == "c" and docs["1"]["doc_id"].startswith("crawl-")
