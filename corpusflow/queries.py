@@ -463,7 +463,7 @@ TREE = """t(n, depth) AS (SELECT 0::BIGINT, 0 UNION ALL SELECT t.n * 2 + c.k, t.
 
 def collected(spark: SparkSession, sf_dir: str) -> collect.Collected:
     n = F.col("page_id")
-    text = F.regexp_replace(F.regexp_replace("html", "(?s)^.*<article>|</article>.*$", ""), "<[^>]*>", "\n")
+    text = F.regexp_replace("html", "<[^>]*>", "\n")
     markdown = F.when(n % 3 == 0, F.lit("FAQ\n총게시물 : 0")).otherwise(F.concat(F.lit("Question "), n, F.lit("\n"), text))
     link = lambda c: F.concat(F.lit("/p/"), c)
     file = lambda c: F.concat(F.lit("../f/"), c, F.lit(".pdf"))
@@ -489,14 +489,14 @@ def crawl_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT page_id, 'Title ' || (page_id % 3) AS title, 'https://f.example/' || (page_id % 20) || '.pdf' AS url FROM pages)
-    SELECT a.page_id AS doc_id, coalesce(p.title, 'none') AS title FROM pages a LEFT JOIN (SELECT url, min_by(title, page_id) AS title FROM d WHERE page_id >= 10 GROUP BY 1) p
+    SELECT a.page_id AS doc_id, coalesce(p.title, 'none') AS title FROM pages a LEFT JOIN (SELECT url, min_by(title, page_id) AS title FROM d GROUP BY 1) p
     ON p.url = 'https://f.example/' || (a.page_id % 25) || '.pdf'"""
 )
 def attachment_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
     p = table(spark, sf_dir, "pages")
     file = lambda k: F.concat(F.lit("https://f.example/"), n % k, F.lit(".pdf"))
-    docs = p.where(n >= 10).select(n.alias("seq"), F.concat(F.lit("Title "), n % 3).alias("title"), F.array(file(20)).alias("attachment_urls"))
+    docs = p.select(n.alias("seq"), F.concat(F.lit("Title "), n % 3).alias("title"), F.array(file(20)).alias("attachment_urls"))
     files = p.select(n.alias("doc_id"), F.concat(file(25), F.lit("#inner.txt")).alias("source_url"), F.lit("none").alias("title"))
     return crawl.attachment_titles(files, docs).select("doc_id", "title")
 
@@ -560,7 +560,7 @@ RULES = [
 
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id")
-    body = F.regexp_replace(F.regexp_replace("html", "(?s)^.*<article>|</article>.*$", ""), "<[^>]*>", "\n")
+    body = F.regexp_replace("html", "<[^>]*>", "\n")
     return table(spark, sf_dir, "pages").select(
         "page_id", "url", F.when(n % 3 == 0, "news").when(n % 3 == 1, "faq").alias("category"), F.lit("dept").alias("department"), body.alias("markdown"),
         F.create_map(F.lit("author"), F.concat(F.lit("Team "), n % 4)).alias("metadata"), F.array(F.lit("/a/b.pdf"), F.lit("x.html")).alias("links"),
@@ -876,7 +876,7 @@ def bounding_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH r AS (SELECT p_partkey % 50 AS query_id, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) AS rank, p_name AS title, 'u' || (p_partkey % 3) AS url, p_type AS text,
-      round(p_retailprice / 1000, 6) AS score FROM part WHERE p_partkey <= 500), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS k FROM r)
+      round(p_retailprice / 1000, 6) AS score FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS k FROM r)
     SELECT query_id, string_agg('[' || rank || '] ' || title || chr(10) || 'source_url: ' || url || chr(10) || 'score: ' || printf('%.6f', score) || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context,
       string_agg('- ' || title || ': ' || url, chr(10) ORDER BY rank) FILTER (k = 1) AS sources FROM f GROUP BY 1"""
 )
@@ -884,7 +884,7 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     k = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").where(k <= 500).select(
+    rows = table(spark, sf_dir, "part").select(
         (k % 50).alias("query_id"), F.row_number().over(Window.partitionBy(k % 50).orderBy(k)).alias("rank"), F.col("p_name").alias("title"),
         F.concat(F.lit("u"), k % 3).alias("source_url"), F.col("p_type").alias("text"), F.round(F.col("p_retailprice") / 1000, 6).alias("score"),
     )
