@@ -6,7 +6,8 @@ more that several distinct pages share, at full length. What such substrings cov
 is removed, runs that are unique stay. Structure says where to look: blocks inside an article (or,
 without one, a main element) are the text of a page that marks it, but for menus, headers, footers,
 sidebars, notices, adverts, forms and comments, which tags, roles and class names tell; there only
-blocks that are on most pages of the host go. On a page without a landmark repetition alone decides.
+blocks that are on most pages of the host go. On a page without a landmark repetition alone decides,
+but a long run that is most of its page's text, in blocks of prose, stays: an article that several pages carry.
 
 A host's stream is sorted in one task. A host too large for that is split by ranges of prefixes:
 each task gets, of every page, the places whose prefix of `depth` tokens is in its range. Adjacent
@@ -31,6 +32,8 @@ from .common import pin
 DEPTH, LEAST_PAGES = 8, 3
 #: A block inside an article is boilerplate if it is on so many pages and on this share of a host's rows.
 MOST_PAGES, MOST_SHARE = 10, 0.5
+#: Tokens of a block, on average, by which a run is prose and no menu, and of a run that can be an article.
+PROSE, LONG = 20, 100
 #: Characters of html of which one task sorts the suffixes, about three million tokens.
 PART_CHARS = 20_000_000
 #: Large hosts, and bytes of covered runs, up to which they are broadcast; more are joined by shuffle.
@@ -263,9 +266,8 @@ def _streams(depth: int):
                     range_of = ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
                     for part in np.unique(range_of).tolist():
                         at = np.flatnonzero(range_of == part)
-                        low, high = hashes[at].astype(np.uint32), (hashes[at] >> np.uint64(32)).astype(np.uint8)
                         places = np.diff(at, prepend=0).astype(np.uint32)
-                        rows.append((host, part, key, page, digest, n, low.tobytes() + high.tobytes(), places.tobytes(), kinds[at].tobytes()))
+                        rows.append((host, part, key, page, digest, n, hashes[at].tobytes(), places.tobytes(), kinds[at].tobytes()))
             if rows:
                 types = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 names = ["host", "part", "key", "page", "digest", "n", "tokens", "places", "kinds"]
@@ -296,10 +298,7 @@ def _array_of_part(rows: list[dict], depth: int, least: int) -> list[tuple[str,
         starts = np.concatenate([np.arange(n + 1) for n in sizes])
         lengths, counts = repeated_lengths(np.concatenate(parts), np.array(page)[owner], depth, least)
     else:
-        packed = [g[0]["tokens"] for g in groups]
-        hashes = np.concatenate(
-            [np.frombuffer(b, np.uint32, n).astype(np.int64) | np.frombuffer(b, np.uint8, n, 4 * n).astype(np.int64) << 32 for b, n in zip(packed, sizes, strict=True)]
-        )
+        hashes = np.concatenate([np.frombuffer(g[0]["tokens"], np.uint64) for g in groups])
         owner = np.repeat(np.arange(len(groups)), sizes)
         kind = np.concatenate(kinds)
         starts = np.concatenate([np.cumsum(np.frombuffer(g[0]["places"], np.uint32).astype(np.int64)) for g in groups])
@@ -354,6 +353,17 @@ def _own_tokens(tokens: list[str], covered: np.ndarray, depth: int) -> list[str]
     return own
 
 
+def _keep_prose(blocks: list[tuple[str, int]], covered: np.ndarray, top: int) -> None:
+    """Uncovers a run that is most of its page's text and reads as prose: an article that several pages carry."""
+    sizes = np.array([len(t.split()) for t, _ in blocks])
+    block = np.repeat(np.arange(len(blocks)), sizes)
+    own = np.flatnonzero(np.array([r == top for _, r in blocks])[block])
+    flags = np.concatenate(([False], covered[own], [False])).astype(np.int8)
+    for a, b in zip(np.flatnonzero(np.diff(flags) == 1), np.flatnonzero(np.diff(flags) == -1), strict=True):
+        if 2 * (b - a) > len(own) and b - a >= max(LONG, PROSE * len(np.unique(block[own[a:b]]))):
+            covered[own[a:b]] = False
+
+
 def page_text(blocks: list[tuple[str, int]], runs: list[bytes] | None, depth: int) -> str:
     """Text of a page, given the runs of its stream that repetition covers.
 
@@ -369,6 +379,8 @@ def page_text(blocks: list[tuple[str, int]], runs: list[bytes] | None, depth: in
     covered = np.zeros(sum(len(t.split()) for t, _ in blocks), bool)
     for a, b in spans:
         covered[a:b] = True
+    if top == OTHER:
+        _keep_prose(blocks, covered, top)
     kept, at = [], 0
     for text, region in blocks:
         tokens = text.split()
@@ -413,9 +425,10 @@ def extract_main_text(
     blocks are joined by a line feed. Null or empty html gives an empty text; a null url has host "".
     Boilerplate of a host is every substring of `depth` tokens (a power of two) or more that
     `least_pages` distinct pages share: rows of one content count as one page, and so do those of one
-    address (see page_identity). On pages without a landmark it is removed. Inside an article a
+    address (see page_identity). On pages without a landmark it is removed, unless one run of it has
+    100 tokens and over half of the page's text, in blocks of 20 tokens on average. Inside an article a
     block goes if all of it is shared by half of the host's rows, and by ten pages at least. Hosts of over
-    `part_chars` characters are split by ranges of prefixes, which changes no result. An empty table
+    `part_chars` characters are split by ranges of prefixes, which are 64-bit hashes there. An empty table
     gives an empty result. No other columns are read.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))

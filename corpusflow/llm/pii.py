@@ -36,7 +36,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 AT_SIGN = re.compile(r"@|[\W_]at[\W_]", re.I)
 DIGIT_OR_AT = re.compile(r"[0-9@]")
-ANCHOR = re.compile(r"[0-9@_=+\[\](){}]")
+ANCHOR = re.compile(r"[0-9@_=+\[\](){}]|\b(?:at|dot)\b", re.I)
 
 #: Windows that are decoded at once.
 BLOCK = 4000

@@ -31,6 +31,15 @@ def brute_texts(rows, depth=8, least=3):
         for i in range(len(tokens) - depth + 1):
             if len(shared[host, tuple(tokens[i : i + depth])]) >= least:
                 covered[i : i + depth] = [True] * depth
+        # A run of prose of 100 tokens that is most of its page stays: 20 tokens a block on average.
+        block_of, i = [k for k, b in enumerate(blocks) for _ in b], 0
+        while i < len(tokens):
+            j = i
+            while j < len(tokens) and covered[j]:
+                j += 1
+            if j - i >= 100 and j - i > len(tokens) / 2 and (j - i) / len(set(block_of[i:j])) >= 20:
+                covered[i:j] = [False] * (j - i)
+            i = max(j, i + 1)
         lines, at = [], 0
         for b in blocks:
             own, i = [], 0
@@ -109,3 +118,14 @@ def test_repeats_are_found_at_full_length():
     assert lengths.max() == 64 and counts[30] == 4
     first = np.flatnonzero((owner == 0) & (lengths > 0))
     assert html_text.runs_of(first, lengths[first]).tolist() == [[30, 130]]
+
+
+def test_an_article_that_several_pages_carry_stays(spark):
+    body = " ".join(f"word{i}" for i in range(120))
+    menu = "".join(f"<li>entry {i} of the menu</li>" for i in range(60))
+    rows = [(i, f"https://a.example{p}", f"<div><ul>{menu}</ul><p>{body}</p><p>{w}</p></div>") for i, (p, w) in enumerate([("/a", "rss"), ("/b/story", "page"), ("/c", "lang")])]
+    rows += [(9, "https://a.example/d", f"<div><ul>{menu}</ul><p>something else</p></div>")]
+    bare = [(i, f"https://b.example{p}", f"<div><p>{body}</p><p>{w}</p></div>") for i, p, w in [(20, "/a?from=rss", "rss"), (21, "/b/story", "page"), (22, "/c?lang=en", "lang")]]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows + bare, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in (20, 21, 22)] == [f"{body}\n{w}" for w in ("rss", "page", "lang")]
+    assert got[9] == "something else" and "entry" not in got[0]
