@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, hwp, text, titles, urls
 from .operators import catalog, chunking, crawl, dedup, lookup, parsing, places, routing, search, store, vector_index, weather
-from .plans import backfill, collect, ingest
+from .plans import backfill, chat, collect, ingest
 from .sources import archives, attachments, config, loaders, services
 from .sources.shared import shared_folder
 
@@ -763,6 +763,29 @@ DIRECTORY = """dir AS (SELECT s_suppkey AS id, n_name || ' ' || s_name AS name,
    s_acctbal / 100 AS latitude, s_suppkey * 1.5 AS longitude FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 
+@query(
+    f"""WITH {QUESTIONS}, r AS (SELECT c.conv_id, c.turn, list_last(string_split(trim(c.text), chr(10))) AS said, CASE WHEN {_any('q', EN.weather)} THEN 'weather' WHEN {_any('q', EN.phone)} OR {_any('q', EN.place)} THEN 'relational_db'
+      WHEN topic IS NOT NULL THEN 'rag' ELSE 'llm' END AS route, {_any('q', EN.phone)} AS phone FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn AND c.role = 'user')
+    SELECT conv_id, turn, route, CASE route WHEN 'weather' THEN '날씨' WHEN 'rag' THEN 'RAG' WHEN 'llm' THEN '일반' ELSE CASE WHEN phone THEN '전화' ELSE '지도' END END AS intent,
+      CASE WHEN route = 'relational_db' THEN CASE WHEN phone THEN '{chat.NO_PHONE}' ELSE '{chat.NO_PLACE}' END WHEN route = 'rag' AND conv_id % 3 = 0 THEN '{chat.NO_RESULTS}' ELSE trim(said) END AS reply,
+      CASE WHEN route = 'llm' OR (route = 'rag' AND conv_id % 3 = 0) THEN 0 WHEN route = 'rag' THEN 2 ELSE 1 END AS n_sources FROM r"""
+)
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of every conversation, by all four routes; the stand-in model repeats the last line it is given."""
+    key = F.concat_ws(":", "conv_id", "turn")
+    asked = questions(spark, sf_dir).select(key.alias("query_id"), "text", "conv_id", "turn")
+    hit = asked.where(F.col("conv_id") % 3 != 0).withColumn("rank", F.explode(F.array(F.lit(1), F.lit(2))))
+    results = hit.select("query_id", "rank", F.lit("t").alias("title"), F.concat(F.lit("https://a.example/"), "rank").alias("source_url"), F.lit(0.5).alias("score"), F.lit("passage").alias("text"))
+    payload = '{"daily": {"time": ["2025-06-01"], "weather_code": [0], "temperature_2m_max": [20.5], "temperature_2m_min": [10.0], "precipitation_probability_max": [5], "precipitation_sum": [0.0], "wind_speed_10m_max": [3.5]}}'
+    forecasts = spark.createDataFrame([("수원", payload)], "location string, payload string")
+    people = directory(spark, sf_dir)
+    told = chat.answer_chat(asked, people, people, results, forecasts, F.lit("2025-06-01").cast("date"), EN)
+    parts = F.split("query_id", ":")
+    return told.select(
+        F.get(parts, F.lit(0)).cast("long").alias("conv_id"), F.get(parts, F.lit(1)).cast("long").alias("turn"), "route", "intent", F.trim("reply").alias("reply"), F.size("sources").alias("n_sources")
+    )
+
+
 def _compact(c: str) -> str:
     return f"regexp_replace(lower({c}), '[^0-9a-z_]+', '', 'g')"
 
