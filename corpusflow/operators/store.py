@@ -54,6 +54,29 @@ def delete_documents(vectors: DataFrame, docs: DataFrame) -> DataFrame:
     return vectors.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def with_source_metadata(embedded: DataFrame, sources: DataFrame) -> DataFrame:
+    """Embedded chunks (with source_name) as rows of the vector table: category and department are their source's.
+
+    A chunk whose source is not known has neither. Sources are few beside chunks but not bounded, so Catalyst picks the join.
+    """
+    named = sources.select("source_name", F.col("category").alias("_category"), F.col("department").alias("_department")).dropDuplicates(["source_name"])
+    kept = [c for c in embedded.columns if c not in ("category", "department")]
+    return embedded.select(*kept).join(named, "source_name", "left").withColumnsRenamed({"_category": "category", "_department": "department"})
+
+
+def replace_vectors(vectors: DataFrame, docs: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Re-ingest of `docs`: their vectors go, those of `new` come by chunk_id. Also one row of counts.
+
+    deleted_documents counts distinct documents, with vectors or not; a document without new chunks loses
+    its old ones; before and after are the table's rows.
+    """
+    gone = docs.select("doc_id").distinct()
+    after = upsert(vectors.join(gone, "doc_id", "left_anti"), new, ["chunk_id"])
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = count(vectors, "before").join(count(gone, "deleted_documents")).join(count(new, "stored")).join(count(after, "after"))
+    return after, counts
+
+
 def replace_documents(vectors: DataFrame, new: DataFrame) -> DataFrame:
     """Vectors of the documents in `new` are deleted, then its rows inserted by chunk_id."""
     return upsert(delete_documents(vectors, new), new, ["chunk_id"])

@@ -996,6 +996,27 @@ def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.delete_documents(v, v.where("doc_id % 4 = 0"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id AS chunk_id, vec_id // 3 AS doc_id, 's' || (vec_id % 7) AS source_name FROM embeddings), s AS (SELECT 's' || r_regionkey AS source_name, r_name AS category, 'd' || r_regionkey AS department FROM region),
+    o AS (SELECT chunk_id, doc_id, source_name, NULL AS category, NULL AS department FROM v WHERE doc_id % 4 <> 0 AND chunk_id % 5 <> 0),
+    n AS (SELECT chunk_id, doc_id, v.source_name, s.category, s.department FROM v LEFT JOIN s USING (source_name) WHERE doc_id % 4 = 0 AND chunk_id % 2 = 0 OR doc_id % 8 = 1 AND chunk_id % 3 = 0),
+    g AS (SELECT DISTINCT doc_id FROM v WHERE doc_id % 4 = 0), k AS (SELECT * FROM o WHERE doc_id NOT IN (FROM g) AND chunk_id NOT IN (SELECT chunk_id FROM n)), a AS (FROM k UNION ALL FROM n)
+    SELECT 'row' AS kind, chunk_id, doc_id, category, department, NULL::BIGINT AS n FROM a UNION ALL SELECT 'before', NULL, NULL, NULL, NULL, count(*) FROM o UNION ALL SELECT 'deleted_documents', NULL, NULL, NULL, NULL, count(*) FROM g
+    UNION ALL SELECT 'stored', NULL, NULL, NULL, NULL, count(*) FROM n UNION ALL SELECT 'after', NULL, NULL, NULL, NULL, count(*) FROM a"""
+)
+def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table after a re-ingest, with its sources' metadata, and its counts."""
+    v = vectors(spark, sf_dir).select("chunk_id", "doc_id", F.concat(F.lit("s"), F.col("chunk_id") % 7).alias("source_name"))
+    sources = table(spark, sf_dir, "region").select(F.concat(F.lit("s"), "r_regionkey").alias("source_name"), F.col("r_name").alias("category"), F.concat(F.lit("d"), "r_regionkey").alias("department"))
+    none = F.lit(None).cast("string")
+    old = v.where("doc_id % 4 <> 0 and chunk_id % 5 <> 0").select("chunk_id", "doc_id", "source_name", none.alias("category"), none.alias("department"))
+    new = store.with_source_metadata(v.where("doc_id % 4 = 0 and chunk_id % 2 = 0 or doc_id % 8 = 1 and chunk_id % 3 = 0"), sources)
+    after, counts = store.replace_vectors(old, v.where("doc_id % 4 = 0"), new)
+    rows = after.select(F.lit("row").alias("kind"), "chunk_id", "doc_id", "category", "department", F.lit(None).cast("long").alias("n"))
+    told = counts.unpivot([], ["before", "deleted_documents", "stored", "after"], "kind", "n")
+    return rows.unionByName(told, allowMissingColumns=True)
+
+
 @query("SELECT vec_id AS chunk_id, vec_id // 3 AS doc_id, CASE WHEN (vec_id // 3) % 4 = 0 THEN 'new' ELSE 'old' END AS text FROM embeddings WHERE (vec_id // 3) % 4 <> 0 OR vec_id % 2 = 0")
 def delete_then_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir).select("chunk_id", "doc_id", F.lit("old").alias("text"))
