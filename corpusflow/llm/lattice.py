@@ -166,7 +166,8 @@ def _likely(least: float):
     def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of blocks that have a partner whose sketch does not rule it out."""
         for table, starts in whole_blocks(batches, "bucket", "i", "j"):
-            sides, own, s0, s1 = (table.column(c).to_numpy() for c in ("side", "own", "s0", "s1"))
+            sides, own = (table.column(c).to_numpy() for c in ("side", "own"))
+            s0, s1 = (table.column(c).to_numpy().view(np.uint64) for c in ("s0", "s1"))  # bits of a negative number are counted by its size
             has = np.zeros(len(table), bool)
             for x, y in _meetings(sides, own & (sides != 1), starts, STEP // 16):
                 close = np.bitwise_count(s0[x] ^ s0[y]) + np.bitwise_count(s1[x] ^ s1[y]) <= most

@@ -183,9 +183,9 @@ code AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
 damaged AS (SELECT c, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
             FROM code, range(2) r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
-               row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST) AS nth,
-               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM damaged),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS nth,
+               rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM ordered),
 faulty AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN t[-1:] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
              left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM numbered),
 ins(s, s2, edits, lines) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),

@@ -99,7 +99,7 @@ def test_repair_of_odd_rows(spark, monkeypatch):
     for c in [*range(50), None]:
         for i in range(900 if c == 5 else rng.choice([1, 3, 8, 30])):
             turn = rng.choice([None, rng.randrange(12), i])
-            rows.append((c, turn, rng.choice(["user", "assistant", "system", "tool", None, "", "user"]), rng.choice(["Hi.", "ok", "yes!", None, "", " a? ", "É" * 90 + rng.choice("ab.")])))
+            rows.append((c, turn, rng.choice(["user", "assistant", "system", "tool", None, "", "user"]), rng.choice(["Hi.", "ok", "yes!", None, "", " a? ", "É" * 60 + rng.choice("ab.")])))
     rows += rows[:50] + [(77, 3, "user", "same.")] * 700 + [(78, None, None, None), (79, 0, "user", "word " * 50_000)]
     frame = spark.createDataFrame(rows, TURNS)
     check_repair(frame.selectExpr("*", "'x' as pid", "'x' as audit", "'x' as rid"))
