@@ -219,10 +219,41 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
 
 
+#: All pairs by cosine, and what is reachable over links.
+OP12_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+    embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE ok),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(node, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.node = l.a WHERE r.c < l.b),
+m AS (SELECT node, min(c) AS c FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN m ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2, slip=97)
 
 
+#: Slips by checksums bit by bit; near words agree in a word without one letter, at one place or as a whole.
+OP13_SQL = rf"""
+WITH RECURSIVE t AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+g AS (SELECT id, run, count(*) AS k FROM t WHERE length(run) >= 5 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)] END)),
+        lambda byte: list_transform(range(8), lambda k: (byte >> k) & 1)))::BIGINT[] AS bits FROM g),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda x, y: xor(x >> 1, CASE WHEN xor(x, y) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295::BIGINT) AS h FROM b),
+s AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM s GROUP BY word HAVING length(word) >= 5 AND sum(k) >= 3),
+d AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word AS a, c.word AS b FROM d a JOIN d c ON a.i = c.i AND a.rest = c.rest AND a.word <> c.word AND length(a.word) = length(c.word)
+      UNION SELECT d.word, w.word FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.rest = w.word),
+near AS (SELECT a AS word, count(*) AS n_near, min((-w.n, b)) AS best FROM p JOIN w ON w.word = b GROUP BY a),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * w.n THEN best[2] END AS form, CASE WHEN -best[1] >= 2 * w.n THEN -best[1] END AS form_n FROM w LEFT JOIN near USING (word)),
+r(word, far, done) AS (SELECT word, word, form IS NULL FROM f UNION ALL SELECT r.word, f.form, g.form IS NULL FROM r JOIN f ON f.word = r.far JOIN f g ON g.word = f.form WHERE NOT r.done)
+SELECT f.word, n, n_near::BIGINT AS n_near, form, form_n::BIGINT AS form_n, far AS root FROM f JOIN r ON r.word = f.word AND r.done
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -238,4 +269,4 @@ QUERIES: dict[str, Query] = {
     "op12_embedding_dedup": op12_embedding_dedup,
     "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op6_chat_format": OP6_SQL, "op7_near_dedup": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_embedding_dedup": OP12_SQL, "op13_spelling_variants": OP13_SQL}
