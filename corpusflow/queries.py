@@ -450,7 +450,11 @@ def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(linked_pages(spark, sf_dir), source).select("url", "depth", "fetched")
 
 
-@query("SELECT 's' AS name, count(*)::BIGINT AS n, max(depth) AS last FROM (SELECT unnest(range(40)) AS i) JOIN LATERAL (SELECT floor(log2(i + 1))::INT AS depth) ON true GROUP BY 1")
+@query(
+    """WITH RECURSIVE t AS (SELECT 0::BIGINT AS n, 0 AS depth UNION ALL SELECT t.n * 2 + c.k, t.depth + 1 FROM t, (VALUES (1), (2)) c(k)
+      WHERE t.depth < 9 AND t.n IN (SELECT page_id FROM pages))
+    SELECT 's' AS name, count(*)::BIGINT AS n, max(depth) AS last FROM (SELECT depth FROM t ORDER BY depth LIMIT 40)"""
+)
 def crawl_page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.createDataFrame([("s", ["https://site.example/p/0"], 40, 9, True, ["site.example"], ["/p/"])], CRAWL_SOURCE)
     return crawl.crawl(linked_pages(spark, sf_dir), source).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("last"))
