@@ -34,16 +34,26 @@ def keyword(question: Column, stopwords: tuple[str, ...] = ()) -> Column:
     return out
 
 
-def match_score(key: Column, name: Column, description: Column) -> Column:
-    """100 + length if the key is in the name or description, 80 + the shorter length if it and a word of the name contain each other, else 0."""
+def match_texts(name: Column, description: Column) -> Column:
+    """What match_score compares of a row, made once a row: full name, description and words of the name."""
     full = compact(name)
     parts = F.filter(F.transform(F.split(name, r"(?U)\s+"), compact), lambda t: F.length(t) >= 2)
-    inside = F.when((F.length(key) >= 2) & (full.contains(key) | compact(description).contains(key)), 100 + F.length(key)).otherwise(0)
-    words = F.filter(F.array_append(parts, full), lambda t: (F.length(t) >= 2) & (t.contains(key) | key.contains(t)))
+    return F.struct(full.alias("full"), compact(description).alias("about"), F.filter(F.array_append(parts, full), lambda t: F.length(t) >= 2).alias("words"))
+
+
+def score_texts(key: Column, texts: Column) -> Column:
+    """The score of match_score for a row's match_texts."""
+    inside = F.when((F.length(key) >= 2) & (texts["full"].contains(key) | texts["about"].contains(key)), 100 + F.length(key)).otherwise(0)
+    words = F.filter(texts["words"], lambda t: t.contains(key) | key.contains(t))
     near = F.array_max(F.transform(words, lambda t: 80 + F.least(F.length(key), F.length(t))))
     return F.when(F.length(key) < 2, 0).otherwise(F.greatest(inside, F.coalesce(near, F.lit(0))))
 
 
+def match_score(key: Column, name: Column, description: Column) -> Column:
+    """100 + length if the key is in the name or description, 80 + the shorter length if it and a word of the name contain each other, else 0."""
+    return score_texts(key, match_texts(name, description))
+
+
 def best_match(questions: DataFrame, directory: DataFrame, text_col: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
     """Per question with any match the best row of the directory (id, name, description, ...), lowest id on ties.
 
