@@ -28,10 +28,13 @@ SOURCE_TYPE_PRIORITY = {"html": 6, "markdown": 5, "pdf": 4, "docx": 3, "hwp": 3,
 # Shortest content that is compared, and what makes two contents versions.
 LEAST_LENGTH, CONTAINED, SIMILAR, SIMILAR_PATH = 200, 0.85, 0.92, 0.75
 
-#: Bins of a text's profile of three-letter sequences; sequences that share a bin only loosen the bound.
+#: Bins of a text's profiles of letter sequences; sequences that share a bin only loosen the bound.
 BINS = 4096
-#: Rows of a group that one task settles in order, and about as many that one task compares with them.
-BLOCK, PART = 256, 250
+#: Characters of the longer sequences.
+RUN = 6
+#: Rows of a group that one task settles in order, and about as many that one task compares with them; a
+#: group's later rounds take more at once, up to MOST.
+BLOCK, PART, MOST = 256, 250, 2048
 
 KEY = ["source_name", "_title", "_category", "_department"]
 
@@ -167,30 +170,62 @@ def matches_least(left: str, right: str, least: float, matcher: Matcher | None =
     return 2.0 * matched / total >= least
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _sequences(codes: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of RUN characters."""
+    n = len(codes) - RUN + 1
+    out = np.zeros(max(n, 0), np.int64)
+    for i in range(RUN if n > 0 else 0):
+        out = out * 1_000_003 + codes[i : n + i]
+    return out
+
+
+def _most_parts(codes: np.ndarray) -> int:
+    """The most common parts that the matcher finds in a second text of these characters.
+
+    A part starts from a rare character of its own (see Matcher); only a common beginning may have none.
+    """
+    if len(codes) < LEAST_LENGTH:
+        return len(codes)  # all characters are rare
+    counts = np.unique(codes, return_counts=True)[1]
+    return int(counts[counts <= len(codes) // 100 + 1].sum()) + 1
+
+
 class Better:
     """Better-ranked contents of one title, and whether a content is a version of one of them.
 
     Matching character by character is the last step. Before it stand bounds that no version fails,
     taken for all contents at once. Two texts that match in M characters differ in the others; each
     character that goes takes at most three of the three-letter sequences with it and each one that
-    comes at most two, so they share a number of sequences that M gives.
+    comes at most two, so they share a number of sequences that M gives. And what matches lies in a few
+    parts, at most as many as the second text has rare characters; a part of L characters has L - RUN + 1
+    sequences of RUN characters in common, so M and the number of parts give how many those share.
     """
 
     def __init__(self) -> None:
         self.rows: list[tuple[str, str]] = []
-        self.lengths, self.profiles = np.empty(0, np.int64), np.empty((0, BINS), np.int32)
+        self.lengths, self.profiles = np.empty(0, np.int64), np.empty((0, 2 * BINS), np.int32)
+        self.paths: dict[str, list[int]] = {}
+        self.sequences: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @staticmethod
     def profile(text: str) -> np.ndarray:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        return np.bincount((codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]) % BINS, minlength=BINS).astype(np.int32)
+        """Counts of three-letter sequences by bin, then those of sequences of RUN."""
+        codes = _codes(text)
+        count = lambda hashes: np.bincount(hashes % BINS, minlength=BINS)
+        runs = _sequences(codes)
+        return np.concatenate([count(codes[:-2] * 961 + codes[1:-1] * 31 + codes[2:]), count(runs ^ (runs >> 29))]).astype(np.int32)
 
     def add(self, text: str, path: str, profile: np.ndarray) -> None:
         n = len(self.rows)
         if n == len(self.lengths):
             self.lengths = np.concatenate([self.lengths, np.zeros(n + 16, np.int64)])
-            self.profiles = np.concatenate([self.profiles, np.zeros((n + 16, BINS), np.int32)])
+            self.profiles = np.concatenate([self.profiles, np.zeros((n + 16, 2 * BINS), np.int32)])
         self.rows.append((text, path))
+        self.paths.setdefault(path, []).append(n)
         self.lengths[n], self.profiles[n] = len(text), profile
 
     def have(self, text: str, path: str, profile: np.ndarray) -> bool:
@@ -201,18 +236,38 @@ class Better:
         # A contained text of the least share matches a little less than a similar one must.
         least = np.full(n, min(SIMILAR, 2 * CONTAINED / (1 + CONTAINED)))
         if path:
-            least[[p == path for _, p in self.rows]] = SIMILAR_PATH
+            least[self.paths.get(path, [])] = SIMILAR_PATH
         matched = least * (a + b) / 2 - 1e-6
-        open_ = np.minimum(a, b) >= matched
-        if not open_.any():
+        at = np.flatnonzero(np.minimum(a, b) >= matched)
+        if not len(at):
             return False
-        at = np.flatnonzero(open_)
-        shared = np.minimum(self.profiles[at], profile).sum(axis=1)
+        codes = _codes(text)
+        runs = matched - (RUN - 1) * _most_parts(codes)
+        shared = np.minimum(self.profiles[at, BINS:], profile[BINS:]).sum(axis=1, dtype=np.int32)
+        at = at[shared >= runs[at]]
+        shared = np.minimum(self.profiles[at, :BINS], profile[:BINS]).sum(axis=1, dtype=np.int32)
         a, m = a[at], matched[at]
         needed = np.maximum(a - 2 - 3 * (a - m) - 2 * (b - m), b - 2 - 3 * (b - m) - 2 * (a - m))
         at = at[shared >= needed]
-        matcher = Matcher(text) if len(at) else None
-        return any(same_document(self.rows[i][0], text, self.rows[i][1], path, matcher) for i in at)
+        if not len(at):
+            return False
+        own = np.unique(_sequences(codes), return_counts=True)
+        matcher: Matcher | None = None
+        for i in at:
+            if runs[i] > 0 and self._shared(int(i), own) < runs[i]:
+                continue
+            matcher = matcher or Matcher(text)
+            if same_document(self.rows[i][0], text, self.rows[i][1], path, matcher):
+                return True
+        return False
+
+    def _shared(self, i: int, own: tuple[np.ndarray, np.ndarray]) -> int:
+        """How many sequences of RUN characters the i-th content shares, counted one by one where bins are too coarse."""
+        if i not in self.sequences:
+            self.sequences[i] = np.unique(_sequences(_codes(self.rows[i][0])), return_counts=True)
+        other = self.sequences[i]
+        _, x, y = np.intersect1d(other[0], own[0], assume_unique=True, return_indices=True)
+        return int(np.minimum(other[1][x], own[1][y]).sum())
 
 
 def _greedy(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,7 +307,8 @@ def version_names(docs: DataFrame, keyed: DataFrame, block: int = BLOCK) -> Data
 
     The greedy order is settled in rounds. A round takes the `block` best undecided rows of each
     group, settles them in one task, and compares what it keeps with all other undecided rows of the
-    group, which are dealt out in parts of about `PART` rows; those that match are dropped. So a task
+    group, which are dealt out in parts of about `PART` rows or a block; those that match are dropped. The
+    first rounds drop what has many versions; blocks then double up to `MOST` rows. So a task
     holds a part and a block, however large a group is. A group takes as many rounds as blocks are
     needed for what is neither kept nor dropped before. Groups of one row, nearly all, are passed by.
     """
@@ -267,17 +323,19 @@ def version_names(docs: DataFrame, keyed: DataFrame, block: int = BLOCK) -> Data
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_rank")))
     small, undecided = slim.where(F.col("_size") <= block), slim.where(F.col("_size") > block)
     kept = _settled(small, keys).select("doc_id", "seq")
-    undecided = pin(undecided.withColumn("_parts", F.ceil(F.col("_size") / PART).cast("int")).drop("_size"))
+    undecided, most = pin(undecided), max(block, MOST)
     while not undecided.isEmpty():
         places = undecided.select(*keys, "doc_id", "seq", "_rank").withColumn("_nth", nth).where(F.col("_nth") <= block).select("doc_id", "seq")
         best = pin(places)
+        parts = F.ceil(F.col("_size") / max(PART, block)).cast("int")
         found = pin(_settled(undecided.join(best, ["doc_id", "seq"], "left_semi"), keys))
         kept = kept.unionByName(found.select("doc_id", "seq"))
-        left = undecided.join(best, ["doc_id", "seq"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("doc_id", "seq"), F.col("_parts")).cast("int"))
-        dealt = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        left = undecided.join(best, ["doc_id", "seq"], "left_anti").withColumn("_part", F.pmod(F.xxhash64("doc_id", "seq"), parts).cast("int"))
+        dealt = found.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         left = left.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_part")
-        slices = left.drop("_rank", "_parts").groupBy(*keys, "_part").cogroup(dealt.groupBy(*keys, "_part"))
+        slices = left.drop("_rank", "_size").groupBy(*keys, "_part").cogroup(dealt.drop("_size").groupBy(*keys, "_part"))
         undecided = pin(undecided.join(slices.applyInPandas(_unlike, "doc_id string, seq long"), ["doc_id", "seq"], "left_semi"))
+        block = min(2 * block, most)
     gone = several.select("doc_id", "seq").join(kept, ["doc_id", "seq"], "left_anti")
     return pin(keyed.select("source_name", "doc_id", "seq").join(gone, ["doc_id", "seq"], "left_anti"))
 

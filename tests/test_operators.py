@@ -376,3 +376,26 @@ def test_a_rejected_page_takes_its_attachments_along(spark):
     assert files == {"seed.pdf": None, "one.pdf": "Notice about the library", "both.pdf": "Notice about the library", "four.pdf": "Later notice about the library"}
     docs = {r["source_url"].rsplit("/", 1)[1]: r for r in got.documents.collect()}
     assert set(docs) == {"1", "4"} and docs["1"]["category"] == "c" and docs["1"]["doc_id"].startswith("crawl-")
+
+
+def test_matcher_runs_only_on_texts_that_share_long_runs(monkeypatch):
+    """Unlike texts of one alphabet share most three-letter sequences; their runs of six rule them out before matching."""
+    import random
+
+    rng, calls, same = random.Random(5), [], dedup.same_document
+    words = ["".join(rng.choices("etaonrhisdlu", k=rng.randrange(2, 6))) for _ in range(150)] + ["qu", "w.", "my,"]
+    texts = [("a common heading " + " ".join(rng.choices(words, k=450)), f"p{i}") for i in range(30)]
+    for i in range(0, 30, 3):
+        at = rng.randrange(1000)
+        texts.append((texts[i][0][:at] + "changed " + texts[i][0][at + 30 :], "v"))
+    want, kept = [], []
+    for t, p in texts:
+        want.append(any(same(a, t, q, p) for a, q in kept))
+        kept.append((t, p))
+    monkeypatch.setattr(dedup, "same_document", lambda *a: calls.append(1) or same(*a))
+    better, got = dedup.Better(), []
+    for t, p in texts:
+        profile = better.profile(t)
+        got.append(better.have(t, p, profile))
+        better.add(t, p, profile)
+    assert got == want and sum(want) == 10 and len(calls) <= 20
