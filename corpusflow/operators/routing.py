@@ -131,19 +131,19 @@ def route_questions(questions: DataFrame, text_col: str = "text", rules: Rules |
 def context_blocks(results: DataFrame) -> DataFrame:
     """Per query: the numbered context of its ranked results, and its sources, each URL once in order.
 
-    A query has at most 20 results, so the lists are short.
+    The first row of a URL is found by grouping, so lists of any length are gone through once.
     """
     row = F.struct("rank", "title", "source_url", "score", "text")
-    listed = results.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    by_url = results.groupBy("query_id", "source_url").agg(F.collect_list(row).alias("r"), F.min(row).alias("first"))
+    listed = by_url.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list("r"))).alias("r"), F.array_sort(F.collect_list("first")).alias("first"))
     block = lambda x: F.concat_ws(
         "\n", F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["title"]), F.concat(F.lit("source_url: "), x["source_url"]),
         F.concat(F.lit("score: "), F.format_string("%.6f", x["score"])), x["text"],
     )
-    first = F.filter("r", lambda x, i: ~F.exists(F.slice("r", F.lit(1), i), lambda y: y["source_url"] == x["source_url"]))
     return listed.select(
         "query_id",
         F.array_join(F.transform("r", block), "\n\n").alias("context"),
-        F.array_join(F.transform(first, lambda x: F.concat(F.lit("- "), x["title"], F.lit(": "), x["source_url"])), "\n").alias("sources"),
+        F.array_join(F.transform("first", lambda x: F.concat(F.lit("- "), x["title"], F.lit(": "), x["source_url"])), "\n").alias("sources"),
     )
 
 

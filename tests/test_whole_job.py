@@ -161,3 +161,16 @@ def test_hwp_lines_equal_their_rules(spark):
     frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
     got = dict(frame.select("i", hwp.clean_lines(F.col("x"))).collect())
     assert [got[i] for i in range(len(lines))] == [rule(x) or "" for x in lines]
+
+
+def test_context_blocks_of_many_results(spark):
+    """Long lists are gone through once: 100,000 results of one query, of which each URL is named once."""
+    import time
+
+    from corpusflow.operators import routing
+
+    rows = spark.range(100_000).selectExpr("1 as query_id", "id as rank", "'t' as title", "concat('u', id % 40000) as source_url", "0.5D as score", "'x' as text")
+    begun = time.time()
+    got = routing.context_blocks(rows).first()
+    assert time.time() - begun < 60
+    assert got["context"].count("source_url: ") == 100_000 and got["sources"].split("\n") == [f"- t: u{i}" for i in range(40_000)]
