@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions.text import fold, tokens
 from ..sources.shared import pin
 
 MULTIPLIER, MOST_CANDIDATES = 4, 50
+#: Queries that meet a batch of vectors in one matrix product.
+QUERIES = 256
 # Weights of similarity, freshness and title match by category.
 WEIGHTS = {
     "notice": (0.55, 0.30, 0.15),
@@ -122,16 +126,74 @@ def batch_search(vectors: DataFrame, queries: DataFrame, as_of: Column, top_k: i
     return reduce(DataFrame.unionByName, [pin(_search_block(vectors, queries.where(block == i), as_of, top_k)) for i in range(blocks)])
 
 
+def _plain(c: Column, size: int) -> Column:
+    """Whether a vector has this many components, all finite and of a size whose square is so too."""
+    return F.coalesce((F.size(c) == size) & F.forall(c, lambda x: F.coalesce(F.abs(x) < 1e100, F.lit(False))), F.lit(False))
+
+
+def _nearest_of_batches(blocks, n: int):  # noqa: ANN001, ANN202
+    """Per batch of vectors the n nearest of each query, by blocks (category, ids, matrix) of queries.
+
+    A matrix product finds who may be among them, within a tolerance far above its rounding; their
+    distances are then summed component by component, as `distance` does.
+    """
+
+    def run(frames):  # noqa: ANN001, ANN202
+        for pdf in frames:
+            every, names, kinds = np.array(pdf["embedding"].tolist(), np.float64), pdf["chunk_id"].to_numpy(), pdf["category"].to_numpy()
+            place = np.unique(names, return_inverse=True)[1]
+            for category, ids, q in blocks.value:
+                rows = np.arange(len(every)) if category is None else np.flatnonzero(kinds == category)
+                if not len(rows):
+                    continue
+                v = every[rows]
+                about = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+                rough = about - 2 * (q @ v.T)
+                most = np.partition(rough, n - 1, axis=1)[:, n - 1] if len(rows) > n else np.full(len(q), np.inf)
+                qi, vi = np.nonzero(rough <= (most + 1e-9 * about.max(axis=1))[:, None])
+                d = np.zeros(len(qi))
+                for j in range(v.shape[1]):
+                    gap = v[vi, j] - q[qi, j]
+                    d += gap * gap
+                order = np.lexsort((place[rows[vi]], d, qi))
+                qi, vi, d = qi[order], vi[order], d[order]
+                near = np.arange(len(qi)) - np.searchsorted(qi, qi) < n
+                yield pd.DataFrame({"query_id": ids[qi[near]], "chunk_id": names[rows[vi[near]]], "distance": d[near]})
+
+    return run
+
+
+def _distances(vectors: DataFrame, few: DataFrame) -> DataFrame:
+    hit = F.col("q.category").isNull() | (F.col("q.category") == F.col("v.category"))
+    far = distance(F.col("v.embedding").cast("array<double>"), F.col("q.query_vector"))
+    return vectors.alias("v").join(F.broadcast(few).alias("q"), hit).select("q.query_id", "v.chunk_id", far.alias("distance"))
+
+
 def _search_block(vectors: DataFrame, few: DataFrame, as_of: Column, top_k: int) -> DataFrame:
     n = candidate_count(top_k)
-    hit = F.col("q.category").isNull() | (F.col("q.category") == F.col("v.category"))
-    pairs = vectors.alias("v").join(F.broadcast(few).alias("q"), hit).select(
-        "q.query_id", "q.query", F.col("q.category").alias("asked"), "v.chunk_id", "v.doc_id", "v.text", "v.title", "v.source_url", "v.published_at",
-        distance(F.col("v.embedding").cast("array<double>"), F.col("q.query_vector")).alias("distance"),
-    )
+    size = few.agg(F.max(F.size("query_vector"))).first()[0] or 0
+    whole = F.col("query_id").isNotNull() & _plain(F.col("query_vector"), size)
+    usual = F.col("chunk_id").isNotNull() & _plain(F.col("embedding").cast("array<double>"), size)
+    asked = few.where(whole).select("query_id", "category", "query_vector").toPandas()
+    blocks = []
+    for category, of in asked.groupby("category", dropna=False):
+        matrix, ids = np.array(of["query_vector"].tolist(), np.float64), of["query_id"].to_numpy()
+        blocks += [(None if pd.isna(category) else category, ids[k : k + QUERIES], matrix[k : k + QUERIES]) for k in range(0, len(ids), QUERIES)]
+    # Vectors and queries that are null, of another size or not finite go by expressions, as they are few.
+    pairs = _distances(vectors.where(~usual), few.where(whole))
+    odd = few.where(~whole)
+    if not odd.isEmpty():
+        pairs = pairs.unionByName(_distances(vectors, odd))
+    if blocks:
+        kind = lambda df, c: df.schema[c].dataType.simpleString()
+        bare = vectors.where(usual).select("chunk_id", "category", F.col("embedding").cast("array<double>").alias("embedding"))
+        shared = vectors.sparkSession.sparkContext.broadcast(blocks)
+        pairs = pairs.unionByName(bare.mapInPandas(_nearest_of_batches(shared, n), f"query_id {kind(few, 'query_id')}, chunk_id {kind(vectors, 'chunk_id')}, distance double"))
     near = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = pairs.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= n)  # WindowGroupLimit cuts before the shuffle
-    return rerank_best(ranked, as_of, top_k)
+    told = vectors.select("chunk_id", "doc_id", "text", "title", "source_url", "published_at")
+    found = ranked.join(few.select("query_id", "query", F.col("category").alias("asked")), "query_id").join(told, "chunk_id")
+    return rerank_best(found, as_of, top_k)
 
 
 def rerank_best(candidates: DataFrame, as_of: Column, top_k: int) -> DataFrame:

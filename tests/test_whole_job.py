@@ -174,3 +174,23 @@ def test_context_blocks_of_many_results(spark):
     got = routing.context_blocks(rows).first()
     assert time.time() - begun < 60
     assert got["context"].count("source_url: ") == 100_000 and got["sources"].split("\n") == [f"- t: u{i}" for i in range(40_000)]
+
+
+def test_batch_search_multiplies_matrices_and_keeps_odd_vectors(spark, monkeypatch):
+    """Plain vectors never meet queries pair by pair; null, short and huge ones still do, with the same results."""
+    from corpusflow.operators import search
+
+    rows = [(i, i, "x", "title", "u", None, "ab"[i % 2], [float(i % 17), float(i % 5), 0.1 * i]) for i in range(200)]
+    rows += [(200, 0, "x", "t", "u", None, "a", None), (201, 0, "x", "t", "u", None, "a", [1.0]), (202, 0, "x", "t", "u", None, "b", [1e200, 0.0, 0.0]), (203, 0, "x", "t", "u", None, "b", [3.0, 3.0, 0.3])]
+    stored = spark.createDataFrame(rows, "chunk_id long, doc_id long, text string, title string, source_url string, published_at timestamp_ntz, category string, embedding array<double>")
+    asked = [(i, "title", [float(i % 17), float(i % 5), 0.1 * i], None if i % 3 else "b") for i in range(0, 60, 3)] + [(61, "title", [1.0, 2.0, 3.0], None), (62, "title", None, "a")]
+    asked = spark.createDataFrame(asked, "query_id long, query string, query_vector array<double>, category string")
+    far = search.distance(search.F.col("v.embedding"), search.F.col("q.query_vector"))
+    pairs = stored.alias("v").join(asked.alias("q"), search.F.expr("q.category is null or q.category = v.category")).select("q.query_id", "q.query", search.F.col("q.category").alias("asked"), "v.*", far.alias("distance"))
+    n = search.F.row_number().over(search.Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    as_of = search.F.lit("2024-01-01").cast("timestamp_ntz")
+    want = search.rerank_best(pairs.withColumn("_n", n).where("_n <= 12"), as_of, 3)
+    met, plain = [], search._distances
+    monkeypatch.setattr(search, "_distances", lambda v, q: met.append((v.count(), q.count())) or plain(v, q))
+    got = search.batch_search(stored, asked, as_of, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and met == [(3, 21), (204, 1)]
