@@ -32,6 +32,8 @@ TYPES = {
 }
 KEPT_FOR_DOWNLOAD = (".hwp", ".hwpx", ".zip")
 DOWNLOAD_ADDRESS = "downloadbbsfile.do"
+#: What a reader hands on at once: small files share a frame, a large one has its own; what a row counts beside its text.
+FRAME_BYTES, ROW_BYTES = 4 * 1024 * 1024, 256
 
 Reader = Callable[[bytes], str]
 
@@ -150,10 +152,17 @@ def _read(options: Collection):
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["source", "member", "source_type", "status", "content", "reason", "page"]
+        found, held = [], 0
         for pdf in frames:
             for source, kind, content in zip(pdf["source"], pdf["source_type"], pdf["content"], strict=True):
-                found = [(source, *r) for r in rows(kind, bytes(content) if content is not None else b"")]
-                yield pd.DataFrame(found, columns=columns)
+                for r in rows(kind, bytes(content) if content is not None else b""):
+                    found.append((source, *r))
+                    held += ROW_BYTES + len(r[3] or "") + len(r[5] or b"")
+                    if held >= FRAME_BYTES:
+                        yield pd.DataFrame(found, columns=columns)
+                        found, held = [], 0
+        if found:
+            yield pd.DataFrame(found, columns=columns)
 
     return read
 

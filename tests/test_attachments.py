@@ -95,3 +95,18 @@ def test_scan_of_a_folder(spark, tmp_path):
     rows = collect_attachments(scan_files(spark, str(tmp_path)), collected_at=F.lit("2024-01-02").cast("timestamp_ntz")).collect()
     assert sorted((r["content"], r["status"], str(r["collected_at"])[:10]) for r in rows) == [("alpha", "ok", "2024-01-02"), ("beta", "ok", "2024-01-02")]
     assert attachments.html_text(b"<div>x<br>y &lt;</div><style>z</style>") == "x\ny <"
+
+
+def test_small_files_share_a_frame(monkeypatch):
+    """Rows are handed on by their bytes, not file by file, nor all at once."""
+    import pandas as pd
+
+    from corpusflow.sources import attachments
+
+    files = pd.DataFrame([(f"f{i}", "markdown", b"word " * 100) for i in range(400)], columns=["source", "source_type", "content"])
+    read = lambda: list(attachments._read(Collection())([files[:150], files[150:]]))
+    assert [len(f) for f in read()] == [400]  # 400 frames before
+    monkeypatch.setattr(attachments, "FRAME_BYTES", 50_000)
+    frames = read()
+    assert len(frames) > 3 and max(f["content"].str.len().sum() for f in frames) < 50_000
+    assert pd.concat(frames)["source"].tolist() == files["source"].tolist()
