@@ -21,14 +21,14 @@ def _dealt(rows: DataFrame, order: list[Column], *extra: Column) -> DataFrame:
     return pin(placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_place"), *extra))
 
 
-def _before(dealt: DataFrame, total: Column) -> DataFrame:
-    """Per partition the total of those before it; one row each, so they are few at any size."""
-    sums = {r["_part"]: r["s"] for r in dealt.groupBy("_part").agg(total.alias("s")).collect()}
-    rows, seen = [], None
+def _before(dealt: DataFrame, **totals: Column) -> DataFrame:
+    """Per partition each total of those before it, from one pass; one row each, so they are few at any size."""
+    sums = {r["_part"]: r for r in dealt.groupBy("_part").agg(*[total.alias(name) for name, total in totals.items()]).collect()}
+    rows, seen = [], dict.fromkeys(totals, 0)
     for part in sorted(sums):
-        rows.append((part, seen))
-        seen = sums[part] if seen is None else seen + (sums[part] or 0)
-    return F.broadcast(dealt.sparkSession.createDataFrame(rows, "_part int, _before long"))
+        rows.append((part, *seen.values()))
+        seen = {name: seen[name] + (sums[part][name] or 0) for name in totals}
+    return F.broadcast(dealt.sparkSession.createDataFrame(rows, ", ".join(["_part int", *[f"{name} long" for name in totals]])))
 
 
 def with_position(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
@@ -37,18 +37,17 @@ def with_position(rows: DataFrame, order: list[Column], name: str = "position")
     Rows that tie in all keys get neighbouring positions in no stated order and lie in one partition.
     """
     dealt = _dealt(rows, order)
-    before = _before(dealt, F.count(F.lit(1)))
-    position = F.coalesce("_before", F.lit(0)) + F.col("_place") + 1
+    before = _before(dealt, _before=F.count(F.lit(1)))
+    position = F.col("_before") + F.col("_place") + 1
     return dealt.join(before, "_part").withColumn(name, position.cast("long")).drop("_part", "_place", "_before")
 
 
 def with_running_sum(rows: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """Adds the sum of `value` over all rows up to and with this one in the order; position from 1 as well."""
     dealt = _dealt(rows.withColumn(name, value.cast("long")), order)
-    before = _before(dealt, F.count(F.lit(1)))
-    values = _before(dealt, F.coalesce(F.sum(name), F.lit(0))).withColumnRenamed("_before", "_value_before")
+    before = _before(dealt, _before=F.count(F.lit(1)), _value_before=F.sum(name))
     upto = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.withColumn(name, F.sum(name).over(upto)).join(before, "_part").join(values, "_part")
+    summed = dealt.withColumn(name, F.sum(name).over(upto)).join(before, "_part")
     return summed.select(
-        *[c for c in rows.columns], (F.coalesce("_before", F.lit(0)) + F.col("_place") + 1).cast("long").alias("position"), (F.col(name) + F.coalesce("_value_before", F.lit(0))).alias(name)
+        *[c for c in rows.columns], (F.col("_before") + F.col("_place") + 1).cast("long").alias("position"), (F.col(name) + F.col("_value_before")).alias(name)
     )

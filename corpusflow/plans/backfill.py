@@ -95,8 +95,10 @@ def backfill(chunks: DataFrame, docs: DataFrame, folder: str, options: BackfillO
             F.count_if(~F.col("stored")).alias("new"), F.count_if("stored").alias("old"), F.count_if(F.col("text") != "").alias("full")
         ).first()
         full, blank = clean.where(F.col("text") != ""), counts["new"] - counts["full"]
+        # The batch's ids go to the vectors, of which there are many more, not the vectors' ids to the batch.
+        known = known.join(F.broadcast(full.select("chunk_id")), "chunk_id", "left_semi")
         try:
-            made = embed(full.join(known, "chunk_id", "left_anti"), o.encoder, o.model)
+            made = embed(full.join(F.broadcast(known), "chunk_id", "left_anti"), o.encoder, o.model)
             made.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in VECTOR.split(", ")]).write.mode("append").parquet(vectors)
             line = (batch, last, counts["new"], counts["new"] - blank, counts["old"] + blank, 0, None)
         except Exception as e:  # noqa: BLE001 - the encoder is the caller's and raises anything; the journal keeps the reason

@@ -112,3 +112,9 @@ def test_one_source_and_bad_settings(spark, tmp_path):
     assert got == {r[0] for r in order if r[1] in ("d0", "d1") and r[5]}
     with pytest.raises(ValueError, match="positive"):
         backfill(chunks, docs, str(tmp_path), BackfillOptions(limit=0))
+
+
+def test_totals_before_a_partition_come_from_one_pass(spark):
+    dealt = spark.createDataFrame([(3, 1), (3, None), (5, 4), (9, None)], "_part int, v long")
+    found = rank._before(dealt, rows=F.count(F.lit(1)), total=F.sum("v"))  # one total a pass before
+    assert sorted(map(tuple, found.collect())) == [(3, 0, 0), (5, 2, 1), (9, 3, 5)]
