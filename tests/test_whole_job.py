@@ -111,6 +111,36 @@ def test_crawl_goes_to_the_largest_max_depth(spark):
     assert sorted(r["depth"] for r in crawl.crawl(pages, source).collect()) == list(range(13))
 
 
+def test_pages_that_a_crawl_does_not_visit_are_passed_over(spark, monkeypatch):
+    """Links are resolved and texts are made of visited pages only, also where pages share a URL."""
+    from corpusflow.plans import collect
+
+    n, links_of = F.col("id"), crawl.links_of
+    path = lambda k: F.concat(F.lit("/p/"), k)
+    visits = [f"https://a.example/p/{i}" for i in range(16)]
+    monkeypatch.setattr(crawl, "links_of", lambda base, hrefs: F.when(base.isin(visits), links_of(base, hrefs)).otherwise(F.raise_error(F.concat(F.lit("resolved links of "), base)).cast("array<string>")))
+    text = F.when(n < 16, F.concat(F.lit("Question "), n, F.lit("\nAnswer"))).otherwise(F.raise_error(F.concat(F.lit("made the text of "), n)))
+    pages = spark.range(1000).select(F.concat(F.lit("https://a.example"), path(n)).alias("url"), F.array(path(n * 2 + 1), path(n * 2 + 2), F.lit("/f/a.pdf")).alias("links"), text.alias("markdown"))
+    pages = pages.union(spark.createDataFrame([("https://a.example/p/2/", ["/p/999"], "Late")], pages.schema))  # /p/2 comes first
+    sources = spark.createDataFrame([("s", ["https://a.example/p/0"], 0, 3, True), ("t", ["https://a.example/p/7"], 2, 9, True)], "name string, seed_urls array<string>, max_pages int, max_depth int, collect_seed_pages boolean")
+    rules = queries.config.rules_from_rows(spark, [{"name": "all", "priority": 1, "url_patterns": ["/p/"], "categories": [], "parser": "faq", "options": {}}])
+    got = collect.collect(pages, sources, rules)
+    rows = got.visited.collect()
+    assert sorted((r["name"], int(r["url"][20:])) for r in rows) == [("s", i) for i in range(15)] + [("t", 7), ("t", 15)]
+    assert {r["verdict"] for r in rows} == {"accepted"} and got.documents.where("title = 'Question 2'").count() == 1
+
+
+def test_urls_are_resolved_alike_one_by_one_and_together(spark):
+    from corpusflow.functions import urls
+
+    bases = ["https://a.example/x/y?q#f", "http://b.example", "https://c.example/p/;jsessionid=1#", "/local/path", None]
+    hrefs = ["z", "/r/../s/.", "?k=2", "#top", "", "//d.example/e", "mailto:x@y", "../../up/?b=2&a=1#g", "HTTP://E.example/", None]
+    d = spark.createDataFrame([(b, hrefs) for b in bases], "b string, hs array<string>")
+    each = F.array(*[urls.resolve(F.col("b"), F.lit(h).cast("string")) for h in hrefs])
+    for r in d.select(each.alias("each"), urls.resolve_all(F.col("b"), F.col("hs")).alias("all")).collect():
+        assert r["each"] == r["all"]
+
+
 def test_archives_are_read_at_any_depth():
     import io
     import zipfile
